@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, sharding, token_counts
+from . import packing, sharding, token_counts, topk, vector_dedup
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -19,12 +20,21 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_read(spark, sf, "documents"), limit=2048)
 
 
+def op4_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "embeddings")
+    return topk.exact_topk(rows, rows.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
+
+
+def op10_vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_dedup.near_vectors(_read(spark, sf, "embeddings"), threshold=0.98)
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf, "documents"), limit=2048)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_exact_topk, op9_token_counts, op10_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
