@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_counts, topk, vector_dedup
+from . import packing, sharding, suffix_dedup, token_counts, topk, vector_dedup
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -29,12 +29,16 @@ def op10_vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return vector_dedup.near_vectors(_read(spark, sf, "embeddings"), threshold=0.98)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup(_read(spark, sf, "documents"), length=100)
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf, "documents"), limit=2048)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_exact_topk, op9_token_counts, op10_vector_dedup)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_exact_topk, op6_suffix_dedup, op9_token_counts, op10_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
