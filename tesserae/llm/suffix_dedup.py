@@ -30,7 +30,9 @@ _MASK = (1 << 64) - 1
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([1], np.full(max(n - 1, 0), base, np.uint64))).astype(np.uint64))
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.multiply.accumulate(factors)
 
 
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
