@@ -63,29 +63,38 @@ def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     return _mixed((sums[n:] - sums[:-n]) * down[: len(data) - n + 1])
 
 
-def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """The least of each w consecutive values."""
-    have, out = 1, h
+def window_minima(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each w consecutive values, and its leftmost place."""
+    have, out, at = 1, h, np.arange(len(h), dtype=np.int32)
+
+    def joined(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        later = out[b] < out[a]
+        return np.where(later, out[b], out[a]), np.where(later, at[b], at[a])
+
     while have * 2 <= w:
-        out = np.minimum(out[:-have], out[have:])
+        out, at = joined(slice(0, len(out) - have), slice(have, None))
         have *= 2
-    return np.minimum(out[: len(h) - w + 1], out[w - have :][: len(h) - w + 1])
+    n = len(h) - w + 1
+    return joined(slice(0, n), slice(w - have, w - have + n))
 
 
-def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of ``length`` bytes in runs of one fingerprint: fingerprint, first start, windows."""
-    least = window_minima(gram_hashes(data, GRAM), length - GRAM + 1)
-    if not len(least):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of ``length`` bytes in runs of one fingerprint: fingerprint, first start, windows, places beyond one."""
+    if len(data) < length:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
+    least, place = window_minima(gram_hashes(data, GRAM), length - GRAM + 1)
     starts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
     sizes = np.diff(np.append(starts, len(least)))
+    more = (place[starts] != place[starts + sizes - 1]).astype(np.int64)
     if (sizes > MOST_WINDOWS).any():
         parts = -(-sizes // MOST_WINDOWS)
         at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         ends = np.repeat(starts + sizes, parts)
         starts = np.repeat(starts, parts) + at * MOST_WINDOWS
         sizes = np.minimum(MOST_WINDOWS, ends - starts)
-    return least[starts], starts, sizes
+        more = np.repeat(more, parts)
+    return least[starts], starts, sizes, more
 
 
 def _fingerprints(length: int, buckets: int):
@@ -102,9 +111,10 @@ def _fingerprints(length: int, buckets: int):
 
         def flush() -> pd.DataFrame:
             nonlocal held, size, turn
-            h, doc, at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, doc, at, n, more = (np.concatenate(x) for x in zip(*held, strict=True))
             held, size, turn = [], 0, turn + 1
-            _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            _, first, back = np.unique(h, return_index=True, return_inverse=True)
+            count = np.bincount(back, 1 + more).astype(np.int64)
             once, where = count[back] == 1, (h % np.uint64(buckets)).astype(np.int64)
             out = []
             order = np.flatnonzero(once)
@@ -112,13 +122,12 @@ def _fingerprints(length: int, buckets: int):
             for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
                 if len(part):
                     out.append((int(where[part[0]]), 0, h[part].tobytes(), doc[part].tobytes(), (at[part] << 16 | n[part]).tobytes()))
-            more = np.flatnonzero(count > 1)
-            place = where[first[more]]
-            more = more[np.argsort(place, kind="stable")]
-            place = where[first[more]]
-            for part in np.split(more, np.flatnonzero(np.diff(place)) + 1):
+            several = np.flatnonzero(count > 1)
+            several = several[np.argsort(where[first[several]], kind="stable")]
+            place = where[first[several]]
+            for part in np.split(several, np.flatnonzero(np.diff(place)) + 1):
                 if len(part):
-                    out.append((int(where[first[part[0]]]), 1, h[first[part]].tobytes(), count[part].astype(np.int64).tobytes(), b""))
+                    out.append((int(where[first[part[0]]]), 1, h[first[part]].tobytes(), count[part].tobytes(), b""))
             sure = np.flatnonzero(~once)
             if len(sure):
                 out.append((int(h[0] % np.uint64(buckets)), 2, h[sure].tobytes(), doc[sure].tobytes(), (at[sure] << 16 | n[sure]).tobytes()))
@@ -128,8 +137,8 @@ def _fingerprints(length: int, buckets: int):
             for doc, text in zip(b["doc"].tolist(), b["t"].tolist(), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 for s in range(0, len(data) - length + 1, TEXT_BYTES):  # a giant text in parts that overlap by length - 1
-                    h, at, n = runs(data[s : s + TEXT_BYTES + length - 1], length)
-                    held.append((h, np.full(len(h), doc, np.int64), at + s, n))
+                    h, at, n, more = runs(data[s : s + TEXT_BYTES + length - 1], length)
+                    held.append((h, np.full(len(h), doc, np.int64), at + s, n, more))
                     size += min(len(data) - s, TEXT_BYTES)
                     if size >= 4 * TEXT_BYTES:
                         yield flush()
