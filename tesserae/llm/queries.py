@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, suffix_dedup, token_counts, topk, vector_dedup
+from . import ngram_join, packing, sharding, suffix_dedup, token_counts, topk, vector_dedup
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf, "documents"), words=4, num=85, den=100)
+
+
 def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(_read(spark, sf, "documents"), n_shards=16)
 
@@ -38,7 +42,7 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_exact_topk, op6_suffix_dedup, op9_token_counts, op10_vector_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_packing, op4_exact_topk, op6_suffix_dedup, op9_token_counts, op10_vector_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
