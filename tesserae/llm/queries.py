@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, sharding, suffix_dedup, token_counts, topk, vector_dedup
+from . import line_dedup, ngram_join, packing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, vector_dedup
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -37,13 +37,72 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.dedup(_read(spark, sf, "documents"), length=100)
 
 
+def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(_read(spark, sf, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup(_read(spark, sf, "documents"), run=3)
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf, "documents"), limit=2048)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_packing, op4_exact_topk, op6_suffix_dedup, op9_token_counts, op10_vector_dedup)}
+    return {f.__name__: f for f in (
+        op1_ngram_jaccard_join, op2_sharding, op3_packing, op4_exact_topk, op5_sentencepiece,
+        op6_suffix_dedup, op7_quality_classifier, op8_line_dedup, op9_token_counts, op10_vector_dedup)}
+
+
+#: The exact top 10 by a plain scan of the quantised vectors.
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+#: Runs of three lines that start earlier lose their lines.
+OP8_SQL = """
+WITH split AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), line AS (
+  SELECT doc_id, i, ls[i] AS l, trim(ls[i], ' ' || chr(9) || chr(13)) AS t
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)
+), full_line AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM line WHERE t <> ''
+), run AS (
+  SELECT doc_id, p, t, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2
+  FROM full_line WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+), later AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY t, t1, t2 ORDER BY doc_id, p) AS r FROM run WHERE t2 IS NOT NULL)
+  WHERE r > 1
+), gone AS (
+  SELECT DISTINCT f.doc_id, f.i
+  FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS p FROM later) g JOIN full_line f USING (doc_id, p)
+), kept AS (
+  SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS kept
+  FROM line WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = line.doc_id AND gone.i = line.i) GROUP BY doc_id
+), lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text,
+       CAST(coalesce(len(s.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed
+FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN lost x USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are held against brute force in the tests."""
+    return {"op4_exact_topk": OP4_SQL, "op8_line_dedup": OP8_SQL}

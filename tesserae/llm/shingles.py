@@ -11,10 +11,10 @@ _FOLD = bytes.maketrans(bytes(range(0x41, 0x5B)) + bytes(range(0x09, 0x0E)), byt
 _ODD = np.random.default_rng(31).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and how many each text has."""
+def word_hashes(texts: list[str | None], fold: bytes = _FOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and how many each text has. What ``fold`` maps to a space ends words."""
     raw = [(t or "").encode() for t in texts]
-    data = np.frombuffer(b" ".join([*raw, b""]).translate(_FOLD), np.uint8)
+    data = np.frombuffer(b" ".join([*raw, b""]).translate(fold), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
     inside = data != 32

@@ -350,7 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _results(text: bool):
+def _results(text: bool, carry: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -361,7 +361,7 @@ def _results(text: bool):
                     cuts = [(s, e) for s, e in ((_whole(data, s), _whole(data, e, back=True)) for s, e in cuts) if s < e]
                 kept = b"".join(data[i:j] for i, j in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(data)], strict=True))
                 out.append((doc, len(data), sum(e - s for s, e in cuts), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode() if text else None))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).assign(**{f"c{i}": b[f"c{i}"].array for i in range(carry)})
 
     return run
 
@@ -373,18 +373,19 @@ def _whole(data: bytes, at: int, back: bool = False) -> int:
     return at
 
 
-def dedup(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts earlier.
 
     Earlier means a smaller document id, or the same document and an earlier start. Returns
-    id, n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` also the kept text,
-    from which only whole characters are removed. A null text is an empty one; texts
+    id, n_bytes, n_removed, n_spans, kept_sha256 and the columns of ``carry``; with ``keep_text``
+    also the kept text, from which only whole characters are removed. A null text is an empty one; texts
     shorter than ``length`` lose nothing; an empty table gives none. Ids must be unique and
     not null where texts are to lose anything; other columns are ignored.
     """
     spans = repeated_spans(docs, length, id_col, text_col)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
-    out = (
-        docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).join(spans, "doc", "left").mapInPandas(_results(keep_text), schema))
-    return out.withColumnRenamed("doc", id_col) if keep_text else out.drop("kept").withColumnRenamed("doc", id_col)
+    extra = {f"c{i}": c for i, c in enumerate(carry)}
+    whole = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"), *(F.col(c).alias(k) for k, c in extra.items()))
+    schema = f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string" + "".join(f", {k} {dict(whole.dtypes)[k]}" for k in extra)
+    out = whole.join(spans, "doc", "left").mapInPandas(_results(keep_text, len(carry)), schema)
+    return (out if keep_text else out.drop("kept")).withColumnsRenamed({"doc": id_col, "kept": text_col} | extra)
