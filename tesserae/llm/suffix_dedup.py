@@ -18,11 +18,15 @@ GRAM = 32
 MOST_WINDOWS = 512
 #: Bytes of text that are fingerprinted at once, and of pieces in a suffix array.
 TEXT_BYTES, ARRAY_BYTES = 4 << 20, 2 << 20
-#: A fingerprint with more pieces than this is dealt by its windows instead.
-HOT_PIECES = 4096
+#: A fingerprint with more different pieces than this is dealt by its windows instead, and one
+#: with more in a batch passes the buckets by.
+HOT_PIECES, MANY_PIECES = 1 << 15, 16
 #: Entries of the list of such fingerprints, which bounds its broadcast to 16 MB.
 HOT_KEYS = 1 << 21
 
+#: Stands for a null id.
+NO_ID = -(1 << 63)
+
 _rng = np.random.default_rng(23)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -78,12 +82,21 @@ def window_minima(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     return joined(slice(0, n), slice(w - have, w - have + n))
 
 
-def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of ``length`` bytes in runs of one fingerprint: fingerprint, first start, windows, places beyond one."""
+def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Windows of ``length`` bytes in runs of one fingerprint.
+
+    Of each run its fingerprint, a hash of its bytes, first start, windows, and whether the
+    fingerprint has several places in it.
+    """
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    least, place = window_minima(gram_hashes(data, GRAM), length - GRAM + 1)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    up, down = _both_powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * up[:-1], out=sums[1:])
+    hashed = lambda a, b: _mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
+    least, place = window_minima(grams, length - GRAM + 1)
     starts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
     sizes = np.diff(np.append(starts, len(least)))
     more = (place[starts] != place[starts + sizes - 1]).astype(np.int64)
@@ -94,51 +107,61 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         starts = np.repeat(starts, parts) + at * MOST_WINDOWS
         sizes = np.minimum(MOST_WINDOWS, ends - starts)
         more = np.repeat(more, parts)
-    return least[starts], starts, sizes, more
+    return least[starts], hashed(starts, starts + sizes + length - 1), starts, sizes, more
+
+
+def _firsts(h: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in order of fingerprint and content, oldest first, and whether each is the first of its content."""
+    order = np.lexsort((start, doc, content, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (content[order][1:] != content[order][:-1])
+    return order, new
+
+
+def _by_bucket(kind: int, where: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    order = np.argsort(where, kind="stable")
+    blank = (b"",) * (4 - len(columns))
+    return [(int(where[p[0]]), kind, *(c[p].tobytes() for c in columns), *blank) for p in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(p)]
 
 
 def _fingerprints(length: int, buckets: int):
-    """Per bucket the fingerprints of a batch: those seen once with their place, others with their count.
+    """Runs by the bucket of their fingerprint, as packed arrays of a batch.
 
-    Places of those seen more than once are certain to matter, so they needn't meet others
-    of their kind: they pass through any bucket, and a frequent one sends each bucket one
-    entry per batch.
+    Kind 0: a fingerprint, its content's hash and place. Of equal contents of a batch only
+    the oldest is sent; the others are spans that repeat it (kind 1). A fingerprint with many
+    contents in the batch sends its places through any bucket (kind 2) and only its number
+    of contents to its own (kind 3), so frequent ones don't fill a bucket.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = turn = 0
+        size = 0
 
         def flush() -> pd.DataFrame:
-            nonlocal held, size, turn
-            h, doc, at, n, more = (np.concatenate(x) for x in zip(*held, strict=True))
-            held, size, turn = [], 0, turn + 1
-            _, first, back = np.unique(h, return_index=True, return_inverse=True)
-            count = np.bincount(back, 1 + more).astype(np.int64)
-            once, where = count[back] == 1, (h % np.uint64(buckets)).astype(np.int64)
-            out = []
-            order = np.flatnonzero(once)
-            order = order[np.argsort(where[order], kind="stable")]
-            for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-                if len(part):
-                    out.append((int(where[part[0]]), 0, h[part].tobytes(), doc[part].tobytes(), (at[part] << 16 | n[part]).tobytes()))
-            several = np.flatnonzero(count > 1)
-            several = several[np.argsort(where[first[several]], kind="stable")]
-            place = where[first[several]]
-            for part in np.split(several, np.flatnonzero(np.diff(place)) + 1):
-                if len(part):
-                    out.append((int(where[first[part[0]]]), 1, h[first[part]].tobytes(), count[part].tobytes(), b""))
-            sure = np.flatnonzero(~once)
-            if len(sure):
-                out.append((int(h[0] % np.uint64(buckets)), 2, h[sure].tobytes(), doc[sure].tobytes(), (at[sure] << 16 | n[sure]).tobytes()))
-            return pd.DataFrame(out, columns=["bucket", "kind", "h", "x", "y"])
+            nonlocal held, size
+            h, content, doc, start, n, more = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+            order, new = _firsts(h, content, doc, start)
+            again = order[~new]
+            order = order[new]
+            where = (h % np.uint64(buckets)).astype(np.int64)
+            place = start << 16 | n << 1 | more
+            border = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+            count = np.diff(np.append(border, len(order)))
+            many = np.repeat(count > MANY_PIECES, count)
+            one, several, marked = order[~many], order[many], border[count > MANY_PIECES]
+            rows = _by_bucket(0, where[one], h[one], content[one], doc[one], place[one])
+            rows += _by_bucket(1, doc[again] % buckets, doc[again], start[again], (start + n)[again] + length - 1)
+            rows += _by_bucket(2, doc[several] % buckets, h[several], doc[several], place[several])
+            rows += _by_bucket(3, where[order[marked]], h[order[marked]], count[count > MANY_PIECES])
+            return pd.DataFrame(rows, columns=["bucket", "kind", "w", "x", "y", "z"])
 
         for b in batches:
             for doc, text in zip(b["doc"].tolist(), b["t"].tolist(), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 for s in range(0, len(data) - length + 1, TEXT_BYTES):  # a giant text in parts that overlap by length - 1
-                    h, at, n, more = runs(data[s : s + TEXT_BYTES + length - 1], length)
-                    held.append((h, np.full(len(h), doc, np.int64), at + s, n, more))
+                    h, content, at, n, more = runs(data[s : s + TEXT_BYTES + length - 1], length)
+                    held.append((h, content, np.full(len(h), doc, np.int64), at + s, n, more))
                     size += min(len(data) - s, TEXT_BYTES)
                     if size >= 4 * TEXT_BYTES:
                         yield flush()
@@ -148,45 +171,65 @@ def _fingerprints(length: int, buckets: int):
     return run
 
 
-def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """The places of fingerprints that occur more than once, and the hot fingerprints (doc null)."""
-    read = lambda kind, c, t: np.frombuffer(b"".join(rows.loc[rows["kind"] == kind, c]), t)
-    one, many, sure = read(0, "h", np.uint64), read(1, "h", np.uint64), read(2, "h", np.uint64)
-    every, back = np.unique(np.concatenate((one, many)), return_inverse=True)
-    count = np.bincount(back[: len(one)], minlength=len(every)) + np.bincount(back[len(one) :], read(1, "x", np.int64), len(every)).astype(np.int64)
-    keep = count[back[: len(one)]] > 1
-    hot = every[count > HOT_PIECES]
-    places = pd.DataFrame({
-        "h": np.concatenate((one[keep], sure)).view(np.int64), "doc": np.concatenate((read(0, "x", np.int64)[keep], read(2, "x", np.int64))),
-        "at": np.concatenate((read(0, "y", np.int64)[keep], read(2, "y", np.int64)))})
-    places["hot"] = False
-    return pd.concat([places, pd.DataFrame({"h": hot.view(np.int64), "doc": 0, "at": count[count > HOT_PIECES], "hot": True})])
+#: Kinds of a bucket's results: a span that repeats another, a place to compare, a hot fingerprint.
+SPAN, PLACE, HOT = 0, 1, 2
+
+
+def _met(length: int):
+    """Of equal contents all but the oldest are repeats; fingerprints with several contents are to be compared."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        read = lambda kind, c, t=np.int64: np.frombuffer(b"".join(rows.loc[rows["kind"] == kind, c]), t)
+        h, content, doc, place = read(0, "w", np.uint64), read(0, "x", np.uint64), read(0, "y"), read(0, "z")
+        marked, marks = read(3, "w", np.uint64), read(3, "x")
+        order, new = _firsts(h, content, doc, place)
+        again, order = order[~new], order[new]
+        every, back = np.unique(np.concatenate((h[order], marked)), return_inverse=True)
+        count = np.bincount(back, np.concatenate((np.ones(len(order), np.int64), marks)), len(every)).astype(np.int64)
+        needed = order[(count[back[: len(order)]] > 1) | (place[order] & 1 > 0)]
+        hot = np.flatnonzero(count > HOT_PIECES)
+        start = place >> 16
+        out = [
+            (SPAN, np.concatenate((doc[again], read(1, "w"))), np.concatenate((start[again], read(1, "x"))),
+             np.concatenate((start[again] + (place[again] >> 1 & 0x7FFF) + length - 1, read(1, "y")))),
+            (PLACE, np.concatenate((doc[needed], read(2, "x"))), np.concatenate((h[needed].view(np.int64), read(2, "w"))), np.concatenate((place[needed], read(2, "y")))),
+            (HOT, np.zeros(len(hot), np.int64), every[hot].view(np.int64), count[hot])]
+        return pd.concat([pd.DataFrame({"kind": k, "doc": d, "a": a, "b": b}) for k, d, a, b in out])
+
+    return run
 
 
 def _pieces(length: int, hot: np.ndarray):
-    """The bytes of the places. Of equal pieces of a batch all but the first repeat an earlier one."""
+    """The bytes of the places, under their fingerprint; of a hot one the hashes of its windows, without bytes.
+
+    Of equal ones of a batch all but the oldest repeat it, and travel as spans (end given).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             key, docs, starts, data, done = [], [], [], [], []
-            seen: set[bytes] = set()
+            seen: set = set()
             for i in np.argsort(b["doc"].to_numpy(), kind="stable").tolist():
                 doc, text = int(b["doc"].iat[i]), b["t"].iat[i].encode()
-                h, at = np.asarray(b["h"].iat[i], np.int64), np.asarray(b["at"].iat[i], np.int64)
-                order = np.argsort(at, kind="stable")
+                h, place = np.asarray(b["h"].iat[i], np.int64), np.asarray(b["place"].iat[i], np.int64)
+                order = np.argsort(place, kind="stable")
                 heated = np.isin(h[order], hot)
-                for x, y, split in zip(h[order].tolist(), at[order].tolist(), heated.tolist(), strict=True):
-                    first, n = y >> 16, y & 0xFFFF
-                    for s, e in ((first, first + n + length - 1),) if not split else ((j, j + length) for j in range(first, first + n)):
-                        piece = text[s:e]
-                        if piece in seen:
-                            done.append((doc, s, e))
-                            continue
-                        seen.add(piece)
-                        key.append(int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True) if split else x)
-                        docs.append(doc)
-                        starts.append(s)
-                        data.append(piece)
+                for x, y, split in zip(h[order].tolist(), place[order].tolist(), heated.tolist(), strict=True):
+                    s, n = y >> 16, y >> 1 & 0x7FFF
+                    piece = text[s : s + n + length - 1]
+                    each = [(piece, x, s, s + len(piece), piece)]
+                    if split:
+                        whole = gram_hashes(np.frombuffer(piece, np.uint8), length).view(np.int64).tolist()
+                        each = [(w, w, s + j, s + j + length, b"") for j, w in enumerate(whole)]
+                    for same, k, first, end, held in each:
+                        if same in seen:
+                            done.append((doc, first, end))
+                        else:
+                            seen.add(same)
+                            key.append(k)
+                            docs.append(doc)
+                            starts.append(first)
+                            data.append(held)
             yield pd.DataFrame({
                 "key": key + [d[0] for d in done], "doc": docs + [d[0] for d in done], "start": starts + [d[1] for d in done],
                 "end": [0] * len(key) + [d[2] for d in done], "piece": data + [None] * len(done)})
@@ -295,22 +338,29 @@ def repeats(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, length: i
 
 
 def _spans(length: int):
-    """Rows of a partition come sorted by key; keys are taken together up to some size."""
+    """Rows of a partition come sorted by key, then age; keys are taken together up to some size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, docs, starts, data, size = None, [], [], [], 0
+        docs, starts, data, size, last, window = [], [], [], 0, None, None
         for b in batches:
-            ready = b[b["piece"].isna()]
-            if len(ready):
-                yield ready[["doc", "start", "end"]]
-            for k, d, s, p in b.loc[b["piece"].notna(), ["key", "doc", "start", "piece"]].itertuples(index=False):
-                if k != key and size >= ARRAY_BYTES:
-                    yield pd.DataFrame(dict(zip(("doc", "start", "end"), repeats(data, np.array(docs), np.array(starts), length), strict=True)))
+            ready = b["piece"].isna()
+            out = [b.loc[ready, ["doc", "start", "end"]]]
+            windows = []
+            for k, d, s, p in b.loc[~ready, ["key", "doc", "start", "piece"]].itertuples(index=False):
+                if not len(p):  # a window of a hot fingerprint: the key is its hash
+                    if window == k:
+                        windows.append((d, s, s + length))
+                    window = k
+                    continue
+                if k != last and size >= ARRAY_BYTES:
+                    out.append(pd.DataFrame(dict(zip(("doc", "start", "end"), repeats(data, np.array(docs), np.array(starts), length), strict=True))))
                     docs, starts, data, size = [], [], [], 0
-                key, size = k, size + len(p)
+                last, size = k, size + len(p)
                 docs.append(d)
                 starts.append(s)
                 data.append(p)
+            out.append(pd.DataFrame(windows, columns=["doc", "start", "end"]))
+            yield pd.concat(out)
         if data:
             yield pd.DataFrame(dict(zip(("doc", "start", "end"), repeats(data, np.array(docs), np.array(starts), length), strict=True)))
 
@@ -328,26 +378,34 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Byte spans that repeat an earlier start, unmerged, as (doc, spans array<struct<start,end>>).
+def _of_document(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def repeated_spans(text: DataFrame, length: int) -> DataFrame:
+    """Byte spans of texts (doc, t, other columns) that repeat an earlier start: (doc, spans), unmerged.
 
     Every window of ``length`` bytes belongs to its least fingerprint (of 32 bytes), so
-    equal windows share one. Fingerprints that occur once are dropped by their hashes alone;
-    the bytes around the others meet by fingerprint, and an enhanced suffix array over them
-    gives maximal repeats with all occurrences. A fingerprint with over 4,096 pieces is
-    dealt by whole windows, and equal pieces of a batch travel once.
+    equal windows share one. Runs of windows with one fingerprint are told apart by a hash of
+    their bytes: equal ones repeat the oldest, and a fingerprint with one content is
+    done. The bytes of the others' oldest meet by fingerprint, and an enhanced
+    suffix array over them gives maximal repeats with all occurrences. A fingerprint with
+    over 32,768 contents is dealt by hashes of whole windows instead.
     """
-    spark = session(docs)
-    text = docs.where(F.octet_length(text_col) >= length).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
+    spark = session(text)
     buckets = max(64, 2 * partitions(spark))
-    places = cut(
-        text.mapInPandas(_fingerprints(length, buckets), "bucket int, kind int, h binary, x binary, y binary")
-        .groupBy("bucket").applyInPandas(_repeated, "h bigint, doc bigint, at bigint, hot boolean"), "suffix-places")
-    heated = places.where("hot").orderBy(F.desc("at"), "h").limit(HOT_KEYS).select("h").toPandas()["h"].to_numpy(np.int64)
-    of_doc = places.where("not hot").groupBy("doc").agg(F.collect_list("h").alias("h"), F.collect_list("at").alias("at"))
-    pieces = text.join(of_doc, "doc").mapInPandas(_pieces(length, heated), "key bigint, doc bigint, start bigint, end bigint, piece binary")
-    spans = pieces.repartition("key").sortWithinPartitions("key").mapInPandas(_spans(length), "doc bigint, start bigint, end bigint")
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = cut(
+        text.where(F.octet_length("t") >= length).select("doc", "t")
+        .mapInPandas(_fingerprints(length, buckets), "bucket int, kind int, w binary, x binary, y binary, z binary")
+        .groupBy("bucket").applyInPandas(_met(length), "kind int, doc bigint, a bigint, b bigint"), "suffix-places")
+    # at most HOT_KEYS fingerprints of 8 bytes
+    hot = found.where(F.col("kind") == HOT).orderBy(F.desc("b"), "a").limit(HOT_KEYS).select("a").toPandas()["a"].to_numpy(np.int64)
+    places = found.where(F.col("kind") == PLACE).groupBy("doc").agg(F.collect_list("a").alias("h"), F.collect_list("b").alias("place"))
+    # all columns of the text stay, so that its exchange is the one that the result's join uses again
+    pieces = text.join(places, "doc").mapInPandas(_pieces(length, hot), "key bigint, doc bigint, start bigint, end bigint, piece binary")
+    compared = pieces.repartition("key").sortWithinPartitions("key", "doc", "start").mapInPandas(_spans(length), "doc bigint, start bigint, end bigint")
+    same = found.where(F.col("kind") == SPAN).select("doc", F.col("a").alias("start"), F.col("b").alias("end"))
+    return _of_document(same.unionByName(compared))
 
 
 def _results(text: bool, carry: int):
@@ -382,10 +440,11 @@ def dedup(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: s
     shorter than ``length`` lose nothing; an empty table gives none. Ids must be unique and
     not null where texts are to lose anything; other columns are ignored.
     """
-    spans = repeated_spans(docs, length, id_col, text_col)
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
     extra = {f"c{i}": c for i, c in enumerate(carry)}
-    whole = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"), *(F.col(c).alias(k) for k, c in extra.items()))
-    schema = f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string" + "".join(f", {k} {dict(whole.dtypes)[k]}" for k in extra)
-    out = whole.join(spans, "doc", "left").mapInPandas(_results(keep_text, len(carry)), schema)
+    # a key that can't be null, so that both joins of the text agree on its exchange
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")
+    text = docs.select(key, F.col(text_col).alias("t"), *(F.col(c).alias(k) for k, c in extra.items()))
+    schema = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string" + "".join(f", {k} {dict(text.dtypes)[k]}" for k in extra)
+    out = text.join(repeated_spans(text, length), "doc", "left").mapInPandas(_results(keep_text, len(carry)), schema)
+    out = out.withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
     return (out if keep_text else out.drop("kept")).withColumnsRenamed({"doc": id_col, "kept": text_col} | extra)
