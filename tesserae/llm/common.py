@@ -79,7 +79,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             labels = jumped
         else:
             labels = cut(
-                labels.join(jumped.withColumnsRenamed({"v": "p", "p": "next"}), "p", "left")
+                labels.join(jumped.select(F.col("v").alias("p"), F.col("p").alias("next")), "p", "left")
                 .select("v", F.coalesce("next", "p").alias("p")), "labels")
     if labels is None:
         return spark.createDataFrame([], "id bigint, component_id bigint")
