@@ -22,8 +22,10 @@ FREQUENT, TIMES_MEAN = 64, 4
 COMBINE, LARGE = 2, 100
 #: Members of a posting list that are compared in all pairs; others first with one of them.
 ALL_PAIRS = 8
-#: Bits of a set's parity bitmap.
+#: Bits of a set's parity bitmap at least; twice as many with each doubling of the set beyond.
 BITS = 512
+#: Words of bitmaps that are compared at once.
+WORDS = 1 << 21
 #: Text that is indexed at once, in characters, and members of a block.
 TEXT, BLOCK = 8 << 20, 1024
 _PAIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -37,7 +39,9 @@ def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[list, l
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Bit i: whether an odd number of tokens falls on it. Halves combined by XOR are the bitmap of half the length."""
+    bits = BITS << max(0, (len(s) - 1).bit_length() - BITS.bit_length() + 1)
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _described(words: int):
@@ -165,38 +169,76 @@ def _candidates(num: int, den: int):
     return run
 
 
-def _bits(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), BITS // 64)
+def _folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length at a shorter one, as 64-bit words."""
+    x = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+    while x.shape[1] * 8 > size:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
 
 
-def _possible(na, nb, xa, xb, num: int, den: int) -> np.ndarray:
-    """Whether sizes and bitmaps allow the similarity: differing bits count differing tokens at most once each."""
-    differ = np.bitwise_count(xa ^ xb).sum(axis=-1, dtype=np.int64)
+def _possible(na, nb, differ, num: int, den: int) -> np.ndarray:
+    """Whether sizes and differing bits, each of at least one differing token, allow the similarity."""
     return (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (differ * (den + num) <= (den - num) * (na + nb))
 
 
 def _filtered(num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield p.loc[_possible(p["na"].to_numpy(), p["nb"].to_numpy(), _bits(p["xa"]), _bits(p["xb"]), num, den), ["a", "b"]]
+            for (la, lb), g in p.groupby([p["xa"].map(len), p["xb"].map(len)]):
+                x, y = _folded(g["xa"].tolist(), min(la, lb)), _folded(g["xb"].tolist(), min(la, lb))
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                yield g.loc[_possible(g["na"].to_numpy(), g["nb"].to_numpy(), differ, num, den), ["a", "b"]]
 
     return run
 
 
-def _across(num: int, den: int):
+def _pairs_across(rows: pd.DataFrame, num: int, den: int) -> list[np.ndarray]:
     """Pairs of a posting list's two blocks that lie in different components and may be similar."""
+    out = []
+    rows = rows.assign(size=rows["bits"].map(len))
+    for la, left in rows[rows["role"] == 0].groupby("size"):
+        for lb, right in rows[rows["role"] == 1].groupby("size"):
+            if max(la, lb) > 2 * min(la, lb):
+                continue  # sizes too far apart
+            x, y = _folded(left["bits"].tolist(), min(la, lb)), _folded(right["bits"].tolist(), min(la, lb))
+            n, doc, root = (right[c].to_numpy()[None, :] for c in ("n", "doc", "root"))
+            step = max(1, WORDS // y.size)
+            for at in range(0, len(x), step):
+                m, d, r = (left[c].to_numpy()[at : at + step, None] for c in ("n", "doc", "root"))
+                differ = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero((root != r) & (doc > d) & _possible(m, n, differ, num, den))
+                out.append(np.stack([d[i, 0], doc[0, j]], 1))
+    return out
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        out = [np.zeros((0, 2), np.int64)]
-        if len(left) and len(right):
-            x, y = _bits(left["bits"]), _bits(right["bits"])
-            n, doc, root = right["n"].to_numpy(), right["doc"].to_numpy(), right["root"].to_numpy()
-            for i, (m, d, r) in enumerate(left[["n", "doc", "root"]].itertuples(index=False)):
-                hit = np.flatnonzero((root != r) & (doc > d) & _possible(m, n, x[i], y, num, den))
-                out.append(np.stack([np.full(len(hit), d), doc[hit]], 1))
-        found = np.concatenate(out)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+def _across(num: int, den: int):
+    """Rows come sorted by block pair; a pair's rows may run over batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+
+        def flush() -> pd.DataFrame:
+            found = [np.zeros((0, 2), np.int64)]
+            for _, g in pd.concat(held).groupby(["sig", "i", "j"], sort=False):
+                found += _pairs_across(g, num, den)
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        for b in batches:
+            key = list(zip(b["sig"], b["i"], b["j"], strict=True))
+            edge = next((k for k in range(len(key) - 1, -1, -1) if key[k] != key[-1]), -1) + 1
+            if edge or (last is not None and key[0] != last):
+                if edge:
+                    held.append(b.iloc[:edge])
+                yield flush()
+                held = []
+            held.append(b.iloc[edge:])
+            last = key[-1]
+        if held:
+            yield flush()
 
     return run
 
@@ -275,7 +317,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
         place = lambda mine: F.when(F.col("role") == mine, F.col("own")).otherwise(F.col("other"))
         more = (
             dealt.select("sig", place(0).alias("i"), place(1).alias("j"), "role", "doc", "n", "bits", "root")
-            .groupBy("sig", "i", "j").applyInPandas(_across(num, den), "a bigint, b bigint").distinct())
+            .repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInPandas(_across(num, den), "a bigint, b bigint").distinct())
         links = links.unionByName(verified(cut(more, "shingle-across"), "shingle-late"))
     groups = connected_components(links).withColumnsRenamed({"id": "rep", "component_id": "component"})
     final = cut(classes.join(groups, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "shingle-components")
