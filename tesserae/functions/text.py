@@ -62,7 +62,7 @@ def numbered_excerpt(lines: Column, first: Column, most_lines: int = 40, most_by
 
 def prompt(text: Column) -> Column:
     """Trim lines, collapse three or more line ends to two."""
-    lined = F.array_join(F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1), F.trim), "\n")
+    lined = F.array_join(F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1), lambda l: F.trim(l)), "\n")
     return F.trim(F.regexp_replace(lined, "\n{3,}", "\n\n"))
 
 
@@ -109,7 +109,7 @@ def human_list(items: Column) -> Column:
 
 def subject(message: Column) -> Column:
     """The first line that isn't blank, trimmed."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(message, "\n"), F.trim), lambda l: l != ""), 0), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(F.split(message, "\n"), lambda l: F.trim(l)), lambda l: l != ""), 0), F.lit(""))
 
 
 def short_revision(rev: Column, size: int = 12) -> Column:

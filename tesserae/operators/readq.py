@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,15 +71,67 @@ def within_bytes(rows: DataFrame, order: str, most: int) -> DataFrame:
     return sized.withColumn("_sum", running).where(F.col("_sum") <= most).drop("_size", "_sum")
 
 
-def pointer(json: Column, path: str) -> Column:
-    """The value at a JSON pointer as exact text; null if there is none."""
+def _steps(path: str) -> list[str]:
     if path and not path.startswith("/"):
         raise ValueError("a pointer is empty or starts with /")
-    out = "$"
-    for step in path.split("/")[1:]:
-        key = step.replace("~1", "/").replace("~0", "~")
-        out += f"[{key}]" if re.fullmatch(r"0|[1-9][0-9]*", key) else "['" + key.replace("'", "\\'") + "']"
-    return F.get_json_object(json, out)
+    return [s.replace("~1", "/").replace("~0", "~") for s in path.split("/")[1:]]
+
+
+def pointer(json: Column, path: str) -> Column:
+    """The value at a JSON pointer as text; null if there is none.
+
+    Numbers of up to 38 digits keep their value; ``exact_pointer`` keeps their text.
+    """
+    index = re.compile(r"0|[1-9][0-9]*")
+    quoted = lambda k: k.replace("\\", "\\\\").replace("'", "\\'")
+    out = "$" + "".join(f"[{k}]" if index.fullmatch(k) else f"['{quoted(k)}']" for k in _steps(path))
+    return F.try_variant_get(F.try_parse_json(json), out, "string")
+
+
+def exact_pointer(json: Column, path: str) -> Column:
+    """The same, with numbers as they are written, of any length."""
+    steps = _steps(path)
+
+    class Number(str):
+        __slots__ = ()
+
+    def text(v):
+        import json as j
+
+        if isinstance(v, str) or v is None:
+            return v
+        held: list[str] = []
+
+        def shown(x):
+            if isinstance(x, Number):
+                held.append(str(x))
+                return f"\0{len(held) - 1}\0"
+            return {k: shown(y) for k, y in x.items()} if isinstance(x, dict) else [shown(y) for y in x] if isinstance(x, list) else x
+
+        out = j.dumps(shown(v), separators=(",", ":"), ensure_ascii=False)
+        return re.sub(r'"\\u0000(\d+)\\u0000"', lambda m: held[int(m[1])], out)
+
+    def one(doc: str | None) -> str | None:
+        import json as j
+
+        try:
+            v = j.loads(doc, parse_int=Number, parse_float=Number) if doc is not None else None
+        except ValueError:
+            return None
+        for s in steps:
+            if isinstance(v, dict) and s in v:
+                v = v[s]
+            elif isinstance(v, list) and re.fullmatch(r"0|[1-9][0-9]*", s) and int(s) < len(v):
+                v = v[int(s)]
+            else:
+                return None
+        return text(v)
+
+    @F.pandas_udf("string")
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(one, na_action=None)
+
+    return run(json)
 
 
 def json_members(rows: DataFrame, key: str, json: str) -> DataFrame:

@@ -24,8 +24,8 @@ def scan(spark: SparkSession, root: str, scope: list[str] | None = None) -> Data
     is applied to the listing. Returns path, size, modified, content, reason.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"  # below whatever form of the scheme the reader gives
+    path = F.substring_index("path", base, -1)
     out = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     if scope:
         out = out.where(P.in_scope(F.col("path"), P.normalized_scope(scope)))
