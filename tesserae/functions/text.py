@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalized_query(q: Column) -> Column:
     """Trim, collapse white space, lower case."""
     return F.lower(F.trim(F.regexp_replace(q, r"\s+", " ")))
@@ -62,8 +67,8 @@ def numbered_excerpt(lines: Column, first: Column, most_lines: int = 40, most_by
 
 def prompt(text: Column) -> Column:
     """Trim lines, collapse three or more line ends to two."""
-    lined = F.array_join(F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1), lambda l: F.trim(l)), "\n")
-    return F.trim(F.regexp_replace(lined, "\n{3,}", "\n\n"))
+    lined = F.array_join(F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1), lambda l: stripped(l)), "\n")
+    return stripped(F.regexp_replace(lined, "\n{3,}", "\n\n"))
 
 
 def single_line(text: Column, most: int) -> Column:
@@ -109,7 +114,7 @@ def human_list(items: Column) -> Column:
 
 def subject(message: Column) -> Column:
     """The first line that isn't blank, trimmed."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(message, "\n"), lambda l: F.trim(l)), lambda l: l != ""), 0), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(F.split(message, "\n"), lambda l: stripped(l)), lambda l: l != ""), 0), F.lit(""))
 
 
 def short_revision(rev: Column, size: int = 12) -> Column:
@@ -151,7 +156,7 @@ def line_count(text: Column) -> Column:
 
 def clamped_message(message: Column, most_lines: int = 10, most_words: int = 1000) -> Column:
     """The first lines, and of them the first words (I16)."""
-    lines = F.slice(F.split(F.trim(message), "\n"), 1, most_lines)
+    lines = F.slice(F.split(stripped(message), "\n"), 1, most_lines)
 
     def step(s, l):
         words = F.filter(F.split(l, r"\s+"), lambda w: w != "")
@@ -161,4 +166,4 @@ def clamped_message(message: Column, most_lines: int = 10, most_words: int = 100
         return F.struct((s["n"] + F.size(kept)).alias("n"), F.when(more, F.array_append(s["out"], line)).otherwise(s["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-    return F.trim(F.aggregate(lines, start, step, lambda s: F.array_join(s["out"], "\n")))
+    return stripped(F.aggregate(lines, start, step, lambda s: F.array_join(s["out"], "\n")))
