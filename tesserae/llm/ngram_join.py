@@ -22,8 +22,8 @@ FREQUENT, TIMES_MEAN = 64, 4
 COMBINE, LARGE = 2, 100
 #: Members of a posting list that are compared in all pairs; others first with one of them.
 ALL_PAIRS = 8
-#: Bits of a set's parity bitmap at least; twice as many with each doubling of the set beyond.
-BITS = 512
+#: Bits of a set's parity bitmap at least; a bitmap has two to four bits for each token.
+BITS = 1024
 #: Words of bitmaps that are compared at once.
 WORDS = 1 << 21
 #: Text that is indexed at once, in characters, and members of a block.
@@ -40,7 +40,7 @@ def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[list, l
 
 def _bitmap(s: np.ndarray) -> bytes:
     """Bit i: whether an odd number of tokens falls on it. Halves combined by XOR are the bitmap of half the length."""
-    bits = BITS << max(0, (len(s) - 1).bit_length() - BITS.bit_length() + 1)
+    bits = max(BITS, 2 << max(0, len(s) - 1).bit_length())
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -194,12 +194,15 @@ def _filtered(num: int, den: int):
     return run
 
 
-def _pairs_across(rows: pd.DataFrame, num: int, den: int) -> list[np.ndarray]:
-    """Pairs of a posting list's two blocks that lie in different components and may be similar."""
+def _pairs_across(rows: pd.DataFrame, num: int, den: int, nearest: bool) -> list[np.ndarray]:
+    """Pairs of a posting list's two blocks that lie in different components and may be similar.
+
+    With ``nearest`` only each row's most similar one by bitmap. Role 2 stands on both sides.
+    """
     out = []
     rows = rows.assign(size=rows["bits"].map(len))
-    for la, left in rows[rows["role"] == 0].groupby("size"):
-        for lb, right in rows[rows["role"] == 1].groupby("size"):
+    for la, left in rows[rows["role"] != 1].groupby("size"):
+        for lb, right in rows[rows["role"] != 0].groupby("size"):
             if max(la, lb) > 2 * min(la, lb):
                 continue  # sizes too far apart
             x, y = _folded(left["bits"].tolist(), min(la, lb)), _folded(right["bits"].tolist(), min(la, lb))
@@ -208,12 +211,18 @@ def _pairs_across(rows: pd.DataFrame, num: int, den: int) -> list[np.ndarray]:
             for at in range(0, len(x), step):
                 m, d, r = (left[c].to_numpy()[at : at + step, None] for c in ("n", "doc", "root"))
                 differ = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero((root != r) & (doc > d) & _possible(m, n, differ, num, den))
-                out.append(np.stack([d[i, 0], doc[0, j]], 1))
+                good = (root != r) & _possible(m, n, differ, num, den)
+                if nearest:
+                    best = np.where(good, differ / (m + n), np.inf).argmin(axis=1)
+                    i = np.flatnonzero(good[np.arange(len(best)), best])
+                    j = best[i]
+                else:
+                    i, j = np.nonzero(good & (doc > d))
+                out.append(np.stack([np.minimum(d[i, 0], doc[0, j]), np.maximum(d[i, 0], doc[0, j])], 1))
     return out
 
 
-def _across(num: int, den: int):
+def _across(num: int, den: int, nearest: bool):
     """Rows come sorted by block pair; a pair's rows may run over batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +232,7 @@ def _across(num: int, den: int):
         def flush() -> pd.DataFrame:
             found = [np.zeros((0, 2), np.int64)]
             for _, g in pd.concat(held).groupby(["sig", "i", "j"], sort=False):
-                found += _pairs_across(g, num, den)
+                found += _pairs_across(g, num, den, nearest)
             pairs = np.unique(np.concatenate(found), axis=0)
             return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -273,8 +282,9 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     rare tokens singly, frequent ones in pairs (see ``signatures``). A short posting list
     gives all its pairs; a long one pairs its members with one of them. Pairs that pass the
     size and bitmap bounds are verified on the texts. Long lists whose members
-    are then in one component are done; in others the pairs across components are
-    tried, in blocks, so that no link that would join components is lost.
+    are then in one component are done; in others each member is tried with its nearest one
+    of another component, and then all pairs across components that are left, in
+    blocks, so that no link that would join components is lost.
     """
     spark = session(docs)
     text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
@@ -303,21 +313,25 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
         return cut(both.mapInPandas(_verified(words, num, den), "a bigint, b bigint"), name)
 
     links = verified(cut(named(found.where("not member").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()), "shingle-near"), "shingle-links")
-    roots = connected_components(links).withColumnsRenamed({"id": "rep", "component_id": "root"})
-    members = found.where("member").select(F.col("x").alias("sig"), F.col("y").alias("doc")).join(classes_of, "doc")
-    members = cut(
-        members.join(roots, "rep", "left").select("sig", F.col("rep").alias("doc"), "n", "bits", F.coalesce("root", "rep").alias("root")), "shingle-members")
-    open_lists = (
-        members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("who"))
-        .where("low <> high").groupBy("who", "size").agg(F.min("sig").alias("sig")))
-    blocks = cut(open_lists.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "shingle-open")
-    if not blocks.isEmpty():
-        dealt = members.dropDuplicates(["sig", "doc"]).join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("role"))
+    members = cut(found.where("member").select(F.col("x").alias("sig"), F.col("y").alias("doc")).join(own.select("doc", "rep"), "doc").select("sig", "rep"), "shingle-members")
+    facts_of = classes.select("rep", "n", "bits")
+    for nearest in (True, False):
+        # first each document with its nearest one elsewhere, which joins most that can be joined; then all that is left
+        roots = connected_components(links).withColumnsRenamed({"id": "rep", "component_id": "root"})
+        placed = members.join(roots, "rep", "left").select("sig", "rep", F.coalesce("root", "rep").alias("root"))
+        open_lists = (
+            placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"))
+            .where("low <> high").groupBy("who", "size").agg(F.min("sig").alias("sig")))
+        blocks = cut(open_lists.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "shingle-open")
+        if blocks.isEmpty():
+            break
+        dealt = cut(placed.join(blocks, "sig").distinct(), "shingle-dealt").join(facts_of, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        sides = F.when(F.col("blocks") == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("*", F.explode(sides).alias("role"))
         place = lambda mine: F.when(F.col("role") == mine, F.col("own")).otherwise(F.col("other"))
         more = (
-            dealt.select("sig", place(0).alias("i"), place(1).alias("j"), "role", "doc", "n", "bits", "root")
-            .repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInPandas(_across(num, den), "a bigint, b bigint").distinct())
+            dealt.select("sig", place(0).alias("i"), place(1).alias("j"), "role", F.col("rep").alias("doc"), "n", "bits", "root")
+            .repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInPandas(_across(num, den, nearest), "a bigint, b bigint").distinct())
         links = links.unionByName(verified(cut(more, "shingle-across"), "shingle-late"))
     groups = connected_components(links).withColumnsRenamed({"id": "rep", "component_id": "component"})
     final = cut(classes.join(groups, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "shingle-components")
