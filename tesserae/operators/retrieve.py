@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..plans.graph import written
 
 
 def line_chunks(docs: DataFrame, size: int = 80, step: int = 60) -> DataFrame:
@@ -47,6 +48,7 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: list[tuple[str, str,
     found = found.withColumns({
         "cosine": V.cosine(F.col("q.vector"), F.col("vector")), "length": F.size("terms"),
         "tf": F.transform("query_terms", lambda t: F.size(F.filter("terms", lambda x: x == t)))}).drop("terms", "vector", "q")
+    found = written(found)  # texts are read and cut into terms once; what is kept of them is small
     counted = found.select("query_id", F.posexplode("tf").alias("pos", "n")).groupBy("query_id", "pos").agg(F.sum((F.col("n") > 0).cast("long")).alias("df"))
     dfs = counted.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "df"))), lambda x: x["df"]).alias("df"))
     totals = found.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("length").alias("average"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Written to the folder that driver and executors share, which cuts lineage."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tesserae"
@@ -24,16 +24,16 @@ def reachable(edges: DataFrame, starts: DataFrame, child: str = "sha", parent: s
     A frontier at a time: only new nodes join the edges, so each edge is read a bounded
     number of times; rounds are as many as the longest least path.
     """
-    known = frontier = _cut(starts.select(F.col("node"), F.lit(0).alias("distance")).dropDuplicates(["node"]))
+    known = frontier = written(starts.select(F.col("node"), F.lit(0).alias("distance")).dropDuplicates(["node"]))
     steps = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("next"))
     for turn in range(1, most):
         found = steps.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct().join(known, "node", "left_anti")
-        frontier = _cut(found.select("node", F.lit(turn).alias("distance")))
+        frontier = written(found.select("node", F.lit(turn).alias("distance")))
         if frontier.isEmpty():
             return known
         known = known.unionByName(frontier)
         if turn % 16 == 0:
-            known = _cut(known)
+            known = written(known)
     raise ValueError(f"no fixed point after {most} rounds")
 
 
@@ -44,10 +44,10 @@ def commit_range(edges: DataFrame, base: DataFrame, release: DataFrame, **names:
 
 def depths(rows: DataFrame, most: int = 3, key: str = "id", parent: str = "parent_id") -> DataFrame:
     """Follow-up depth: a parent's plus 1, 0 again beyond ``most``."""
-    known = frontier = _cut(rows.where(F.col(parent).isNull()).select(F.col(key).alias("id"), F.lit(0).alias("depth")))
+    known = frontier = written(rows.where(F.col(parent).isNull()).select(F.col(key).alias("id"), F.lit(0).alias("depth")))
     while not frontier.isEmpty():
         step = rows.join(frontier, rows[parent] == frontier["id"]).select(rows[key].alias("id"), F.when(F.col("depth") >= most, 0).otherwise(F.col("depth") + 1).alias("depth"))
-        frontier = _cut(step.join(known.select("id"), "id", "left_anti"))
+        frontier = written(step.join(known.select("id"), "id", "left_anti"))
         known = known.unionByName(frontier)
     return known
 
@@ -72,7 +72,7 @@ def merkle(files: DataFrame) -> DataFrame:
         name = F.substring_index("path", "/", -1)
         entry = F.concat(F.octet_length(name).cast("string"), F.lit(":"), name, F.lit(":"), F.col("hash"))
         made = here.groupBy(directory(F.col("path")).alias("dir")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\n"), 256).alias("hash"))
-        made = _cut(made)
+        made = written(made)
         out = made if out is None else out.unionByName(made)
         level = level.unionByName(made.where("dir <> '.'").select(F.col("dir").alias("path"), "hash"))
     return out if out is not None else files.select(F.lit("").alias("dir"), F.lit("").alias("hash")).limit(0)
