@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 def written(df: DataFrame) -> DataFrame:
     """Written to the folder that driver and executors share, which cuts lineage."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tesserae"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or f"file://{tempfile.gettempdir()}/tesserae"
     path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
