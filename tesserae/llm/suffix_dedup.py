@@ -337,6 +337,20 @@ def repeats(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, length: i
     return own_doc[where], own_start[where], own_start[where] + size
 
 
+def united(spans: pd.DataFrame) -> pd.DataFrame:
+    """Spans of each document united where they touch or overlap."""
+    if spans.empty:
+        return spans
+    doc, start, end = (spans[c].to_numpy(np.int64) for c in ("doc", "start", "end"))
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
+    lift = np.cumsum(fresh) * (end.max() + 1)  # keeps the running end of one document from the next
+    reach = np.maximum.accumulate(end + lift) - lift
+    first = np.flatnonzero(np.concatenate(([True], fresh[1:] | (start[1:] > reach[:-1]))))
+    return pd.DataFrame({"doc": doc[first], "start": start[first], "end": reach[np.append(first[1:], len(doc)) - 1]})
+
+
 def _spans(length: int):
     """Rows of a partition come sorted by key, then age; keys are taken together up to some size."""
 
@@ -360,9 +374,9 @@ def _spans(length: int):
                 starts.append(s)
                 data.append(p)
             out.append(pd.DataFrame(windows, columns=["doc", "start", "end"]))
-            yield pd.concat(out)
+            yield united(pd.concat(out))
         if data:
-            yield pd.DataFrame(dict(zip(("doc", "start", "end"), repeats(data, np.array(docs), np.array(starts), length), strict=True)))
+            yield united(pd.DataFrame(dict(zip(("doc", "start", "end"), repeats(data, np.array(docs), np.array(starts), length), strict=True))))
 
     return run
 
