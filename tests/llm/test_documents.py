@@ -178,6 +178,19 @@ def test_suffix_dedup_keeps_whole_characters(spark):
     assert {r.doc_id: (r.text, r.lang) for r in got} == {1: (first, "en"), 2: ("ũ!", "en")}
 
 
+def test_united_spans():
+    """Against the plain merge of each document's spans."""
+    import pandas as pd
+
+    r = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(r.integers(1, 40))
+        doc, start = r.integers(-3, 4, n), r.integers(0, 60, n)
+        end = start + r.integers(1, 12, n)
+        got = sorted(map(tuple, suffix_dedup.united(pd.DataFrame({"doc": doc, "start": start, "end": end})).itertuples(index=False)))
+        assert got == sorted((int(k), a, b) for k in set(doc.tolist()) for a, b in suffix_dedup.merged(start[doc == k], end[doc == k]))
+
+
 def test_longest_earlier():
     """Against all pairs: the longest prefix shared with an older entry of the interval."""
     r = np.random.default_rng(1)
