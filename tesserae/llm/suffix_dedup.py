@@ -257,7 +257,7 @@ def enhanced_suffix_array(text: np.ndarray, ends: np.ndarray, starts: np.ndarray
         rank = np.unique(rank << 32 | after, return_inverse=True)[1].astype(np.int64) + 1
         have *= 2
         ranks.append((have, rank))
-    sa = starts[np.argsort(rank[starts], kind="stable")]
+    sa = starts[np.lexsort((ends[starts] - starts, rank[starts]))]  # of suffixes that differ in NULs at the end alone the shorter one first
     a, b = sa[1:].copy(), sa[:-1].copy()
     common = np.zeros(len(a), np.int64)
     for size, r in reversed(ranks):
@@ -303,7 +303,8 @@ def repeats(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, length: i
     none = np.zeros(0, np.int64)
     if not len(heads):
         return none, none, none
-    sa, common = enhanced_suffix_array(text, ends, heads, length)
+    # to the end of the longest piece: the test for left extension needs common prefixes that are exact
+    sa, common = enhanced_suffix_array(text, ends, heads, int(sizes.max()))
     joined = common >= length
     opening = np.flatnonzero(~joined)  # intervals of suffixes that share at least `length` bytes
     sizes_of = np.diff(np.append(opening, len(sa)))

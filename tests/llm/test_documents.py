@@ -169,6 +169,46 @@ def test_suffix_dedup_giant_text(monkeypatch):
     assert at[-1] + n[-1] == len(data) - 99
 
 
+def _shared_at_lengths(seed: int):
+    """Pieces that share the start of one passage at lengths of 129 to 600 bytes, and passages with a recurring stretch, some cut before NULs."""
+    r = np.random.default_rng(seed)
+    letters = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes()
+    passage, stretch = letters(611), letters(40)
+    pieces = [letters(int(r.integers(0, 4))) + passage[: int(r.integers(129, 166))] + letters(2) for _ in range(4)]
+    again = (stretch + letters(30)) * 8
+    pieces += [letters(int(r.integers(0, 3))) + again[: int(r.integers(200, 520))] + letters(3) for _ in range(4)]
+    pieces += [passage[:150] + b"\0" * int(r.integers(0, 4)) for _ in range(3)]
+    return [pieces[i] for i in r.permutation(len(pieces))]
+
+
+def _covered(pieces, length: int):
+    seen, gone = set(), []
+    for p in pieces:
+        own = np.zeros(len(p), bool)
+        for s in range(len(p) - length + 1):
+            own[s : s + length] |= p[s : s + length] in seen
+            seen.add(p[s : s + length])
+        gone.append(own.tolist())
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_suffix_array_is_exact_over_whole_pieces(seed):
+    """Common prefixes beyond 128 and 255 bytes lose no window, at different lengths and with recurring stretches."""
+    pieces = _shared_at_lengths(seed)
+    docs, starts, ends = suffix_dedup.repeats(pieces, np.arange(len(pieces)), np.zeros(len(pieces), np.int64), 100)
+    got = [np.zeros(len(p), bool) for p in pieces]
+    for d, s, e in zip(docs.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        got[d][s:e] = True
+    assert [g.tolist() for g in got] == _covered(pieces, 100)
+
+
+def test_suffix_dedup_at_different_lengths(spark):
+    """The operator on whole documents that share a passage at different lengths."""
+    rows = [(k * 100 + i, p.decode()) for k in range(5) for i, p in enumerate(_shared_at_lengths(k))]
+    assert {r.doc_id: r[1:] for r in suffix_dedup.dedup(frame(spark, rows), 100).collect()} == suffix_rows(rows, 100)
+
+
 def test_suffix_dedup_keeps_whole_characters(spark):
     """A repeat that begins inside a character leaves the character."""
     shared = "".join(chr(97 + i * i % 26) + str(i) for i in range(60))
