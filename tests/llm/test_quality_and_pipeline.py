@@ -6,6 +6,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,36 @@ def test_classifier_on_held_out_documents(spark):
     assert r[3] <= 0.01 * r[2]
 
 
+def test_only_near_copies_leave_the_fit():
+    """A frequent bigram doesn't make unrelated documents copies; changed words do not make a copy its own text."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+    texts = [" ".join([*(word() for _ in range(60)), "of", "the", *(word() for _ in range(60))]) for _ in range(400)]
+    near = []
+    for k in (0, 1, 4, 8):
+        near.append(base.copy())
+        for at in r.sample(range(400), k):
+            near[-1][at] = word()
+    rows = [*texts, *(" ".join(n) for n in near), "one", "one"]
+    hashes, counts = quality.word_hashes(rows, quality._FOLD)
+    minima = [quality.minima(w) for w in np.split(hashes, np.cumsum(counts)[:-1])]
+    same = np.zeros((len(rows), 2), np.int64)
+    assert quality._own_texts(minima, same).tolist() == [True] * 401 + [False] * 3 + [True] * 2
+    same[402, 1] = 1  # a copy with another label stays
+    assert np.flatnonzero(~quality._own_texts(minima, same)).tolist() == [401, 403]
+
+
+@pytest.mark.parametrize("part", range(3))
+def test_toxic_recall_on_held_out_documents(spark, part):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    known = labels.where(f"doc_id % 3 <> {part}").select(F.col("doc_id").alias("doc"), (F.col("quality") == 0).cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic"))
+    model = quality.fitted(docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("t")), known)
+    toxic = [r.text for r in docs.join(labels.where(f"doc_id % 3 = {part} and toxic = 1"), "doc_id").collect()]
+    assert (model.logits(toxic)[:, 1] > 0).mean() >= 0.8
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     rows = corpus(seed=5, n=40)
