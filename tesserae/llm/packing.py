@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ from .tokens import ByteBpe, loaded
 GROUP_TOKENS = 4_000_000
 #: Sequences that may be passed over for one with room before a document is cut.
 LOOK_AHEAD = 8
-SCHEMA = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint"
+SCHEMA = "doc_id {id}, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint"
+NAMES = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
 
 
 def cost(length: int, limit: int) -> float:
@@ -66,28 +67,32 @@ def plan(lengths: list[int], limit: int) -> list[tuple[int, int, int, int, int]]
 
 
 def _packed(limit: int, path: str | None, end: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(ByteBpe, path)
         first = TaskContext.get().partitionId() << 40
-        group, held = [], 0
+        group, held, kind = [], 0, None
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal first, group, held
             lengths = [len(ids) for _, ids in group]
             pieces = sorted(plan(lengths, limit))
+            own = [group[d][1][at : at + n] for d, at, n, *_ in pieces]
             sizes = dict.fromkeys((p[3] for p in pieces), 0)
             for p in pieces:
                 sizes[p[3]] += p[2]
-            out = pd.DataFrame({
-                "doc_id": [group[d][0] for d, *_ in pieces], "start": [p[1] for p in pieces], "length": [p[2] for p in pieces],
-                "ids_crc32": [zlib.crc32(group[d][1][at : at + n].tobytes()) for d, at, n, *_ in pieces],
-                "doc_tokens": [lengths[p[0]] for p in pieces], "sequence_id": [first + p[3] for p in pieces],
-                "offset": [p[4] for p in pieces], "sequence_tokens": [sizes[p[3]] for p in pieces]})
+            long = lambda x: pa.array(x, pa.int64())
+            size = [p[2] for p in pieces]
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(np.concatenate(own).view("<i4")))
+            out = pa.RecordBatch.from_arrays([
+                pa.array([group[d][0] for d, *_ in pieces], kind), long([p[1] for p in pieces]), long(size), ids,
+                long([zlib.crc32(x) for x in own]), long([lengths[p[0]] for p in pieces]), long([first + p[3] for p in pieces]),
+                long([p[4] for p in pieces]), long([sizes[p[3]] for p in pieces])], NAMES)
             first, group, held = first + len(sizes), [], 0
             return out
 
         for b in batches:
-            for doc, text in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
+            kind = b.schema.field("doc_id").type
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.append(codec.ids(text or ""), np.array([end], "<u4"))
                 group.append((doc, ids))
                 held += len(ids)
@@ -102,6 +107,8 @@ def _packed(limit: int, path: str | None, end: int):
 def pack(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack whole documents into sequences of at most ``limit`` tokens; one row per piece.
 
+    A row has the piece's own ids (and a CRC of them as little-endian unsigned 32-bit
+    integers); the pieces of a sequence in order of offset are the sequence.
     Each input partition packs its own documents in groups of about 4 million tokens, so
     nothing is shuffled and a task's memory is bounded; a group ends with at most 11 short
     sequences, whose lengths are powers of two. A null or empty text is the end token
@@ -111,5 +118,5 @@ def pack(docs: DataFrame, limit: int = 2048, tokenizer: str | None = None, end:
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if id_col != "doc_id":
-        return picked.mapInPandas(_packed(limit, tokenizer, end), SCHEMA.format(id=kind)).withColumnRenamed("doc_id", id_col)
-    return picked.mapInPandas(_packed(limit, tokenizer, end), SCHEMA.format(id=kind))
+        return picked.mapInArrow(_packed(limit, tokenizer, end), SCHEMA.format(id=kind)).withColumnRenamed("doc_id", id_col)
+    return picked.mapInArrow(_packed(limit, tokenizer, end), SCHEMA.format(id=kind))

@@ -27,7 +27,8 @@ from .tokens import vocabulary
 CHUNK = 50_000
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-SCHEMA = "doc {id}, n_bytes bigint, n_tokens bigint, ids_crc32 bigint, n_chunks int, round_trip boolean"
+SCHEMA = "doc {id}, n_bytes bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, n_chunks int, decoded string, round_trip boolean"
+COLUMNS = ["doc", "n_bytes", "n_tokens", "ids", "ids_crc32", "n_chunks", "decoded", "round_trip"]
 
 
 class Codec:
@@ -164,7 +165,8 @@ def encode(c: Codec, texts: list[str], chunk: int = CHUNK) -> list[np.ndarray]:
 
 
 def _row(c: Codec, doc, text: str, ids: np.ndarray, n_chunks: int) -> tuple:
-    return doc, len(text.encode()), len(ids), zlib.crc32(ids.tobytes()), n_chunks, c.sp.decode(ids.tolist()) == text
+    decoded = c.sp.decode(ids.tolist())
+    return doc, len(text.encode()), len(ids), ids.view("<i4"), zlib.crc32(ids.tobytes()), n_chunks, decoded, decoded == text
 
 
 def _short(path: str):
@@ -173,7 +175,7 @@ def _short(path: str):
         for b in batches:
             texts = b["t"].tolist()
             rows = [_row(c, d, t, i, 1) for d, t, i in zip(b["doc"].tolist(), texts, encode(c, texts), strict=True)]
-            yield pd.DataFrame(rows, columns=["doc", "n_bytes", "n_tokens", "ids_crc32", "n_chunks", "round_trip"])
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return run
 
@@ -207,15 +209,15 @@ def _joined(path: str):
                 parts = sorted(parts, key=lambda p: p["k"])
                 ids = np.frombuffer(b"".join(p["ids"] for p in parts), "<u4")
                 rows.append(_row(c, doc, " ".join(p["t"] for p in parts), ids, len(parts)))
-            yield pd.DataFrame(rows, columns=["doc", "n_bytes", "n_tokens", "ids_crc32", "n_chunks", "round_trip"])
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
     return run
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts and decode them again: id, n_bytes, n_tokens, ids_crc32, n_chunks, round_trip.
+    """Encode whole texts and decode them again: id, n_bytes, n_tokens, ids, ids_crc32, n_chunks, decoded, round_trip.
 
-    ids_crc32 is over little-endian unsigned 32-bit ids; round_trip says whether decoding
+    decoded is the text of the ids; ids_crc32 is over little-endian unsigned 32-bit ids; round_trip says whether decoding
     gives the text back (not so for a text that holds the space mark itself). Texts of over
     ``chunk`` characters are split, their chunks encoded as tasks of their own and put
     together again by document. A null text is an empty one, with no ids; repeated rows keep
@@ -235,3 +237,33 @@ def encode_documents(docs: DataFrame, model: str | None = None, chunk: int = CHU
         pieces.repartition("uid", "k").mapInPandas(_encoded(path), f"uid string, doc {kind}, k int, t string, ids binary")
         .groupBy("uid", "doc").agg(F.collect_list(F.struct("k", "t", "ids")).alias("parts")))
     return short.unionByName(whole.mapInPandas(_joined(path), schema)).withColumnRenamed("doc", id_col)
+
+
+def _decoded(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(path)
+        size = c.sp.get_piece_size()
+
+        def text(ids) -> str | None:
+            if ids is None:
+                return None
+            own = [-1 if i is None or i != i else int(i) for i in ids]
+            return c.sp.decode(own) if all(0 <= i < size for i in own) else None
+
+        for b in batches:
+            yield pd.DataFrame({"doc": b["doc"], "text": [text(x) for x in b["ids"].tolist()]})
+
+    return run
+
+
+def decode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Texts of stored ids: id, text.
+
+    No ids are an empty text. Null ids, and ids of which one is null or not in the model, have a
+    null text; repeated rows keep a row each; an empty table gives none; other columns are ignored.
+    """
+    session(docs)
+    path = model or vocabulary("piece_bpe_32k.model")
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(ids_col).cast("array<bigint>").alias("ids"))
+    return rows.mapInPandas(_decoded(path), f"doc {kind}, text string").withColumnRenamed("doc", id_col)

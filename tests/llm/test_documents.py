@@ -258,6 +258,36 @@ def test_sentencepiece(docs, rows):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].ids_crc32, got[i].round_trip) == (len((t or "").encode()), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
 
 
+def test_packed_sequences_hold_the_ids(docs, rows):
+    """The pieces of a document put together are its ids; the pieces of a sequence fill it."""
+    codec, found, filled = ByteBpe(), defaultdict(dict), defaultdict(dict)
+    for p in packing.pack(docs, 64).collect():
+        assert len(p.ids) == p.length
+        assert p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes())
+        found[p.doc_id][p.start] = p.ids
+        filled[p.sequence_id][p.offset] = p.ids, p.sequence_tokens
+    for i, t in rows:
+        assert sum((found[i][k] for k in sorted(found[i])), []) == [*codec.full.encode(t or "", add_special_tokens=False).ids, 1]
+    for s in filled.values():
+        assert sum(len(ids) for ids, _ in s.values()) == next(iter(s.values()))[1]
+
+
+def test_sentencepiece_ids_and_their_texts(spark, docs, rows, tmp_path):
+    """Ids are the library's and come back as texts when they were stored, split texts included."""
+    import sentencepiece as sp
+
+    model = sp.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    sentencepiece_codec.encode_documents(docs, chunk=100).write.parquet(f"file://{tmp_path}/ids")
+    stored = spark.read.parquet(f"file://{tmp_path}/ids")
+    texts = {i: t or "" for i, t in rows}
+    assert {r.doc_id: (r.ids, r.decoded) for r in stored.collect()} == {i: (model.encode(t), t) for i, t in texts.items()}
+    assert {r.doc_id: r.text for r in sentencepiece_codec.decode_documents(stored).collect()} == texts
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [5, None]), (4, [1 << 30]), (5, [-1]), (None, [70]), (None, [70])], "doc_id bigint, ids array<int>")
+    got = sorted(((r.doc_id, r.text) for r in sentencepiece_codec.decode_documents(odd).collect()), key=str)
+    assert got == sorted([(1, None), (2, ""), (3, None), (4, None), (5, None), *[(None, model.decode([70]))] * 2], key=str)
+    assert sentencepiece_codec.decode_documents(stored.limit(0)).count() == 0
+
+
 def test_unigram_scan(tmp_path):
     """The max-plus scan over chunks gives the library's ids for a unigram model."""
     import sentencepiece as sp
