@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from .topk import usable
 #: Projections of unit vectors on Gaussian directions. Two vectors at cosine 0.98 lie 0.2
 #: apart, so a difference of their projections is normal with deviation 0.2.
 PROJECTIONS = 24
-#: Windows in deviations of a pair at the threshold: of the cells, and of the counts.
+#: Windows in deviations of a pair at the threshold: of cells by two projections, and of the counts.
 CELL_WINDOW, COUNT_WINDOW = 2.75, 2.0
 #: Collisions that a pair needs. Binomial(24, 0.954) stays below 18 with a chance under 1e-4.
 COLLISIONS = 18
@@ -28,6 +29,18 @@ def directions(dims: int, n: int) -> np.ndarray:
     return np.random.default_rng(17).standard_normal((n, dims)).T
 
 
+def cell_projections(largest: int) -> int:
+    """Projections that make a cell, by the distinct vectors of the largest label."""
+    return min(8, max(2, math.ceil(math.log(max(1, largest / 2000), 3))))
+
+
+def cell_window(primary: int) -> float:
+    """The window of each of ``primary`` projections, so that all together find a pair with the chance that two have."""
+    normal = NormalDist()
+    chance = (2 * normal.cdf(CELL_WINDOW) - 1) ** 2
+    return normal.inv_cdf((1 + chance ** (1 / primary)) / 2)
+
+
 def deviation(threshold: float) -> float:
     """Of the difference of two projections at the threshold: the distance of the unit vectors."""
     return math.sqrt(2 * (1 - threshold))
@@ -70,7 +83,7 @@ def _compare(threshold: float, primary: int):
         h, e = (np.array([np.frombuffer(u) for u in x["unit"]]) for x in (homes, every))
         a = directions(h.shape[1], primary + PROJECTIONS)
         ph, pe = h @ a, e @ a
-        widths = np.r_[np.full(primary, CELL_WINDOW * dev), np.full(PROJECTIONS, COUNT_WINDOW * dev)]
+        widths = np.r_[np.full(primary, cell_window(primary) * dev), np.full(PROJECTIONS, COUNT_WINDOW * dev)]
         hid, eid, weight = homes["id"].to_numpy(), every["id"].to_numpy(), every["weight"].to_numpy()
         order = np.argsort(pe, axis=0, kind="stable")
         rank = np.argsort(order, axis=0, kind="stable").astype(np.int32)
@@ -120,10 +133,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     Equal vectors of a label are compared once and weigh as many links as they are.
 
     Each vector goes to a cell by its first projections and to the cells its window
-    reaches; the more vectors a label has, the more projections make a cell. Within a cell
-    the window collisions over the other, sorted projections are counted for each pair, and
+    reaches; the more vectors the largest label has, the more projections make a cell, and the
+    wider their windows are. Within a cell the window collisions over the other, sorted projections are counted for each pair, and
     pairs that pass the count are verified by cosine. A pair at the threshold itself is
-    found with a chance of 0.994 to the number of cell projections; closer ones
+    found with a chance of 0.988 at every number of cell projections; closer ones
     with more. A cell of over 2,048 vectors is compared in pairs of blocks, and blocks
     send counts and one star per component, never their pairs.
     """
@@ -134,11 +147,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     reps = cut(
         plain.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vector-reps")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    primary = min(8, max(2, math.ceil(math.log(max(1, largest / 2000), 3))))
+    primary = cell_projections(largest)
     dev = deviation(threshold)
     copies = cut(
         reps.select(F.col("rep").alias("id"), F.col("label").cast("string"), "v", "weight")
-        .mapInPandas(_copies(primary, CELL_WINDOW * dev), "cell string, home boolean, id bigint, weight bigint, unit binary"), "vector-cells")
+        .mapInPandas(_copies(primary, cell_window(primary) * dev), "cell string, home boolean, id bigint, weight bigint, unit binary"), "vector-cells")
     sizes = cut(copies.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cell-sizes")
     dealt = copies.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

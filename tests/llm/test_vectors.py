@@ -98,6 +98,23 @@ def test_recall_near_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.95 * 2 * len(pairs)
 
 
+@pytest.mark.parametrize("primary", [2, 8])
+def test_recall_at_every_number_of_cell_projections(spark, primary, monkeypatch):
+    """Cells by eight projections, as for tables of millions, find as many pairs at the threshold as cells by two."""
+    monkeypatch.setattr(vector_dedup, "cell_projections", lambda largest: primary)
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(700):
+        a, n = r.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        n -= n @ a * a
+        n /= np.linalg.norm(n)
+        for j, v in ((2 * i, a), (2 * i + 1, 0.9801 * a + math.sqrt(1 - 0.9801**2) * n)):
+            rows.append((j, np.float32(v).tolist(), i % 3))
+    got = vector_dedup.near_vectors(table(spark, rows), 0.98).collect()
+    assert sum(r.n_links for r in got) >= 0.978 * 2 * 700
+
+
 def test_empty(spark):
     none = table(spark, [])
     assert topk.exact_topk(none, none).count() == 0
