@@ -45,6 +45,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Stands for a null id.
+NO_ID = -(1 << 63)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows (id bigint, t, other columns) with ``doc``, a key of each row in the order of ids, and nulls of id as NO_ID.
+
+    Unique ids are the keys. Where ids repeat or are null, rows are sorted by id (null ones last), text
+    and the other columns and numbered, so that each row is a document of its own.
+    """
+    known = F.coalesce(F.col("id"), F.lit(NO_ID))  # a key that can't be null, so that joins agree on its exchange
+    if rows.groupBy("id").count().where("id is null or count > 1").isEmpty():
+        return rows.withColumn("doc", known)
+    order = [F.asc_nulls_last("id"), *(F.col(c).cast("string") for c in rows.columns if c != "id")]
+    numbered = cut(rows.orderBy(*order).withColumn("doc", F.monotonically_increasing_id()), "row-keys")
+    return numbered.withColumn("id", known).withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph of bigint ids: (id, component_id), the smallest id of each.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, session
+from .common import NO_ID, keyed, partitions, session
 from .shingles import _ODD
 from .suffix_dedup import _mixed, merged, window_minima
 
@@ -132,16 +132,18 @@ def dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str =
     count for no run and stay. Earlier means a smaller id, or the same document and an
     earlier line. Returns id, text, n_lines, n_removed and the columns of ``carry``; others are ignored. A
     null text stays null with 0 lines; a text with fewer lines than a run stays as it is;
-    an empty table gives none. Ids must be unique and not null where lines are to go.
+    an empty table gives none. Rows of one id are documents of their own, in the order of
+    their texts; rows of null ids too, and come last.
     """
     spark = session(docs)
     extra = {f"c{i}": c for i, c in enumerate(carry)}
-    whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"), *(F.col(c).alias(k) for k, c in extra.items()))
-    text = whole.select("doc", "t")
-    lined = text.where(F.col("doc").isNotNull() & F.col("t").contains("\n"))
+    own = f"c{len(carry)}"  # the id travels as one more carried column
+    whole = keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *(F.col(c).alias(k) for k, c in extra.items()))).withColumnRenamed("id", own)
+    lined = whole.select("doc", "t").where(F.col("t").contains("\n"))
     starts = (
         lined.mapInPandas(_located(run, max(64, 2 * partitions(spark))), "bucket int, open boolean, k binary, x binary, y binary")
         .groupBy("bucket").applyInPandas(_repeated, "doc bigint, start bigint").groupBy("doc").agg(F.collect_list("start").alias("starts")))
-    schema = "doc bigint, text string, n_lines bigint, n_removed bigint" + "".join(f", {k} {dict(whole.dtypes)[k]}" for k in extra)
-    out = whole.join(starts, "doc", "left").mapInPandas(_cleaned(run, len(carry)), schema)
-    return out.withColumnsRenamed({"doc": id_col, "text": text_col} | extra)
+    kinds = dict(whole.dtypes)
+    schema = "doc bigint, text string, n_lines bigint, n_removed bigint" + "".join(f", {k} {kinds[k]}" for k in [*extra, own])
+    out = whole.join(starts, "doc", "left").mapInPandas(_cleaned(run, len(carry) + 1), schema)
+    return out.withColumn("doc", F.nullif(own, F.lit(NO_ID))).drop(own).withColumnsRenamed({"doc": id_col, "text": text_col} | extra)

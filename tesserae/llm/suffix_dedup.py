@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, session
+from .common import NO_ID, cut, keyed, partitions, session
 
 #: Bytes of a fingerprint.
 GRAM = 32
@@ -24,9 +24,6 @@ HOT_PIECES, MANY_PIECES = 1 << 15, 16
 #: Entries of the list of such fingerprints, which bounds its broadcast to 16 MB.
 HOT_KEYS = 1 << 21
 
-#: Stands for a null id.
-NO_ID = -(1 << 63)
-
 _rng = np.random.default_rng(23)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -452,14 +449,14 @@ def dedup(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: s
     Earlier means a smaller document id, or the same document and an earlier start. Returns
     id, n_bytes, n_removed, n_spans, kept_sha256 and the columns of ``carry``; with ``keep_text``
     also the kept text, from which only whole characters are removed. A null text is an empty one; texts
-    shorter than ``length`` lose nothing; an empty table gives none. Ids must be unique and
-    not null where texts are to lose anything; other columns are ignored.
+    shorter than ``length`` lose nothing; an empty table gives none. Rows of one id are documents of their
+    own, in the order of their texts; rows of null ids too, and come last; other columns are ignored.
     """
     extra = {f"c{i}": c for i, c in enumerate(carry)}
-    # a key that can't be null, so that both joins of the text agree on its exchange
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")
-    text = docs.select(key, F.col(text_col).alias("t"), *(F.col(c).alias(k) for k, c in extra.items()))
-    schema = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string" + "".join(f", {k} {dict(text.dtypes)[k]}" for k in extra)
-    out = text.join(repeated_spans(text, length), "doc", "left").mapInPandas(_results(keep_text, len(carry)), schema)
-    out = out.withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
+    own = f"c{len(carry)}"  # the id travels as one more carried column
+    text = keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *(F.col(c).alias(k) for k, c in extra.items()))).withColumnRenamed("id", own)
+    kinds = dict(text.dtypes)
+    schema = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string" + "".join(f", {k} {kinds[k]}" for k in [*extra, own])
+    out = text.join(repeated_spans(text, length), "doc", "left").mapInPandas(_results(keep_text, len(carry) + 1), schema)
+    out = out.withColumn("doc", F.nullif(own, F.lit(NO_ID))).drop(own)
     return (out if keep_text else out.drop("kept")).withColumnsRenamed({"doc": id_col, "kept": text_col} | extra)

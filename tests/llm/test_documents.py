@@ -331,3 +331,19 @@ def test_null_ids_and_repeated_rows(spark):
     assert token_counts.count_tokens(docs).count() == 4
     assert sentencepiece_codec.encode_documents(docs).count() == 4
     assert sum(r.length for r in packing.pack(docs).collect() if r.doc_id == 4) == 2 * packing.pack(docs).where("doc_id = 4").first().doc_tokens
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_repeated_and_null_ids_of_long_texts(spark, partitions):
+    """Each row is a document of its own: rows of one id in the order of their texts, rows of null ids last."""
+    lines = [f"line {i} of some text that goes on for {i * i} words" for i in range(60)]
+    texts = ["\n".join(lines[a:b]) for a, b in ((0, 12), (0, 12), (8, 30), (25, 50), (40, 60), (50, 60), (0, 9))]
+    rows = list(zip([7, 7, 7, 3, None, None, None], texts, strict=True))
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    docs = frame(spark, rows, partitions)
+    want = sorted(((i, *x) for (i, _), x in zip(ordered, suffix_rows(enumerate(t for _, t in ordered), 100).values(), strict=True)), key=str)
+    assert sorted((tuple(r) for r in suffix_dedup.dedup(docs, 100).collect()), key=str) == want
+    want = sorted(((i, *x) for (i, _), x in zip(ordered, without_lines(enumerate(t for _, t in ordered), 3).values(), strict=True)), key=str)
+    got = line_dedup.dedup(docs, 3, carry=("lang",)).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == want
+    assert {r.lang for r in got} == {"en"}
