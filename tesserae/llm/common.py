@@ -77,9 +77,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges.select(F.least(F.col(a), F.col(b)).alias("a"), F.greatest(F.col(a), F.col(b)).alias("b"))
         .where("a < b").distinct(), "edges")
     labels = None
-    for turn in range(100):
+    for turn in range(200):
         if links.isEmpty():
             break
+        if turn == 199:
+            raise RuntimeError("components are unfinished after 199 rounds")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))
         chosen = cut(

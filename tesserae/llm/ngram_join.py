@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -13,13 +14,12 @@ from .common import connected_components, cut, partitions, session
 from .shingles import shingle_sets
 from .suffix_dedup import _mixed
 
-#: Counters of the frequency sketch; it is broadcast, at 8 bytes each.
-COUNTERS = 1 << 18
-#: A token is frequent if its counter exceeds this plus so many times the mean.
-FREQUENT, TIMES_MEAN = 64, 4
-#: Tokens of a combination, and the set size from which frequent tokens are indexed singly:
-#: the prefix of a large set has too many combinations.
-COMBINE, LARGE = 2, 100
+#: Counters of the frequency sketch; it is broadcast, at 4 bytes each.
+COUNTERS = 1 << 20
+#: A token is frequent if its counter exceeds the mean by this and so many times the mean's square root.
+FREQUENT, TIMES_ROOT = 32, 4
+#: Tokens of a combination.
+COMBINE = 3
 #: Members of a posting list that are compared in all pairs; others first with one of them.
 ALL_PAIRS = 8
 #: Bits of a set's parity bitmap at least; a bitmap has two to four bits for each token.
@@ -28,14 +28,14 @@ BITS = 1024
 WORDS = 1 << 21
 #: Text that is indexed at once, in characters, and members of a block.
 TEXT, BLOCK = 8 << 20, 1024
-_PAIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_ODDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     for b in batches:
         size = np.cumsum([len(t or "") for t in b["t"]]) // TEXT
         for _, part in b.groupby(size):
-            yield part["doc"].tolist(), shingle_sets(part["t"].tolist(), words)
+            yield part["doc"].to_numpy(np.int64), part["known"].to_numpy(bool), shingle_sets(part["t"].tolist(), words)
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -49,65 +49,89 @@ def _described(words: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(COUNTERS, np.int64)
-        for docs, sets in _sets(batches, words):
+        for docs, known, sets in _sets(batches, words):
             every = np.concatenate([*sets, np.zeros(0, np.uint64)])
             counts += np.bincount((every % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             yield pd.DataFrame({
-                "part": -1, "doc": pd.array(docs, "Int64"), "n": [len(s) for s in sets],
+                "part": -1, "doc": docs, "known": known, "n": [len(s) for s in sets],
                 "d1": [int(_mixed(s).sum().view(np.int64)) for s in sets],
-                "d2": [int(np.bitwise_xor.reduce(_mixed(s + _PAIR[0]), initial=np.uint64(0)).view(np.int64)) for s in sets],
+                "d2": [int(np.bitwise_xor.reduce(_mixed(s + _ODDS[0]), initial=np.uint64(0)).view(np.int64)) for s in sets],
                 "bits": [_bitmap(s) for s in sets]})
-        yield pd.DataFrame({"part": range(16), "doc": pd.array([None] * 16, "Int64"), "n": 0, "d1": 0, "d2": 0, "bits": [c.tobytes() for c in np.split(counts, 16)]})
+        own = counts.astype(np.min_scalar_type(int(counts.max())))  # most partitions count to 255 or 65,535
+        yield pd.DataFrame({"part": range(16), "doc": 0, "known": False, "n": 0, "d1": 0, "d2": 0, "bits": [c.tobytes() for c in np.split(own, 16)]})
 
     return run
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [np.sum([np.frombuffer(b, np.int64) for b in rows["bits"]], axis=0).tobytes()]})
+    total = np.zeros(COUNTERS // 16, np.int64)
+    for b in rows["bits"]:
+        total += np.frombuffer(b, f"u{len(b) * 16 // COUNTERS}")
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+@cache
+def _classes(n: int, num: int, den: int, k: int) -> tuple[bool, bool]:
+    """Whether the frequent tokens of a set of n tokens are indexed singly, and in runs of k."""
+    fits = [-(-num * m // den) > (k - 1) * (m * (den - num) // num + 1) for m in range(-(-num * n // den), n * den // num + 1)]
+    return not all(fits), any(fits)
+
+
+def signatures(s: np.ndarray, counts: np.ndarray, high: float, num: int, den: int) -> np.ndarray:
     """What a set is indexed by; two sets of similarity num / den or more share one.
 
-    Tokens are ordered rare ones first. Sets that similar share at least c = ceil(t n)
-    tokens, so the first shared one is among the first n - c + 1; if it is rare, it is
-    indexed by itself. Otherwise all shared tokens are frequent, and the first k of them lie
-    among the first f - c + k of the set's f frequent tokens, whose k-combinations are indexed.
-    Sets of over ``LARGE`` tokens index single frequent ones; a band around that size does both.
+    Tokens are ordered by their counters, the rarest first; those above ``high`` are frequent.
+    Sets that similar share at least c = ceil(t n) tokens, so the first shared one is among
+    the first n - c + 1; if it is rare, it is indexed by itself. Otherwise all shared
+    tokens are frequent, and the extended prefix of the frequent ones is indexed by runs of
+    k in that order: at most d = n (1 - t) / t tokens are in one of the two sets alone, and
+    as many borders part the first (k - 1)(d + 1) + 1 shared tokens, so k of these stand side by
+    side in both sets. A set has a number of runs in proportion to its size. Where a set of a
+    size within reach has too few tokens for that, as those of one token have, single
+    frequent tokens are indexed too.
     """
     n = len(s)
     need = -(-num * n // den)
-    rare, often = s[~frequent], s[frequent]
-    if len(rare) > n - need:
+    order = np.lexsort((s, counts))
+    s, n_rare = s[order], int((counts <= high).sum())
+    rare, often = s[:n_rare], s[n_rare:]
+    if n_rare > n - need:
         return _mixed(rare[: n - need + 1])
     out = [_mixed(rare)]
-    if n == 1 or n * den > LARGE * num:
+    singly, in_runs = _classes(n, num, den, COMBINE)
+    if singly:
         out.append(_mixed(often[: len(often) - need + 1]))
-    if 1 < n and n * num <= LARGE * den:
-        head = often[: len(often) - need + COMBINE]
-        i, j = np.triu_indices(len(head), 1)
-        out.append(_mixed(head[i] * _PAIR[0] + head[j] * _PAIR[1] + np.uint64(1)))
+    if in_runs:
+        alone = n * (den - num) // num - n_rare
+        head = often[: (COMBINE - 1) * (alone + 1) + 1 + n - need - n_rare]
+        runs = len(head) - COMBINE + 1
+        if runs > 0:
+            out.append(_mixed(sum((head[j : j + runs] * _ODDS[j] for j in range(COMBINE)), np.uint64(1))))
     return np.concatenate(out)
 
 
 def _groups(sig: np.ndarray) -> Iterator[np.ndarray]:
+    """The entries of each signature that several have."""
     order = np.argsort(sig, kind="stable")
-    edge = np.flatnonzero(np.diff(sig[order])) + 1
-    return (g for g in np.split(order, edge) if len(g) > 1)
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(sig[order]) != 0))) if len(sig) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(sig)))
+    several = sizes > 1
+    return (order[a : a + n] for a, n in zip(starts[several].tolist(), sizes[several].tolist(), strict=True))
 
 
 def _indexed(words: int, num: int, den: int, sketch: np.ndarray, buckets: int):
     """Signatures by bucket. A batch's long posting lists send one member on and are linked to it here."""
-    high = FREQUENT + TIMES_MEAN * sketch.mean()
+    mean = float(sketch.mean())
+    high = mean + FREQUENT + TIMES_ROOT * mean**0.5
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for docs, sets in _sets(batches, words):
+        for docs, _, sets in _sets(batches, words):
             seen: dict[bytes, int] = {}
             sig, doc, size = [], [], []
-            for d, s in zip(docs, sets, strict=True):
-                if not len(s) or d is None or pd.isna(d) or seen.setdefault(s.tobytes(), d) != d:
+            for d, s in zip(docs.tolist(), sets, strict=True):
+                if not len(s) or seen.setdefault(s.tobytes(), d) != d:
                     continue  # equal sets are one class already
-                got = signatures(s, sketch[(s % np.uint64(COUNTERS)).astype(np.int64)] > high, num, den)
+                got = signatures(s, sketch[(s % np.uint64(COUNTERS)).astype(np.int64)], high, num, den)
                 sig.append(got)
                 doc.append(np.full(len(got), d, np.int64))
                 size.append(np.full(len(got), len(s), np.int64))
@@ -269,6 +293,16 @@ def _verified(words: int, num: int, den: int):
     return run
 
 
+def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots (rep, root) after further links, from the components of the roots that they join."""
+    end = lambda c: roots.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}"))
+    joined = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    up = connected_components(joined)
+    old = roots.join(up.withColumnRenamed("id", "root"), "root", "left").select("rep", F.coalesce("component_id", "root").alias("root"))
+    new = up.join(roots, up["id"] == roots["rep"], "left_anti").select(F.col("id").alias("rep"), F.col("component_id").alias("root"))
+    return cut(old.unionByName(new), "shingle-roots")
+
+
 def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of num / den or more.
 
@@ -287,17 +321,19 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     blocks, so that no link that would join components is lost.
     """
     spark = session(docs)
-    text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    facts = cut(text.mapInPandas(_described(words), "part int, doc bigint, n bigint, d1 bigint, d2 bigint, bits binary"), "shingle-facts")
+    own_id = F.col(id_col).cast("long")  # pandas would turn ids among nulls into doubles
+    text = docs.select(F.coalesce(own_id, F.lit(0)).alias("doc"), own_id.isNotNull().alias("known"), F.col(text_col).alias("t"))
+    facts = cut(text.mapInPandas(_described(words), "part int, doc bigint, known boolean, n bigint, d1 bigint, d2 bigint, bits binary"), "shingle-facts")
     slices = facts.where("part >= 0").groupBy("part").applyInPandas(_summed, "part int, bits binary").toPandas().sort_values("part")
-    sketch = np.frombuffer(b"".join(slices["bits"]), np.int64) if len(slices) else np.zeros(COUNTERS, np.int64)
+    sketch = np.frombuffer(b"".join(slices["bits"]), np.uint32) if len(slices) else np.zeros(COUNTERS, np.uint32)
     facts = facts.where("part < 0").drop("part")
-    classes = cut(facts.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("bits").alias("bits")), "shingle-classes")
+    classes = cut(facts.where("n > 0 and known").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("bits").alias("bits")), "shingle-classes")
+    text_of = text.where("known")
     found = cut(
-        text.where("t is not null").mapInPandas(_indexed(words, num, den, sketch, max(64, 2 * partitions(spark))), "bucket int, kind int, x binary, y binary, z binary")
+        text.where("t is not null and known").mapInPandas(_indexed(words, num, den, sketch, max(64, 2 * partitions(spark))), "bucket int, kind int, x binary, y binary, z binary")
         .groupBy("bucket").applyInPandas(_candidates(num, den), "member boolean, x bigint, y bigint"), "shingle-pairs")
     # every indexed document's class
-    own = cut(facts.where("n > 0 and doc is not null").join(classes, ["n", "d1", "d2"]).select("doc", "rep", "n", classes["bits"]), "shingle-own")
+    own = cut(facts.where("n > 0 and known").join(classes, ["n", "d1", "d2"]).select("doc", "rep", "n", classes["bits"]), "shingle-own")
     classes_of = own.select("doc", "rep", "n", "bits")
 
     def named(pairs: DataFrame) -> DataFrame:
@@ -308,16 +344,16 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = (
-            text.select(F.col("doc").alias("a"), F.col("t").alias("ta")).join(pairs, "a")
-            .join(text.select(F.col("doc").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
+            text_of.select(F.col("doc").alias("a"), F.col("t").alias("ta")).join(pairs, "a")
+            .join(text_of.select(F.col("doc").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
         return cut(both.mapInPandas(_verified(words, num, den), "a bigint, b bigint"), name)
 
     links = verified(cut(named(found.where("not member").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()), "shingle-near"), "shingle-links")
     members = cut(found.where("member").select(F.col("x").alias("sig"), F.col("y").alias("doc")).join(own.select("doc", "rep"), "doc").select("sig", "rep"), "shingle-members")
     facts_of = classes.select("rep", "n", "bits")
+    roots = connected_components(links).withColumnsRenamed({"id": "rep", "component_id": "root"})
     for nearest in (True, False):
         # first each document with its nearest one elsewhere, which joins most that can be joined; then all that is left
-        roots = connected_components(links).withColumnsRenamed({"id": "rep", "component_id": "root"})
         placed = members.join(roots, "rep", "left").select("sig", "rep", F.coalesce("root", "rep").alias("root"))
         open_lists = (
             placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"))
@@ -332,10 +368,12 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
         more = (
             dealt.select("sig", place(0).alias("i"), place(1).alias("j"), "role", F.col("rep").alias("doc"), "n", "bits", "root")
             .repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInPandas(_across(num, den, nearest), "a bigint, b bigint").distinct())
-        links = links.unionByName(verified(cut(more, "shingle-across"), "shingle-late"))
-    groups = connected_components(links).withColumnsRenamed({"id": "rep", "component_id": "component"})
+        late = verified(cut(more, "shingle-across"), "shingle-late")
+        if not late.isEmpty():
+            roots = _contracted(roots, late)
+    groups = roots.withColumnRenamed("root", "component")
     final = cut(classes.join(groups, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "shingle-components")
     return (
-        facts.select("doc", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
-        .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
-                F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id")))
+        facts.select("doc", "known", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
+        .select(F.when(F.col("known"), F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"),
+                F.when(F.col("known"), F.coalesce("component", "doc")).alias("component_id")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,9 +10,10 @@ import numpy as np
 import pytest
 
 from tesserae.llm import line_dedup, ngram_join, packing, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from tesserae.llm.shingles import word_hashes
 from tesserae.llm.tokens import ByteBpe, vocabulary
 
-from .plain import corpus, frame, jaccard_components, suffix_rows, without_lines
+from .plain import corpus, frame, jaccard_components, shingles, suffix_rows, without_lines
 
 
 @pytest.fixture(scope="module")
@@ -39,31 +41,58 @@ def test_ngram_join_long_lists(spark, monkeypatch):
     """Posting lists above the all-pairs size, frequent tokens and several blocks lose no link."""
     monkeypatch.setattr(ngram_join, "ALL_PAIRS", 2)
     monkeypatch.setattr(ngram_join, "FREQUENT", 1)
-    monkeypatch.setattr(ngram_join, "TIMES_MEAN", 0)
+    monkeypatch.setattr(ngram_join, "TIMES_ROOT", 0)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     rows = corpus(seed=8, n=90)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(frame(spark, rows), 4, 85, 100).collect()}
     assert got == jaccard_components(rows, 4, 85, 100)
 
 
-@pytest.mark.parametrize("large", [5, 1000])
-def test_signatures_meet(large, monkeypatch):
+@pytest.mark.parametrize(("num", "most"), [(85, 60), (85, 700), (80, 12), (80, 300), (75, 80), (50, 40)])
+def test_signatures_meet(num, most):
     """Any two sets that are similar enough share a signature, whatever tokens are frequent."""
-    monkeypatch.setattr(ngram_join, "LARGE", large)
-    r = np.random.default_rng(5)
-    for _ in range(300):
-        n = int(r.integers(2, 60))
+    r = np.random.default_rng(num + most)
+    met = 0
+    for _ in range(400):
+        n = int(r.integers(1, most))
         a = np.unique(r.integers(0, 1 << 40, n).astype(np.uint64))
         b = a.copy()
-        for _ in range(int(r.integers(0, 6))):
+        for _ in range(int(r.integers(0, 1 + n * (100 - num) // 100))):
             b[r.integers(0, len(b))] = r.integers(0, 1 << 40)
         b = np.unique(b[: len(b) - int(r.integers(0, 3))] if len(b) > 4 else b)
         both = len(np.intersect1d(a, b))
-        if len(b) and both * 100 >= 85 * (len(a) + len(b) - both):
-            often = lambda s: s % np.uint64(10) < np.uint64(r_share)  # noqa: E731, B023
-            for r_share in (0, 5, 10):
-                x, y = (ngram_join.signatures(s, often(s), 85, 100) for s in (a, b))
-                assert len(np.intersect1d(x, y)) or (len(a) == len(b) == both)
+        if len(b) and both * 100 >= num * (len(a) + len(b) - both):
+            met += 1
+            for r_share in (0, 1, 5, 10):
+                counts = lambda s: np.where(s % np.uint64(10) < np.uint64(r_share), 9 + s % np.uint64(7), s % np.uint64(9))  # noqa: E731, B023
+                x, y = (ngram_join.signatures(s, counts(s), 8.5, num, 100) for s in (a, b))
+                assert len(np.intersect1d(x, y))
+                assert len(x) <= 4 * n  # in proportion to the set
+    assert met > 30
+
+
+def test_ngram_join_common_token(spark):
+    """Sets of 150 to 2,000 words with one shingle in all of them, and near copies of some; ids above 2^53 beside null ones."""
+    r = random.Random(2)
+    common, rows = "the same five words here", []
+    for i in range(60):
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.randint(150, 2000))]
+        rows.append(((1 << 53) + 2 * i + 1, common + " " + " ".join(w)))
+        if i % 3 == 0:
+            w[r.randrange(len(w))] = "other"
+            rows.append(((1 << 53) + 2 * i + 2, " ".join(w) + " " + common))
+    got = ngram_join.join(frame(spark, [*rows, (None, "a b c d e"), (None, rows[0][1])], 1), 4, 85, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == jaccard_components(rows, 4, 85, 100)
+    assert sorted(r.n_shingles for r in got if r.doc_id is None) == sorted([2, len(shingles(rows[0][1], 4))])
+
+
+def test_long_regular_words_differ():
+    """Two words whose sums of bytes agree for any odd factor."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    hashes, _ = word_hashes([word, word.translate(str.maketrans("ab", "ba"))])
+    assert hashes[0] != hashes[1]
 
 
 def test_sharding(docs, rows):
