@@ -95,21 +95,21 @@ def main_text(html: Column, wanted: str = "main-content", most: int = 32 << 10)
 
 def limited(text: Column, most_bytes: int, most_lines: int) -> Column:
     """Line and byte caps that don't split a character, with a mark where text was cut."""
+    kept = lines = F.substring_index(text, "\n", most_lines) if most_lines else text
+    if most_bytes:
+        raw = F.encode(lines, "UTF-8")
+        short = F.decode(F.substring(raw, F.lit(1), _character_border(raw, most_bytes)), "UTF-8")
+        kept = F.when(F.octet_length(lines) > most_bytes, short).otherwise(lines)
+    return F.when(kept == text, text).otherwise(F.concat(kept, F.lit("\n[truncated]")))
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            kept = "\n".join(t.split("\n")[:most_lines]) if most_lines else t
-            if most_bytes and len(kept.encode()) > most_bytes:
-                kept = kept.encode()[:most_bytes].decode(errors="ignore")
-            return kept if kept == t else kept + "\n[truncated]"
-
-        for b in batches:
-            yield b.map(one, na_action=None)
 
-    return run(text)
+def _character_border(raw: Column, most: int) -> Column:
+    """The longest prefix of at most so many bytes that ends before the first byte of a character."""
+    starts = lambda n: F.hex(F.substring(raw, n + 1, 1)).rlike("^[^89AB]")
+    out = F.lit(max(most - 3, 0))
+    for n in range(max(most - 2, 0), most + 1):
+        out = F.when(starts(n), n).otherwise(out)
+    return out
 
 
 def float_bytes(vector: Column) -> Column:
@@ -123,14 +123,21 @@ def float_bytes(vector: Column) -> Column:
     return run(vector)
 
 
+def _canonical(text: str | None) -> str | None:
+    import json
+
+    try:
+        return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except ValueError:
+        return text.strip()
+
+
 def canonical_json(json: Column) -> Column:
-    """JSON with sorted keys and without spaces."""
+    """JSON with sorted keys and without spaces; text that isn't JSON stays as it is, trimmed."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import json as j
-
         for b in batches:
-            yield b.map(lambda t: None if t is None else j.dumps(j.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+            yield b.map(_canonical)
 
     return run(json)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 
-_STRUCTURE = re.compile(r"^(?P<lead>[ \t]*(?:> )*)(?P<mark>[-*+] |[0-9]+\. |[A-Za-z0-9-]+: (?=.)|)(?P<rest>.*)$")
+_MARK = r"(?:[ \t]*(?:> )*(?:[-*+] |[0-9]+\. |[A-Za-z0-9-]+: )|[ \t]*(?:> )+)"
+#: A marked line (its lead is white space and quote signs), an indented line, or a paragraph up to what isn't of it.
+_BLOCK = re.compile(rf"^(?=(?P<lead>[ \t]*(?:> )*))(?P<mark>{_MARK})(?P<body>.+)$|^[ \t].*$|^(?P<prose>.+(?:\n(?!{_MARK}.|[ \t]).+)*)$", re.M)
 
 
 def embedding_input(path: Column, kind: Column, name: Column, body: Column, most: int = 32_000, line: int = 4000) -> Column:
@@ -23,50 +26,26 @@ def embedding_input(path: Column, kind: Column, name: Column, body: Column, most
     return F.substring(F.concat(head, F.array_join(F.transform(T.body_lines(body), lambda l: F.substring(l, 1, line)), "\n")), 1, most)
 
 
-def _filled(text: str, width: int) -> list[str]:
-    """Words in lines of at most ``width`` bytes; a longer word has a line of its own."""
-    out, line = [], ""
-    for word in text.split(" "):
-        if line and len(line.encode()) + 1 + len(word.encode()) > width:
-            out.append(line.strip())
-            line = word
-        else:
-            line = f"{line} {word}" if line else word
-    return [*out, line.strip()]
+def _filled(text: str, width: int, first: str = "", hang: str = "") -> str:
+    """A paragraph in lines of at most ``width`` bytes; a longer word has a line of its own."""
+    as_bytes = lambda x: x.encode().decode("latin-1")
+    lines = textwrap.wrap(
+        as_bytes(text), width, initial_indent=as_bytes(first), subsequent_indent=as_bytes(hang), expand_tabs=False,
+        replace_whitespace=False, break_long_words=False, break_on_hyphens=False)
+    return "\n".join(lines).encode("latin-1").decode()
 
 
 def wrap(text: str, width: int) -> str:
     """Paragraphs filled to a width; lists, quotes and trailers hang under their marks, indented lines stay."""
-    if width <= 0:
-        return text
-    out: list[str] = []
-    open_paragraph: list[str] = []
-
-    def close() -> None:
-        if open_paragraph:
-            out.extend(_filled(" ".join(open_paragraph), width))
-            open_paragraph.clear()
-
-    for raw in text.strip().split("\n"):
-        line = raw.rstrip(" \t")
-        parts = _STRUCTURE.match(line)
-        if not line:
-            close()
-            out.append("")
-        elif parts and parts["rest"] and (parts["mark"] or "> " in parts["lead"]):
-            close()
-            first = parts["lead"] + parts["mark"]
-            room = width - len(first.encode())
-            under = parts["lead"] + " " * len(parts["mark"])
-            lines = _filled(parts["rest"].strip(), room) if room > 0 else [parts["rest"]]
-            out.extend((under if i else first) + x for i, x in enumerate(lines))
-        elif raw[0] in " \t":
-            close()
-            out.append(line)
-        else:
-            open_paragraph.append(line)
-    close()
-    return "\n".join(out).strip()
+
+    def shaped(block: re.Match) -> str:
+        if block["prose"]:
+            return _filled(block["prose"].replace("\n", " "), width)
+        if block["mark"] and len(block["mark"].encode()) < width:
+            return _filled(block["body"].strip(), width, block["mark"], block["lead"] + " " * (len(block["mark"]) - len(block["lead"])))
+        return block[0]
+
+    return text if width <= 0 else _BLOCK.sub(shaped, re.sub(r"[ \t]+$", "", text.strip(), flags=re.M)).strip()
 
 
 def wrapped(text: Column, width: int = 72) -> Column:

@@ -135,13 +135,12 @@ def exact_pointer(json: Column, path: str) -> Column:
 
 
 def json_members(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """Top members of JSON objects with their kinds, in key order (H09): key, pointer, kind."""
-    names = F.explode(F.array_sort(F.json_object_keys(json)))
-    out = rows.select(key, F.col(json).alias("_j"), names.alias("name"))
-    value = F.schema_of_variant(F.variant_get(F.parse_json("_j"), F.concat(F.lit("$['"), F.col("name"), F.lit("']")), "variant"))
+    """Top members of JSON objects with their kinds, in key order (H09): key, pointer, kind. Text that is no object has none."""
+    out = rows.select(F.col(key).alias("_k"), F.explode(F.from_json(json, "map<string,variant>")).alias("name", "value"))
+    value = F.schema_of_variant("value")
     kind = F.when(value.startswith("OBJECT"), "object").when(value.startswith("ARRAY"), "array").when(value == "STRING", "string").when(value == "BOOLEAN", "boolean").when(value == "VOID", "null").otherwise("number")
     escaped = F.replace(F.replace(F.col("name"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-    return out.select(key, F.concat(F.lit("/"), escaped).alias("pointer"), kind.alias("kind"))
+    return out.select(F.col("_k").alias(key), F.concat(F.lit("/"), escaped).alias("pointer"), kind.alias("kind"))
 
 
 def markdown_outline(files: DataFrame, text: str = "text") -> DataFrame:

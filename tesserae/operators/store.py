@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,8 +107,15 @@ def garbage(catalog: DataFrame, live: DataFrame, key: str) -> DataFrame:
     return catalog.join(live.select(key), key, "left_anti")
 
 
+#: Fixed value: published generations that stay readable.
+GENERATIONS = 2
+
+
 def publish(rows: DataFrame, root: str, mode: str = "filesystem") -> str:
-    """Write rows as a new snapshot; the manifest comes last, and readers see only snapshots with one."""
+    """Write rows as a new snapshot; the manifest comes last, and readers see only snapshots with one.
+
+    ``retained`` tells which snapshots stay.
+    """
     spark, snapshot = rows.sparkSession, uuid.uuid4().hex
     rows.write.parquet(f"{root}/snapshots/{snapshot}")
     seen = spark.read.parquet(f"{root}/snapshots/{snapshot}").count()
@@ -115,20 +123,43 @@ def publish(rows: DataFrame, root: str, mode: str = "filesystem") -> str:
     return snapshot
 
 
+def retained(manifests: DataFrame, most: int = GENERATIONS) -> DataFrame:
+    """Manifests with ``kept``: whether a snapshot is of the newest generations (A43). Files of others may be removed."""
+    newest = manifests.orderBy(F.desc("created_at"), F.desc("snapshot")).limit(most).select("snapshot", F.lit(True).alias("kept"))
+    return manifests.join(F.broadcast(newest), "snapshot", "left").fillna(False, ["kept"])
+
+
 def current(spark, root: str) -> DataFrame:
     """Rows of the latest published snapshot."""
     last = spark.read.parquet(f"{root}/manifests").orderBy(F.desc("created_at"), F.desc("snapshot")).first()
     return spark.read.parquet(f"{root}/snapshots/{last['snapshot']}")
 
 
-def upsert(new: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the store lacks, one of each key."""
-    fresh = new.dropDuplicates([key])
-    jvm = new.sparkSession._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(new.sparkSession._jsc.hadoopConfiguration()).exists(there):
-        fresh = fresh.join(new.sparkSession.read.parquet(path).select(key), key, "left_anti")
-    fresh.write.mode("append").parquet(path)
+def stored(spark, path: str, schema) -> DataFrame:
+    """The rows at a path, none where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def lacking(new: DataFrame, path: str, key: str) -> DataFrame:
+    """One row of each key that the store at a path lacks."""
+    there = stored(new.sparkSession, path, new.select(key).schema)
+    return new.dropDuplicates([key]).join(there, key, "left_anti")
+
+
+def upsert(new: DataFrame, path: str, key: str, payload: str | None = None) -> None:
+    """Append the rows whose key the store lacks, one of each key (A41). With ``payload``, another payload for a key is an error."""
+    if payload:
+        there = stored(new.sparkSession, path, new.select(key, payload).schema)
+        known = there.join(new.select(key).distinct(), key, "left_semi").unionByName(new.select(key, payload))
+        bad = conflicts(known, key, payload).limit(1).collect()
+        if bad:
+            raise ValueError(f"another payload for key {bad[0][0]!r}")
+    lacking(new, path, key).write.mode("append").parquet(path)
 
 
 def kept_history(history: DataFrame, most: int = 100) -> DataFrame:

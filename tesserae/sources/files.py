@@ -20,21 +20,27 @@ FILE_BYTES, SNIFF = 1 << 20, 8000
 def scan(spark: SparkSession, root: str, scope: list[str] | None = None) -> DataFrame:
     """Files below a root with the reason for leaving each out, null for those to keep.
 
-    ``content`` is read only for files whose length allows it, as the predicate on length
-    is applied to the listing. Returns path, size, modified, content, reason.
+    The listing is read without content; content comes from a second reader, whose filters on
+    length and path reach the scan, so that oversized, hidden and non-text files are never read. Links
+    to nothing and unreadable files aren't listed. Returns path, size, modified, content, reason.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"  # below whatever form of the scheme the reader gives
     path = F.substring_index("path", base, -1)
-    out = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    listing = files().select(F.col("path").alias("uri"), path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     if scope:
-        out = out.where(P.in_scope(F.col("path"), P.normalized_scope(scope)))
-    binary = F.hex(F.substring("content", 1, SNIFF)).rlike("^(..)*00")
+        listing = listing.where(P.in_scope(F.col("path"), P.normalized_scope(scope)))
     dot = P.is_hidden(F.col("path"), scope)
-    reason = (
+    by_name = (
         F.when(dot & P.base(F.col("path")).startswith("."), "dot_file").when(dot, "dot_dir").when(F.col("size") > FILE_BYTES, "oversized")
-        .when(binary, "binary").when(~is_text(F.col("path")), "non_text"))
-    return out.withColumn("reason", reason)
+        .when(~is_text(F.col("path")), "non_text"))
+    listing = listing.withColumn("by_name", by_name)
+    bodies = files().where(F.col("length") <= FILE_BYTES).select(F.col("path").alias("uri"), "content")
+    wanted = listing.where("by_name is null").select("uri")
+    out = listing.join(bodies.join(wanted, "uri", "left_semi"), "uri", "left")
+    binary = F.hex(F.substring("content", 1, SNIFF)).rlike("^(..)*00")
+    reason = F.coalesce("by_name", F.when(F.col("content").isNull(), "unreadable").when(binary, "binary"))
+    return out.select("path", "size", "modified", F.when(reason.isNull(), F.col("content")).alias("content"), reason.alias("reason"))
 
 
 def is_text(path: Column) -> Column:

@@ -123,10 +123,14 @@ def greedy_batches(rows: DataFrame, group: str, order: str, size: str, most: int
 
 
 def indexed(stream: DataFrame, store: str, chunk, embed):
-    """Chunk arriving files, embed what the store lacks, append it (J01). Returns a writer to start."""
-    from ..operators.store import upsert
+    """Chunk arriving files, embed the inputs that the store lacks, append them (J01). Returns a writer to start.
+
+    ``chunk`` gives rows with ``embedding_input_hash``; ``embed`` gets one row of each hash that is new.
+    """
+    from ..operators.store import lacking, upsert
 
     def each(batch: DataFrame, _: int) -> None:
-        upsert(embed(chunk(batch)), store, "embedding_input_hash")
+        fresh = lacking(chunk(batch), store, "embedding_input_hash")
+        upsert(embed(fresh), store, "embedding_input_hash", "vector")
 
     return stream.writeStream.foreachBatch(each)

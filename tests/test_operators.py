@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import paths as P
+from tesserae.functions import web as W
 from tesserae.operators import changes, readq, retrieve, store, validate
 from tesserae.plans import graph
 from tesserae.sources import files
@@ -80,6 +82,18 @@ def test_publish_and_upsert(spark, tmp_path):
     for _ in range(2):
         store.upsert(spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, v int"), f"{root}/rows", "k")
     assert spark.read.parquet(f"{root}/rows").count() == 2
+    with pytest.raises(ValueError, match="another payload"):
+        store.upsert(spark.createDataFrame([("a", 9)], "k string, v int"), f"{root}/rows", "k", "v")
+    store.publish(spark.range(7), root)
+    assert [r.kept for r in store.retained(spark.read.parquet(f"{root}/manifests")).orderBy("created_at").collect()] == [False, True, True]
+
+
+def test_json_with_quotes_and_without_json(spark):
+    rows = spark.createDataFrame([(1, '{"it\'s":1,"a/b":[2]}'), (2, "bad"), (3, None)], "id int, j string")
+    got = readq.json_members(rows, "id", "j").collect()
+    assert sorted(map(tuple, got)) == [(1, "/a~1b", "array"), (1, "/it's", "number")]
+    assert [r[0] for r in rows.orderBy("id").select(W.canonical_json(F.col("j"))).collect()] == ['{"a/b":[2],"it\'s":1}', "bad", None]
+    assert spark.range(1).select(P.release_classes(F.lit(".mypy.ini"))["build"]).first()[0]
 
 
 def test_change_groups(spark):
@@ -105,8 +119,6 @@ def test_renames(spark):
 
 
 def test_signals_and_policy(spark):
-    from tesserae.functions import paths as P
-
     rows = [("t", "a_test.go"), ("m", "a_test.go"), ("m", "internal/x.go"), ("d", "go.sum"), ("b", "Makefile"), ("i", "internal/x.go")]
     df = spark.createDataFrame(rows, "sha string, path string").withColumns(P.release_classes(F.col("path"))).withColumn("submodule", F.lit(False))
     got = changes.operator_signals(df, "sha").withColumn("why", changes.narrative_policy(F.lit("chore: x"))).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.functions import vectors as V
 from tesserae.operators import store
 from tesserae.sources import files
 from tesserae.streaming import folds
@@ -15,7 +16,7 @@ def test_incremental_index(spark, tmp_path):
     target = f"file://{tmp_path}/store"
     for turn in range(2):
         stream = spark.readStream.schema("path string, text string").parquet(f"{tmp_path}/in")
-        writer = folds.indexed(stream, target, lambda d: d, lambda d: files.hashed_embeddings(d).select("embedding_input_hash", "vector"))
+        writer = folds.indexed(stream, target, lambda d: d.withColumn("embedding_input_hash", V.input_hash(F.col("text"))), lambda d: files.hashed_embeddings(d).select("embedding_input_hash", "vector"))
         writer.option("checkpointLocation", f"{tmp_path}/check{turn}").trigger(availableNow=True).start().awaitTermination(90)
     assert spark.read.parquet(target).count() == 2
 
