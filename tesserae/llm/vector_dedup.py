@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -21,17 +22,21 @@ PROJECTIONS = 24
 CELL_WINDOW, COUNT_WINDOW = 2.75, 2.0
 #: Collisions that a pair needs. Binomial(24, 0.954) stays below 18 with a chance under 1e-4.
 COLLISIONS = 18
-#: Vectors of a block; larger cells are compared in pairs of blocks.
-BLOCK = 2048
+#: Vectors of a cell that are aimed at, and of a block; larger cells are compared in pairs of blocks.
+CELL, BLOCK = 4096, 16_384
+#: Projections of a cell at most, and how many times fewer vectors a cell has with each.
+MOST_CELL, SPREAD = 12, 2.5
 
 
-def directions(dims: int, n: int) -> np.ndarray:
-    return np.random.default_rng(17).standard_normal((n, dims)).T
+@cache
+def directions(dims: int) -> np.ndarray:
+    """Columns of PROJECTIONS directions for counts, then MOST_CELL ones for cells."""
+    return np.random.default_rng(17).standard_normal((PROJECTIONS + MOST_CELL, dims)).T
 
 
-def cell_projections(largest: int) -> int:
-    """Projections that make a cell, by the distinct vectors of the largest label."""
-    return min(8, max(2, math.ceil(math.log(max(1, largest / 2000), 3))))
+def cell_projections(vectors: int) -> int:
+    """Projections that make a cell, by the distinct vectors of a label."""
+    return min(MOST_CELL, max(1, math.ceil(math.log(max(1, vectors / CELL), SPREAD))))
 
 
 def cell_window(primary: int) -> float:
@@ -46,69 +51,89 @@ def deviation(threshold: float) -> float:
     return math.sqrt(2 * (1 - threshold))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    v = np.array([np.asarray(x, np.float64) for x in vectors])
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows at unit length in doubles; they are scaled first, so that no square over- or underflows."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _copies(primary: int, window: float):
-    """Each vector to its home cell, and to the cells that its window reaches."""
+def cells(unit: np.ndarray, primary: int, dev: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Copies of vectors: row, cell, and a bit for each projection in which the copy lies below its home.
 
+    A cell is twice as wide as the window. A vector goes to its home and down to the cells
+    that its window reaches, one and a half in each projection on average. Both vectors
+    of a pair thus come to the cell of the lower home in each projection, and are
+    compared there alone: where no projection has both below their homes.
+    """
+    window = cell_window(primary) * dev
+    p = unit @ directions(unit.shape[1])[:, PROJECTIONS : PROJECTIONS + primary]
+    home = np.floor(p / (2 * window)).astype(np.int32)
+    below = np.floor((p - window) / (2 * window)).astype(np.int32) < home
+    row, cell, bits = np.arange(len(unit)), home, np.zeros(len(unit), np.int32)
+    for j in range(primary):
+        more = np.flatnonzero(below[row, j])
+        down = cell[more].copy()
+        down[:, j] -= 1
+        row, cell, bits = np.r_[row, row[more]], np.r_[cell, down], np.r_[bits, bits[more] | 1 << j]
+    return row, cell, bits
+
+
+def _copies(dev: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for dims, part in b.groupby(b["v"].map(len)):
-                unit = _unit(part["v"])
-                p = unit @ directions(dims, primary + PROJECTIONS)[:, :primary]
-                home = np.floor(p / (2 * window)).astype(np.int64)
-                low, high = np.floor((p - window) / (2 * window)).astype(np.int64), np.floor((p + window) / (2 * window)).astype(np.int64)
-                for i, (x, label, weight) in enumerate(zip(part["id"], part["label"], part["weight"], strict=True)):
-                    cells = [()]
-                    for a, z in zip(low[i], high[i], strict=True):
-                        cells = [(*c, y) for c in cells for y in range(a, z + 1)]
-                    for c in cells:
-                        out.append((f"{label}/{dims}/" + ",".join(map(str, c)), c == tuple(home[i]), x, weight, unit[i].tobytes()))
-            yield pd.DataFrame(out, columns=["cell", "home", "id", "weight", "unit"])
+            for (dims, n), part in b.groupby([b["v"].map(len), "distinct"]):
+                raw = np.stack(part["v"].to_numpy())
+                primary = cell_projections(int(n))
+                row, cell, bits = cells(_unit(raw), primary, dev)
+                held = [x.tobytes() for x in raw.astype("<f8" if raw.dtype == np.float64 else "<f4")]
+                yield pd.DataFrame({
+                    "label": part["label"].to_numpy()[row], "dims": dims, "cell": [x.tobytes() for x in cell], "bits": bits,
+                    "id": part["id"].to_numpy()[row], "weight": part["weight"].to_numpy()[row], "v": [held[i] for i in row]})
 
     return run
 
 
-def _compare(threshold: float, primary: int):
-    dev = deviation(threshold)
+def _compare(threshold: float, kind: str):
+    width = COUNT_WINDOW * deviation(threshold)
+
+    def side(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        unit = _unit(np.frombuffer(b"".join(rows["v"]), kind).reshape(len(rows), -1))
+        return unit, unit @ directions(unit.shape[1])[:, :PROJECTIONS], rows["bits"].to_numpy(), rows["id"].to_numpy(), rows["weight"].to_numpy()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        homes, every = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        if homes.empty or every.empty:
+        one = rows["i"].iat[0] == rows["j"].iat[0]
+        left, right = (rows, rows) if one else (rows[rows["role"] == 0], rows[rows["role"] == 1])
+        if left.empty or right.empty:
             return pd.DataFrame({"edge": [], "a": [], "b": []})
-        h, e = (np.array([np.frombuffer(u) for u in x["unit"]]) for x in (homes, every))
-        a = directions(h.shape[1], primary + PROJECTIONS)
-        ph, pe = h @ a, e @ a
-        widths = np.r_[np.full(primary, cell_window(primary) * dev), np.full(PROJECTIONS, COUNT_WINDOW * dev)]
-        hid, eid, weight = homes["id"].to_numpy(), every["id"].to_numpy(), every["weight"].to_numpy()
+        h, ph, bh, hid, hw = side(left)
+        e, pe, be, eid, ew = side(right) if not one else (h, ph, bh, hid, hw)
         order = np.argsort(pe, axis=0, kind="stable")
         rank = np.argsort(order, axis=0, kind="stable").astype(np.int32)
         ordered = np.take_along_axis(pe, order, axis=0)
-        found_h, found_e, links = [], [], np.zeros(len(h), np.int64)
-        for at in range(0, len(h), 256):
-            part, hits, near = ph[at : at + 256], None, None
-            for j, w in enumerate(widths):  # a window around each query in each sorted projection
-                lo = np.searchsorted(ordered[:, j], part[:, j] - w, "left")[:, None]
-                hi = np.searchsorted(ordered[:, j], part[:, j] + w, "right")[:, None]
-                inside = (rank[:, j] >= lo) & (rank[:, j] < hi)
-                if j < primary:
-                    near = inside if near is None else near & inside
-                else:
-                    hits = inside.astype(np.uint8) if hits is None else hits + inside
-            x, y = np.nonzero(near & (hits >= COLLISIONS))
-            good = (np.einsum("ij,ij->i", h[x + at], e[y]) >= threshold) & (hid[x + at] != eid[y])
-            x, y = x[good] + at, y[good]
-            links += np.bincount(x, weight[y], len(h)).astype(np.int64)
-            found_h.append(hid[x])
-            found_e.append(eid[y])
-        u, v = np.concatenate(found_h), np.concatenate(found_e)
-        ids, index = np.unique(np.r_[u, v], return_inverse=True)
-        root, i, j = np.arange(len(ids)), index[: len(u)], index[len(u) :]
-        while len(u):  # the block's own components, so that it sends a star for each
+        found_h, found_e = [], []
+        step = max(1, (1 << 22) // len(e))
+        for at in range(0, len(h), step):
+            part = ph[at : at + step]
+            first = at if one else 0  # of a block with itself each pair once
+            hits = np.zeros((len(part), len(e) - first), np.uint8)
+            for j in range(PROJECTIONS):  # a window around each query in each sorted projection
+                lo = np.searchsorted(ordered[:, j], part[:, j] - width, "left")[:, None]
+                hi = np.searchsorted(ordered[:, j], part[:, j] + width, "right")[:, None]
+                hits += (rank[first:, j] >= lo) & (rank[first:, j] < hi)
+            x, y = np.nonzero(hits >= COLLISIONS)
+            x, y = x + at, y + first
+            good = (bh[x] & be[y] == 0) & (hid[x] != eid[y]) & (not one or x < y)
+            x, y = x[good], y[good]
+            good = np.einsum("ij,ij->i", h[x], e[y]) >= threshold
+            found_h.append(x[good])
+            found_e.append(y[good])
+        x, y = np.concatenate(found_h), np.concatenate(found_e)
+        ids, index = np.unique(np.r_[hid[x], eid[y]], return_inverse=True)
+        i, j = index[: len(x)], index[len(x) :]
+        links = (np.bincount(i, ew[y], len(ids)) + np.bincount(j, hw[x], len(ids))).astype(np.int64)
+        root = np.arange(len(ids))
+        while len(x):  # the block's own components, so that it sends a star for each
             low = np.minimum(root[i], root[j])
             before = root.copy()
             np.minimum.at(root, i, low)
@@ -116,10 +141,8 @@ def _compare(threshold: float, primary: int):
             root = root[root]
             if np.array_equal(before, root):
                 break
-        linked, star = links > 0, root != np.arange(len(ids))
-        return pd.concat([
-            pd.DataFrame({"edge": False, "a": hid[linked], "b": links[linked]}),
-            pd.DataFrame({"edge": True, "a": ids[star], "b": ids[root[star]]})])
+        star = root != np.arange(len(ids))
+        return pd.concat([pd.DataFrame({"edge": False, "a": ids, "b": links}), pd.DataFrame({"edge": True, "a": ids[star], "b": ids[root[star]]})])
 
     return run
 
@@ -132,35 +155,34 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     labels and null ids link with nothing; vectors of different lengths don't either.
     Equal vectors of a label are compared once and weigh as many links as they are.
 
-    Each vector goes to a cell by its first projections and to the cells its window
-    reaches; the more vectors the largest label has, the more projections make a cell, and the
-    wider their windows are. Within a cell the window collisions over the other, sorted projections are counted for each pair, and
-    pairs that pass the count are verified by cosine. A pair at the threshold itself is
-    found with a chance of 0.988 at every number of cell projections; closer ones
-    with more. A cell of over 2,048 vectors is compared in pairs of blocks, and blocks
-    send counts and one star per component, never their pairs.
+    Each vector goes to a cell by its first projections and, one and a half copies for each, to
+    those below that its window reaches (``cells``); the more vectors its label has, the more projections
+    make a cell, and the wider their windows are. Within a cell the window collisions over the other, sorted
+    projections are counted for each pair, and pairs that pass the count are verified by cosine. A
+    pair at the threshold itself is found with a chance of 0.988 at every number of cell
+    projections; closer ones with more. A cell of over 16,384 vectors is compared in pairs of blocks,
+    and blocks send counts and one star per component, never their pairs.
     """
     session(vectors)
-    norm = F.aggregate(vec_col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    good = F.when(usable(vec_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull(), norm > 0)
+    double = dict(vectors.dtypes)[vec_col] == "array<double>"
+    good = usable(vec_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.exists(vec_col, lambda x: x != 0)
     plain = vectors.select(F.col(id_col).alias("id"), F.when(good, F.col(label_col)).alias("label"), F.when(good, F.col(vec_col)).alias("v"))
     reps = cut(
         plain.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "vector-reps")
-    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    primary = cell_projections(largest)
+    distinct = cut(reps.groupBy("label").agg(F.count("*").alias("distinct")), "vector-labels")
+    kind = dict(reps.dtypes)["label"]
     dev = deviation(threshold)
     copies = cut(
-        reps.select(F.col("rep").alias("id"), F.col("label").cast("string"), "v", "weight")
-        .mapInPandas(_copies(primary, cell_window(primary) * dev), "cell string, home boolean, id bigint, weight bigint, unit binary"), "vector-cells")
-    sizes = cut(copies.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cell-sizes")
-    dealt = copies.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # both roles of a row in one explode, so that the cells are read and joined once
+        reps.join(distinct, "label").select(F.col("rep").alias("id"), "label", "v", "weight", "distinct")
+        .mapInPandas(_copies(dev), f"label {kind}, dims int, cell binary, bits int, id bigint, weight bigint, v binary"), "vector-cells")
+    cell = ["label", "dims", "cell"]
+    sizes = cut(copies.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cell-sizes")
+    dealt = copies.join(sizes, cell).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a row goes to the pairs of its block with each block, once
     roles = (
-        dealt.select("*", other.alias("other")).select("*", F.explode(F.when(F.col("home"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("role"))
-        .select("cell", F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")).alias("i"),
-                F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own")).alias("j"), "role", "id", "weight", "unit"))
-    found = cut(roles.groupBy("cell", "i", "j").applyInPandas(_compare(threshold, primary), "edge boolean, a bigint, b bigint"), "vector-links")
+        dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(*cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "bits", "id", "weight", "v"))
+    found = cut(roles.groupBy(*cell, "i", "j").applyInPandas(_compare(threshold, "<f8" if double else "<f4"), "edge boolean, a bigint, b bigint"), "vector-links")
     links = found.where("not edge").groupBy("a").agg(F.sum("b").alias("n"))
     groups = connected_components(found.where("edge"))
     known = cut(
