@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, session
 
-#: Rows of a candidate block and of a query block; a task holds one of each.
-ROWS, QUERIES = 2048, 512
-#: Runs of components whose partial scores the threshold is dealt to.
+#: Queries of a block, which bounds what is broadcast (their vectors and cutoffs) and collected.
+QUERIES = 1 << 15
+#: Candidates that are scored at once, and scores.
+ROWS, SCORES = 4096, 1 << 22
+#: One row of so many takes part in phase 1.
+SHARE = 8
+#: Runs of components, the most telling first; a pair's score is resolved run by run while it may reach the cutoff.
 SEGMENTS = 4
+#: Part of the pairs below which those still open are resolved one by one.
+SPARSE = 0.05
 
 
 def usable(vector: str) -> Column:
@@ -24,64 +32,128 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def quantised(vector: str, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+def quantised(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and floor(scale * x) of the usable vectors (column v) with an id, for each length."""
+    v, sizes = batch.column("v"), pc.fill_null(pc.list_value_length(batch.column("v")), -1).to_numpy(zero_copy_only=False)
+    values = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+    known = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+    for dims in np.unique(sizes[sizes >= 0]).tolist():
+        at = np.flatnonzero((sizes == dims) & known)
+        x = values[starts[at][:, None] + np.arange(dims)]
+        good = np.isfinite(x).all(axis=1)
+        if good.any():
+            yield at[good], np.floor(scale * x[good])
+
+
+def _exact(q: np.ndarray, c: np.ndarray) -> bool:
+    """Whether doubles add and multiply these integers exactly."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2**53
+
+
+class Block:
+    """Queries of one length, their components in the order of their weight."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, place: np.ndarray) -> None:
+        self.order = np.argsort(-(v * v).sum(axis=0), kind="stable")
+        self.ids, self.place, self.v = ids, place, np.ascontiguousarray(v[:, self.order])
+        self.runs = [s for s in np.array_split(np.arange(v.shape[1]), SEGMENTS) if len(s)]
+        self.rest = self._rest(self.v)
+
+    def _rest(self, v: np.ndarray) -> np.ndarray:
+        """The norm of what follows each run, a little more than it is."""
+        return np.stack([np.sqrt((v[:, r[-1] + 1 :] ** 2).sum(axis=1)) * (1 + 1e-9) for r in self.runs] or [np.zeros(len(v))])
+
+    def scores(self, c: np.ndarray) -> np.ndarray:
+        if _exact(self.v, c):
+            return self.v @ c[:, self.order].T
+        whole = lambda x: np.array([[int(y) for y in r] for r in x], object).reshape(x.shape)
+        return whole(self.v) @ whole(c[:, self.order]).T
+
+    def reaching(self, c: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Pairs whose score is at least the query's cutoff, their scores, and how many products of runs were made.
+
+        A run adds to the scores of all pairs; Cauchy-Schwarz bounds what the runs after it can
+        add. When few pairs can still reach their cutoffs, the rest of these scores is resolved alone.
+        """
+        if not _exact(self.v, c):
+            got = self.scores(c)
+            i, j = np.nonzero(got >= np.where(np.isfinite(low), low, -np.inf)[:, None].astype(object))
+            return i, j, got[i, j], got.size * len(self.runs)
+        c = np.ascontiguousarray(c[:, self.order])
+        rest, total, made = self._rest(c), np.zeros((len(self.v), len(c))), 0
+        for n, r in enumerate(self.runs):
+            total += self.v[:, r] @ c[:, r].T
+            made += total.size
+            if n + 1 == len(self.runs):
+                break
+            open_ = total + self.rest[n][:, None] * rest[n] >= low[:, None]
+            if open_.mean() < SPARSE:
+                i, j = np.nonzero(open_)
+                more = slice(r[-1] + 1, None)
+                score = np.concatenate([total[a, b] + np.einsum("ij,ij->i", self.v[a, more], c[b, more]) for a, b in zip(*(np.array_split(x, 1 + len(i) // 65_536) for x in (i, j)), strict=True)])
+                good = score >= low[i]
+                return i[good], j[good], score[good], made + len(i) * (len(self.runs) - n - 1)
+        i, j = np.nonzero(total >= low[:, None])
+        return i, j, total[i, j], made
+
+
+def _parts(batches: Iterator[pa.RecordBatch], scale: int, blocks: dict[int, Block], share: int):
+    """Candidates by length in bounded parts, each with the queries of that length."""
+    for b in batches:
+        ids = b.column("id")
+        for at, c in quantised(b, scale):
+            block = blocks.get(c.shape[1])
+            if block is None:
+                continue
+            own = ids.take(pa.array(at)).to_numpy(zero_copy_only=False)
+            step = max(1, min(ROWS, SCORES // len(block.v)))
+            own, c = own[::share], c[::share]
+            for i in range(0, len(c), step):
+                yield block, own[i : i + step], c[i : i + step]
+
+
+def _lists(blocks: dict[int, Block], k: int, scale: int):
+    """Phase 1: of each query the k best scores among a share of the task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        for block, own, c in _parts(batches, scale, blocks, SHARE):
+            if not _exact(block.v, c):
+                continue  # fewer lists lower the cutoff at most
+            got = np.where(own == block.ids[:, None], -np.inf, block.scores(c))
+            held = best.get(c.shape[1])
+            got = got if held is None else np.concatenate([held, got], axis=1)
+            best[c.shape[1]] = -np.partition(-got, k - 1, axis=1)[:, :k] if got.shape[1] > k else got
+        for dims, got in best.items():
+            i, j = np.nonzero(np.isfinite(got))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[dims].place[i], pa.int64()), pa.array(got[i, j].astype(np.int64))], ["q", "score"])
 
-
-def _partial(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Exact integer partial scores of each segment."""
-    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * q.shape[1]
-    if most < 2**53:  # then doubles add and multiply integers exactly
-        q, c, back = q.astype(float), c.astype(float), np.int64
-    else:
-        q, c, back = q.astype(object), c.astype(object), object
-    cuts = np.array_split(np.arange(q.shape[1]), SEGMENTS)
-    return [(q[:, s] @ c[:, s].T if len(s) else np.zeros((len(q), len(c)))).astype(back) for s in cuts]
-
-
-def _stacked(p: pd.DataFrame) -> np.ndarray:
-    return np.array([np.asarray(v, np.int64) for v in p["v"]], np.int64).reshape(len(p), -1)
+    return run
 
 
-def _lists(k: int):
-    """Phase 1: of each query the k best exact scores among the leaders of any segment."""
+def _entries(blocks: dict[int, Block], low: dict[int, np.ndarray], scale: int):
+    """Phases 2 and 3: the rows that can reach a query's cutoff, with their exact scores."""
 
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "score": []})
-        parts = _partial(_stacked(q), _stacked(c))
-        own, ids, out = q["id"].to_numpy(), c["id"].to_numpy(), []
-        whole = sum(parts)
-        for i in range(len(q)):
-            other = np.flatnonzero(ids != own[i])
-            lead = [other[np.argsort(-p[i, other], kind="stable")[:k]] for p in parts]
-            scores = sorted((int(x) for x in whole[i, np.unique(np.concatenate(lead))]), reverse=True)[:k]
-            out.append(pd.DataFrame({"query_id": own[i], "score": scores}))
-        return pd.concat(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own, c in _parts(batches, scale, blocks, 1):
+            i, j, score, _ = block.reaching(c, low[c.shape[1]])
+            other = block.ids[i] != own[j]
+            i, j, score = i[other], j[other], score[other]
+            if len(i):
+                exact = [int(x) for x in score] if score.dtype == object else score.astype(np.int64)  # beyond 64 bits an error
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.place[i], pa.int64()), pa.array(block.ids[i], pa.int64()), pa.array(own[j], pa.int64()), pa.array(exact, pa.int64())], ["q", "query_id", "vec_id", "score"])
 
     return run
 
 
-def _entries():
-    """Phases 2 and 3: a score of at least the cutoff has a segment with at least its even share."""
-
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        parts = _partial(_stacked(q), _stacked(c))
-        own, ids, out = q["id"].to_numpy(), c["id"].to_numpy(), []
-        for i, low in enumerate(q["cutoff"]):
-            keep = ids != own[i]
-            if not pd.isna(low):
-                keep &= np.any([p[i] * SEGMENTS >= int(low) for p in parts], axis=0)
-            at = np.flatnonzero(keep)
-            score = sum(p[i, at] for p in parts)  # the rest of the score, exactly
-            if not pd.isna(low):
-                at, score = at[score >= int(low)], score[score >= int(low)]
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[at], "score": score}))
-        return pd.concat(out)
-
-    return run
+def _blocks(rows: pa.Table, scale: int) -> dict[int, Block]:
+    out = {}
+    for b in rows.combine_chunks().to_batches():
+        for at, v in quantised(b, scale):
+            out[v.shape[1]] = Block(b.column("id").to_numpy()[at], v, b.column("q").to_numpy()[at])
+    return out
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -89,34 +161,33 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int =
 
     Components become floor(scale * x); ties go to the smaller id; rows with the query's
     own id take no part, nor do null ids, vectors that are null or hold null or non-finite
-    components, or pairs of different lengths. Repeated query rows are asked once, repeated
-    candidate rows are ranked each. Fewer than k rows are all returned; empty tables give
-    none. A score beyond 64 bits is an error.
-
-    Queries and candidates meet in blocks. Phase 1 gathers from each pair of blocks only
-    the k best scores found among leaders of any segment of components; the k-th best of
-    all is a cutoff that no answer falls below. It goes back with the queries; each block
-    then collects the rows that have a segment with at least cutoff / segments, resolves
-    the rest of their scores exactly, and sends on those not below the cutoff.
+    components, or pairs of different lengths. Repeated query rows are asked once, rows of one id and
+    different vectors each have their own ranks; repeated candidate rows are ranked each. Fewer than k rows
+    are all returned; empty tables give none. A score beyond 64 bits is an error.
+
+    Queries go out in blocks of about 32,768, so what is broadcast is bounded and no candidate is ever shuffled
+    or copied; a block is a pass over the candidates. Phase 1 gathers from each task the k best scores of an
+    eighth of its rows; the k-th best of all is a cutoff that no answer falls below. Phase 2 broadcasts
+    the cutoffs; each task scores its rows run by run of components and keeps the pairs that
+    can still reach them. Phase 3 resolves the rest of their scores exactly.
     """
     spark = session(vectors)
-    shape = lambda d: d.where(usable(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantised(vec_col, scale).alias("v"))
-    rows, asked = shape(vectors), shape(queries).dropDuplicates(["id", "v"])
-    n, m = rows.count(), asked.count()
-    across, down = max(1, math.ceil(n / ROWS)), max(1, math.ceil(m / QUERIES))
-    dims = F.size("v").alias("dims")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = rows.select("*", dims, block(across).alias("c"), every(down).alias("q")).groupBy("dims", "c", "q")
-    blocks = lambda d: d.select("*", dims, block(down).alias("q"), every(across).alias("c")).groupBy("dims", "c", "q")
-    lists = blocks(asked).cogroup(c).applyInPandas(_lists(k), "query_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    cutoffs = cut(
-        lists.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-        .groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("cutoff")), "cutoffs")
-    told = asked.join(cutoffs.withColumnRenamed("query_id", "id"), "id", "left")
-    found = blocks(told).cogroup(c).applyInPandas(_entries(), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score"))
+    shape = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    rows = shape(vectors).where("id is not null and v is not null")
+    asked = shape(queries).where(F.col("id").isNotNull() & usable("v")).dropDuplicates(["id", "v"])
+    n = math.ceil(asked.count() / QUERIES)
+    asked = cut(asked.withColumns({"block": F.pmod(F.xxhash64("id", "v"), F.lit(max(1, n))), "q": F.monotonically_increasing_id()}), "topk-queries")
+    found = None
+    for block in range(n):
+        blocks = _blocks(asked.where(F.col("block") == block).select("id", "v", "q").toArrow(), scale)
+        lists = rows.mapInArrow(_lists(blocks, k, scale), "q bigint, score bigint")
+        best = Window.partitionBy("q").orderBy(F.desc("score"))
+        kth = lists.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("q", "score").toArrow()  # a row a query at most
+        known = dict(zip(kth["q"].to_pylist(), kth["score"].to_pylist(), strict=True))
+        low = {dims: np.array([known.get(q, -np.inf) for q in b.place.tolist()], np.float64) for dims, b in blocks.items()}
+        part = rows.mapInArrow(_entries(blocks, low, scale), "q bigint, query_id bigint, vec_id bigint, score bigint")
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = part if n == 1 else cut(part, "topk-found")
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")

@@ -60,13 +60,36 @@ def test_topk_large_components(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, j, sum(a * b for a, b in zip(q[0], q[j], strict=True))) for n, j in enumerate((4, 3))]
 
 
+def test_topk_in_blocks_of_queries(spark, rows, monkeypatch):
+    """Several passes give what one gives; rows of one id and two vectors have their own ranks."""
+    queries = [r for r in rows if r[0] % 20 == 0 and good(r[1])]
+    one = sorted(map(tuple, topk.exact_topk(table(spark, rows), table(spark, queries), 3).collect()))
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    assert sorted(map(tuple, topk.exact_topk(table(spark, rows), table(spark, queries), 3).collect())) == one
+    twice = topk.exact_topk(table(spark, rows), table(spark, [(0, rows[0][1], 0), (0, rows[1][1], 0), (0, rows[1][1], 0)]), 3).collect()
+    assert sorted(r["rank"] for r in twice) == [1, 1, 2, 2, 3, 3]
+
+
+def test_cutoffs_spare_products():
+    """Of vectors whose weight lies in few components most products of later runs are never made."""
+    r = np.random.default_rng(4)
+    weight = 1 / np.arange(1, 65)
+    q, c = (np.floor(1024 * r.standard_normal((n, 64)) * weight) for n in (50, 4000))
+    block = topk.Block(np.arange(50), q, np.arange(50))
+    whole = q @ c.T
+    low = np.sort(whole[:, ::8], axis=1)[:, -10]
+    i, j, score, made = block.reaching(c, low)
+    assert sorted(zip(i.tolist(), j.tolist(), score.tolist(), strict=True)) == sorted((a, b, whole[a, b]) for a, b in zip(*np.nonzero(whole >= low[:, None]), strict=True))
+    assert made < 0.4 * whole.size * len(block.runs)
+
+
 def linked(rows, threshold):
     ok = [(i, np.array(v, float), x) for i, v, x in rows if good(v) and x is not None and any(v)]
     pairs = [(a, b) for n, (a, u, x) in enumerate(ok) for b, w, y in ok[n + 1 :] if x == y and len(u) == len(w) and u @ w / np.sqrt((u @ u) * (w @ w)) >= threshold]
     return pairs
 
 
-@pytest.mark.parametrize("block", [2048, 16])
+@pytest.mark.parametrize("block", [16_384, 16])
 def test_vector_dedup(spark, rows, block, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
     got = {r.vec_id: r for r in vector_dedup.near_vectors(table(spark, rows), 0.98).collect()}
@@ -98,9 +121,9 @@ def test_recall_near_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.95 * 2 * len(pairs)
 
 
-@pytest.mark.parametrize("primary", [2, 8])
+@pytest.mark.parametrize("primary", [1, 2, 8])
 def test_recall_at_every_number_of_cell_projections(spark, primary, monkeypatch):
-    """Cells by eight projections, as for tables of millions, find as many pairs at the threshold as cells by two."""
+    """Cells by eight projections, as for labels of millions, find as many pairs at the threshold as cells by one."""
     monkeypatch.setattr(vector_dedup, "cell_projections", lambda largest: primary)
     r = np.random.default_rng(3)
     rows = []
@@ -115,6 +138,33 @@ def test_recall_at_every_number_of_cell_projections(spark, primary, monkeypatch)
     assert sum(r.n_links for r in got) >= 0.978 * 2 * 700
 
 
+@pytest.mark.parametrize("primary", [1, 3, 6])
+def test_cells_hold_each_near_pair_once(primary):
+    """Vectors whose cell projections lie within the window are compared in exactly one cell; a vector has 1.5 copies for each."""
+    r = np.random.default_rng(primary)
+    a = vector_dedup._unit(r.standard_normal((400, 32)))
+    b = vector_dedup._unit(a + 0.1 * r.standard_normal((400, 32)) / math.sqrt(32))
+    both = np.r_[a, b]
+    row, cell, bits = vector_dedup.cells(both, primary, 0.2)
+    at: dict = {}
+    for i, c, x in zip(row.tolist(), map(tuple, cell.tolist()), bits.tolist(), strict=True):
+        at.setdefault(i, {})[c] = x
+    p = both @ vector_dedup.directions(32)[:, vector_dedup.PROJECTIONS :][:, :primary]
+    near = (np.abs(p[:400] - p[400:]) <= vector_dedup.cell_window(primary) * 0.2).all(axis=1)
+    assert near.sum() > 350
+    for i in np.flatnonzero(near).tolist():
+        assert sum(at[i][c] & at[i + 400][c] == 0 for c in at[i].keys() & at[i + 400].keys()) == 1
+    assert len(row) / 800 < 1.6**primary
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Squares that under- or overflow don't matter."""
+    rows = [(1, [1e-200, 2e-200]), (2, [2e-200, 4e-200]), (3, [1e200, 2e200]), (4, [1e200, -2e200]), (5, [0.0, 0.0]), (6, [5e-324, 1e-323])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (0, 5), 6: (3, 1)}
+
+
 def test_empty(spark):
     none = table(spark, [])
     assert topk.exact_topk(none, none).count() == 0
