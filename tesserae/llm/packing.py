@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -17,8 +18,6 @@ from .tokens import ByteBpe, loaded
 
 #: Tokens that are packed together; a task holds no more ids than these and one document's.
 GROUP_TOKENS = 4_000_000
-#: Sequences that may be passed over for one with room before a document is cut.
-LOOK_AHEAD = 8
 SCHEMA = "doc_id {id}, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint"
 NAMES = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
 
@@ -28,12 +27,48 @@ def cost(length: int, limit: int) -> float:
     return length + length * length / limit
 
 
+class Rooms:
+    """Sequences by the room they have: a heap of (cost, sequence) for each room, and a tree of the least cost above each."""
+
+    def __init__(self, limit: int) -> None:
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(limit + 1)]
+        self.base = 1 << limit.bit_length()
+        self.none = (math.inf, -1, -1)
+        self.least = [self.none] * (2 * self.base)
+
+    def _changed(self, room: int) -> None:
+        heap, at = self.heaps[room], room + self.base
+        self.least[at] = (*heap[0], room) if heap else self.none
+        while at > 1:
+            at >>= 1
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def add(self, room: int, load: float, i: int) -> None:
+        heapq.heappush(self.heaps[room], (load, i))
+        if self.heaps[room][0] == (load, i):
+            self._changed(room)
+
+    def take(self, n: int) -> tuple[float, int]:
+        """The sequence of least cost that has room for n tokens; if there is none, that of least cost at all."""
+        at = n + self.base
+        found = self.least[at]
+        while at > 1:
+            if at % 2 == 0:
+                found = min(found, self.least[at + 1])
+            at >>= 1
+        if found is self.none:
+            found = self.least[1]
+        load, i, room = found
+        heapq.heappop(self.heaps[room])
+        self._changed(room)
+        return load, i
+
+
 def plan(lengths: list[int], limit: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) for documents of given lengths.
 
     Whole sequences are cut from long documents. What remains goes, in descending order of
-    cost, to the sequence of least cost that has room; where the nearest ones lack room,
-    the document is cut. The capacities add up to the tokens there are: all sequences are
+    cost, to the sequence of least cost that has room; where none has, the document is cut. The capacities add up to the tokens there are: all sequences are
     full, but the last tokens get sequences whose lengths are powers of two.
     """
     pieces, rest, seq = [], [], 0
@@ -44,25 +79,20 @@ def plan(lengths: list[int], limit: int) -> list[tuple[int, int, int, int, int]]
         if n % limit:
             rest.append((n % limit, doc, n - n % limit))
     total = sum(r[0] for r in rest)
-    room = [limit] * (total // limit) + [1 << b for b in range(limit.bit_length()) if total % limit >> b & 1]
-    filled = [0] * len(room)
-    heap = [(0.0, i) for i in range(len(room))]
+    sizes = [limit] * (total // limit) + [1 << b for b in range(limit.bit_length()) if total % limit >> b & 1]
+    filled = [0] * len(sizes)
+    open_ = Rooms(limit)
+    for i, size in enumerate(sizes):
+        open_.add(size, 0.0, i)
     rest.sort(key=lambda r: (-cost(r[0], limit), r[1]))
     for n, doc, at in rest:
         while n:
-            passed = []
-            while heap and len(passed) < LOOK_AHEAD:
-                passed.append(heapq.heappop(heap))
-                if room[passed[-1][1]] - filled[passed[-1][1]] >= n:
-                    break
-            load, i = passed.pop() if room[passed[-1][1]] - filled[passed[-1][1]] >= n else passed.pop(0)
-            for x in passed:
-                heapq.heappush(heap, x)
-            take = min(n, room[i] - filled[i])
+            load, i = open_.take(n)
+            take = min(n, sizes[i] - filled[i])
             pieces.append((doc, at, take, seq + i, filled[i]))
             filled[i], n, at = filled[i] + take, n - take, at + take
-            if filled[i] < room[i]:
-                heapq.heappush(heap, (load + cost(take, limit), i))
+            if filled[i] < sizes[i]:
+                open_.add(sizes[i] - filled[i], load + cost(take, limit), i)
     return pieces
 
 
