@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ GRAM = 32
 MOST_WINDOWS = 512
 #: Bytes of text that are fingerprinted at once, and of pieces in a suffix array.
 TEXT_BYTES, ARRAY_BYTES = 4 << 20, 2 << 20
+#: Text for which there is a bucket of fingerprints, so that a bucket is as large at any input.
+BUCKET_TEXT = 4 << 20
 #: A fingerprint with more different pieces than this is dealt by its windows instead, and one
 #: with more in a batch passes the buckets by.
 HOT_PIECES, MANY_PIECES = 1 << 15, 16
@@ -91,7 +94,10 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     up, down = _both_powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * up[:-1], out=sums[1:])
-    hashed = lambda a, b: _mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    # contents by mixed words of 8 bytes: sums over single bytes agree for some regular texts, whatever the factors
+    words = np.zeros(len(data) - 6, np.uint64)
+    np.cumsum(_mixed(np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))) * up[: len(data) - 7], out=words[1:])
+    hashed = lambda a, b: _mixed((words[b - 7] - words[a]) * down[a] + (b - a).astype(np.uint64))
     grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
     least, place = window_minima(grams, length - GRAM + 1)
     starts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
@@ -405,7 +411,8 @@ def repeated_spans(text: DataFrame, length: int) -> DataFrame:
     over 32,768 contents is dealt by hashes of whole windows instead.
     """
     spark = session(text)
-    buckets = max(64, 2 * partitions(spark))
+    size = text.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = max(64, 2 * partitions(spark), math.ceil(size / BUCKET_TEXT))
     found = cut(
         text.where(F.octet_length("t") >= length).select("doc", "t")
         .mapInPandas(_fingerprints(length, buckets), "bucket int, kind int, w binary, x binary, y binary, z binary")

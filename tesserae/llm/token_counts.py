@@ -44,7 +44,9 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str | Non
     def stored() -> DataFrame:
         try:
             found = spark.read.schema(CACHE).parquet(cache)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             found = spark.createDataFrame([], CACHE)
         return found.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 

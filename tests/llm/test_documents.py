@@ -86,6 +86,17 @@ def test_ngram_join_common_token(spark):
     assert sorted(r.n_shingles for r in got if r.doc_id is None) == sorted([2, len(shingles(rows[0][1], 4))])
 
 
+def test_long_regular_runs_differ():
+    """Two texts of 300 bytes whose sums of bytes nearly agree for any odd factor."""
+    text = "a"
+    while len(text) < 512:
+        text += text.translate(str.maketrans("ab", "ba"))
+    a, b = (np.frombuffer(t[:300].encode(), np.uint8) for t in (text, text.translate(str.maketrans("ab", "ba"))))
+    x, y = (suffix_dedup.runs(t, 300)[1] for t in (a, b))
+    assert len(x) == len(y) == 1
+    assert (x ^ y)[0] % (1 << 16)
+
+
 def test_long_regular_words_differ():
     """Two words whose sums of bytes agree for any odd factor."""
     word = "a"
@@ -154,6 +165,24 @@ def test_packing_plan_balances_cost():
     assert sum(size.values()) == sum(lengths)
 
 
+def test_packing_plan_takes_the_cheapest_with_room():
+    """Each remainder goes to the sequence of least cost that has room for it, found by trying all."""
+    lengths, limit = np.random.default_rng(5).integers(1, 200, 300).tolist(), 64
+    total = sum(n % limit for n in lengths)
+    sizes = [limit] * (total // limit) + [1 << b for b in range(7) if total % limit >> b & 1]
+    load, filled, want, first = [0.0] * len(sizes), [0] * len(sizes), [], sum(n // limit for n in lengths)
+    rest = sorted(((n % limit, d, n - n % limit) for d, n in enumerate(lengths) if n % limit), key=lambda r: (-packing.cost(r[0], limit), r[1]))
+    for n, d, at in rest:
+        while n:
+            room = [i for i in range(len(sizes)) if sizes[i] - filled[i] >= n] or [i for i in range(len(sizes)) if sizes[i] > filled[i]]
+            i = min(room, key=lambda i: (load[i], i))
+            take = min(n, sizes[i] - filled[i])
+            want.append((d, at, take, first + i, filled[i]))
+            load[i], filled[i], n, at = load[i] + packing.cost(take, limit), filled[i] + take, n - take, at + take
+    got = packing.plan(lengths, limit)
+    assert sorted(p for p in got if p[2] < limit or p[3] >= first) == sorted(want)
+
+
 def test_byte_bpe_is_the_librarys(rows):
     codec = ByteBpe()
     odd = ["<|endoftext|> a", "a  b \n c", "日本 text", "x y", "don't  we'll", "\x00\x01", "é", " lead", "tail ", "\t\n "]
