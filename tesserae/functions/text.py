@@ -167,3 +167,68 @@ def clamped_message(message: Column, most_lines: int = 10, most_words: int = 100
 
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
     return stripped(F.aggregate(lines, start, step, lambda s: F.array_join(s["out"], "\n")))
+
+
+#: The rule of generated files, and the line that marks them.
+GO_RULE, GO_MARK = "go-generated-comment", r"^// Code generated .* DO NOT EDIT\.$"
+
+
+def is_go_generated(path: Column, header: Column) -> Column:
+    """Whether the mark of generated code stands before the first line that isn't comment."""
+    lines = F.filter(F.transform(F.split(header, "\n"), lambda l: stripped(l)), lambda l: l != "")
+    start = F.struct(F.lit(False).alias("block"), F.lit(False).alias("over"), F.lit(False).alias("found"))
+
+    def step(s, l):
+        ends, opens = l.contains("*/"), l.startswith("/*") & ~s["block"]
+        code = ~s["block"] & ~l.startswith("//") & ~l.startswith("/*")
+        return F.struct(
+            ((s["block"] | opens) & ~ends).alias("block"), (s["over"] | code).alias("over"),
+            (s["found"] | (~s["over"] & l.rlike(GO_MARK))).alias("found"))
+
+    return path.endswith(".go") & F.aggregate(lines, start, step, lambda s: s["found"])
+
+
+def has_do_not_edit(source: Column) -> Column:
+    """Whether a comment before the package clause says that the file isn't to be edited."""
+    head = F.regexp_extract(source, r"(?s)^(.*?)(?:^|\n)package\s", 1)
+    comments = F.regexp_extract_all(head, F.lit(r"(?s)(//[^\n]*|/\*.*?\*/)"), F.lit(1))
+    return F.exists(comments, lambda c: c.contains("DO NOT EDIT"))
+
+
+#: A conventional prefix: a word, on request a scope, and a mark of breaking changes.
+CONVENTIONAL = r"^[A-Za-z]+(\([^()]+\))?!?$"
+
+
+def is_conventional(summary: Column) -> Column:
+    """Whether a summary has a conventional prefix before its first colon."""
+    return (F.instr(summary, ":") > 0) & F.trim(F.substring_index(summary, ":", 1)).rlike(CONVENTIONAL)
+
+
+def is_title_case(summary: Column) -> Column:
+    """Whether a summary without such a prefix begins with a capital."""
+    return ~is_conventional(summary) & summary.rlike("^[A-Z]")
+
+
+def is_chore(summary: Column) -> Column:
+    """Whether a summary is of a chore."""
+    return F.lower(summary).rlike(r"^chore[(:]")
+
+
+def clipped_match(text: Column, most: int = 1000) -> Column:
+    """A match within a number of bytes that doesn't split a character, with an ellipsis where it was cut."""
+    from .web import cut_at_character
+
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(cut_at_character(text, most), F.lit("...")))
+
+
+def single_line_bytes(text: Column, most: int) -> Column:
+    """White space collapsed, then cut at a number of bytes at a character's border."""
+    from .web import cut_at_character
+
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.octet_length(flat) <= most, flat).otherwise(F.trim(cut_at_character(flat, most)))
+
+
+def has_line(text: Column, wanted: Column) -> Column:
+    """Whether a text has a line of a number; a final line end begins no line."""
+    return (wanted >= 1) & (line_count(text) >= wanted)

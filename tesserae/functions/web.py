@@ -97,19 +97,18 @@ def limited(text: Column, most_bytes: int, most_lines: int) -> Column:
     """Line and byte caps that don't split a character, with a mark where text was cut."""
     kept = lines = F.substring_index(text, "\n", most_lines) if most_lines else text
     if most_bytes:
-        raw = F.encode(lines, "UTF-8")
-        short = F.decode(F.substring(raw, F.lit(1), _character_border(raw, most_bytes)), "UTF-8")
-        kept = F.when(F.octet_length(lines) > most_bytes, short).otherwise(lines)
+        kept = F.when(F.octet_length(lines) > most_bytes, cut_at_character(lines, most_bytes)).otherwise(lines)
     return F.when(kept == text, text).otherwise(F.concat(kept, F.lit("\n[truncated]")))
 
 
-def _character_border(raw: Column, most: int) -> Column:
-    """The longest prefix of at most so many bytes that ends before the first byte of a character."""
+def cut_at_character(text: Column, most: int) -> Column:
+    """The longest beginning of at most so many bytes that ends before the first byte of a character."""
+    raw = F.encode(text, "UTF-8")
     starts = lambda n: F.hex(F.substring(raw, n + 1, 1)).rlike("^[^89AB]")
     out = F.lit(max(most - 3, 0))
     for n in range(max(most - 2, 0), most + 1):
         out = F.when(starts(n), n).otherwise(out)
-    return out
+    return F.decode(F.substring(raw, F.lit(1), out), "UTF-8")
 
 
 def float_bytes(vector: Column) -> Column:

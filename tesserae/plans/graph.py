@@ -40,6 +40,21 @@ def reachable(edges: DataFrame, starts: DataFrame, child: str = "sha", parent: s
     raise ValueError(f"no fixed point after {most} rounds")
 
 
+def reachable_from(edges: DataFrame, starts: DataFrame, group: str, child: str = "sha", parent: str = "parent", most: int = 10_000) -> DataFrame:
+    """The same for many groups of starts at once: (group, node, distance) from rows (group, node)."""
+    known = frontier = written(starts.select(group, "node", F.lit(0).alias("distance")).dropDuplicates([group, "node"]))
+    steps = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("next"))
+    for turn in range(1, most):
+        found = steps.join(frontier.select(group, "node"), "node").select(group, F.col("next").alias("node")).distinct().join(known, [group, "node"], "left_anti")
+        frontier = written(found.select(group, "node", F.lit(turn).alias("distance")))
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+        if turn % 16 == 0:
+            known = written(known)
+    raise ValueError(f"no fixed point after {most} rounds")
+
+
 def commit_range(edges: DataFrame, base: DataFrame, release: DataFrame, **names: str) -> DataFrame:
     """Nodes reachable from the release but not from the base."""
     return reachable(edges, release, **names).join(reachable(edges, base, **names), "node", "left_anti")
