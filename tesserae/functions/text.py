@@ -196,7 +196,7 @@ def has_do_not_edit(source: Column) -> Column:
 
 
 #: A conventional prefix: a word, on request a scope, and a mark of breaking changes.
-CONVENTIONAL = r"^[A-Za-z]+(\([^()]+\))?!?$"
+CONVENTIONAL = r"^[a-z]+(\([^)]+\))?!?$"
 
 
 def is_conventional(summary: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..functions import text as T
 from ..functions import vectors as V
 from ..plans.graph import written
@@ -19,6 +20,83 @@ def line_chunks(docs: DataFrame, size: int = 80, step: int = 60) -> DataFrame:
     return out.withColumn("body", F.array_join(F.slice("_lines", F.col("start_line"), F.lit(size)), "\n")).drop("_lines")
 
 
+#: Lines that open a declaration at the margin: (kind, pattern with the name).
+DECLARATIONS = (
+    ("method", r"^func\s*\([^)]*\)\s*([A-Za-z_]\w*)"), ("function", r"^func\s+([A-Za-z_]\w*)"), ("type", r"^type\s+([A-Za-z_]\w*)"),
+    ("const", r"^const\s+([A-Za-z_]\w*)"), ("var", r"^var\s+([A-Za-z_]\w*)"),
+    ("function", r"^(?:async\s+)?def\s+([A-Za-z_]\w*)"), ("type", r"^class\s+([A-Za-z_]\w*)"))
+#: Lines that open a group of declarations, whose names stand one level in.
+GROUPS = (("type", r"^type\s*\($"), ("const", r"^const\s*\($"), ("var", r"^var\s*\($"))
+
+
+def declarations(docs: DataFrame, key: str = "path") -> DataFrame:
+    """Declarations by their first and last lines (E02): key, start, end, symbol_type, symbol.
+
+    A declaration opens at the margin and ends before the next line at the margin that opens something or
+    holds no closing bracket; a group in parentheses is one declaration with all its names. Lines are recognised, not parsed.
+    """
+    lines = docs.select(key, F.posexplode(T.body_lines(F.col("text"))).alias("at", "l")).withColumn("at", F.col("at") + 1)
+    kind = name = F.lit(None).cast("string")
+    for k, p in reversed(DECLARATIONS):
+        kind, name = F.when(F.col("l").rlike(p), k).otherwise(kind), F.when(F.col("l").rlike(p), F.regexp_extract("l", p, 1)).otherwise(name)
+    group = F.lit(None).cast("string")
+    for k, p in GROUPS:
+        group = F.when(F.trim("l").rlike(p), k).otherwise(group)
+    margin = F.col("l").rlike(r"^\S") & ~F.col("l").rlike(r"^[)}\]]")
+    marked = lines.withColumns({"kind": F.coalesce(kind, group), "name": name, "grouped": group.isNotNull(), "margin": margin})
+    # a run goes from one line at the margin to the next; of a run that opens a declaration the last line that isn't blank is its end
+    run = F.sum(F.col("margin").cast("int")).over(Window.partitionBy(key).orderBy("at"))
+    inner = F.regexp_extract("l", r"^(?:\t| {2,4})([A-Za-z_]\w*)", 1)
+    out = marked.withColumn("run", run).withColumn("inner", F.when(inner != "", inner)).groupBy(key, "run").agg(
+        F.min("at").alias("start"), F.max(F.when(F.trim("l") != "", F.col("at"))).alias("end"), F.max("kind").alias("symbol_type"), F.max("name").alias("name"),
+        F.bool_or("grouped").alias("grouped"), F.array_sort(F.collect_list(F.when(F.col("inner").isNotNull(), F.struct("at", "inner")))).alias("names"))
+    symbol = F.when(F.col("grouped"), F.array_join(F.transform("names", lambda n: n["inner"]), ", ")).otherwise(F.col("name"))
+    return out.where("symbol_type is not null and run > 0").select(key, "start", "end", "symbol_type", symbol.alias("symbol"))
+
+
+def gaps(docs: DataFrame, covered: DataFrame, key: str = "path") -> DataFrame:
+    """Runs of lines that nothing covers, from a line that isn't blank to the next covered one (E02): key, start, end.
+
+    Gaps and islands over borders only: the covered spans of a key are few, its lines need not be expanded twice.
+    """
+    lined = docs.select(key, T.body_lines(F.col("text")).alias("_lines"))
+    edge = Window.partitionBy(key).orderBy("start")
+    spans = covered.select(key, "start", "end").withColumn("reach", F.max("end").over(edge.rowsBetween(Window.unboundedPreceding, 0)))
+    after = spans.select(key, (F.col("reach") + 1).alias("start"), (F.coalesce(F.lead("start").over(edge), F.lit(1 << 30)) - 1).alias("end"))
+    first = spans.groupBy(key).agg(F.lit(1).alias("start"), (F.min("start") - 1).alias("end"))
+    none = docs.select(key).join(covered.select(key).distinct(), key, "left_anti").select(key, F.lit(1).alias("start"), F.lit(1 << 30).alias("end"))
+    holes = after.unionByName(first).unionByName(none).join(lined, key).withColumn("end", F.least("end", F.size("_lines"))).where("start <= end")
+    blank = F.transform(F.slice("_lines", F.col("start"), F.greatest(F.col("end") - F.col("start") + 1, F.lit(0))), lambda l: F.trim(F.regexp_replace(l, r"\s+", " ")) == "")
+    shift = F.array_position(blank, False)
+    return holes.withColumn("start", F.col("start") + shift.cast("int") - 1).where(shift > 0).select(key, "start", "end")
+
+
+def symbol_chunks(docs: DataFrame, size: int = 80, step: int = 60, key: str = "path") -> DataFrame:
+    """Windows over declarations, then over what they leave uncovered, by start (E02): all columns, start_line, end_line, symbol_type, symbol, body.
+
+    A file whose heading says that it isn't to be edited has one chunk without a body.
+    """
+    plain = docs.where(~F.coalesce(T.has_do_not_edit(F.col("text")), F.lit(False)))
+    found = written(declarations(plain, key))
+    rest = gaps(plain, found, key).withColumns({"symbol_type": F.lit(None).cast("string"), "symbol": F.lit(None).cast("string")})
+    spans = found.unionByName(rest)
+    last = F.greatest(F.col("end") - (size - step), F.col("start"))
+    out = plain.join(spans, key).withColumn("start_line", F.explode(F.sequence("start", last, F.lit(step))))
+    out = out.withColumn("end_line", F.least(F.col("start_line") + size - 1, F.col("end")))
+    body = F.array_join(F.slice(T.body_lines(F.col("text")), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    out = out.withColumn("body", body).drop("start", "end")
+    sealed = docs.join(plain.select(key), key, "left_anti").withColumns({"symbol_type": F.lit(None).cast("string"), "symbol": F.lit(None).cast("string"), "start_line": F.lit(1), "end_line": F.lit(1), "body": F.lit("")})
+    return out.select(*docs.columns, "start_line", "end_line", "symbol_type", "symbol", "body").unionByName(sealed.select(*docs.columns, "start_line", "end_line", "symbol_type", "symbol", "body"))
+
+
+def chunks(docs: DataFrame, size: int = 80, step: int = 60) -> DataFrame:
+    """Chunks of files by their kind (M27): by symbols where there are declarations, else line windows. ``docs``: path, text."""
+    code = P.language(F.col("path")).isin("go", "python") | F.col("path").rlike(r"\.(go|py)$")
+    by_symbol = symbol_chunks(docs.where(code), size, step)
+    lines = line_chunks(docs.where(~code), size, step).withColumns({"symbol_type": F.lit(None).cast("string"), "symbol": F.lit(None).cast("string")})
+    return by_symbol.unionByName(lines.select(*by_symbol.columns))
+
+
 def numbered(chunks: DataFrame, *order: str) -> DataFrame:
     """Chunk ids c000001, ... in order, by counts of range partitions rather than one sort task."""
     spread = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())

@@ -142,6 +142,16 @@ class Ignore:
         return files.where(~run("path"))
 
 
+def ignore_rules(files: DataFrame, name: str = ".gitignore", excludes: tuple[str, ...] = ()) -> Ignore:
+    """The rules of all ignore files of a listing (path, text), after those of ``excludes``, which hold for the whole.
+
+    Rule files are few; they are collected in order of depth, as outer ones come first.
+    """
+    rows = files.where(P.base(F.col("path")) == name).select(F.regexp_replace(P.directory(F.col("path")), r"^\.$", "").alias("d"), "text").collect()
+    own = [(r.d, line) for r in sorted(rows, key=lambda r: (r.d.count("/") + bool(r.d), r.d)) for line in (r.text or "").splitlines()]
+    return Ignore([("", line) for text in excludes for line in text.splitlines()] + own)
+
+
 def hashed_embeddings(texts_: DataFrame, dims: int = 64, text: str = "text") -> DataFrame:
     """An offline provider of vectors (K01): signed counts of hashed words, at unit length."""
 
