@@ -18,7 +18,7 @@ from . import history, messages, validate
 #: Section headings, characters of a bullet and of a child.
 SECTIONS, BULLET, CHILD = ("Breaking Changes", "Security", "New Features", "Improvements", "Bug Fixes"), 160, 140
 #: Aspects of simplifications, diagnostics of a result, bytes of messages, codes, reasons and errors.
-ASPECTS = ("reuse", "simplification", "efficiency", "altitude")
+ASPECTS = ("reuse", "clarity", "efficiency")
 DIAGNOSTICS, MESSAGE, CODE, REASON, ERROR = 100, 512, 128, 512, 1024
 #: Files of guidance by family, the first of a directory wins.
 GUIDANCE = {"agents": ("AGENTS.override.md", "AGENTS.md"), "claude": ("CLAUDE.md",)}

@@ -67,8 +67,8 @@ def gaps(docs: DataFrame, covered: DataFrame, key: str = "path") -> DataFrame:
     none = docs.select(key).join(covered.select(key).distinct(), key, "left_anti").select(key, F.lit(1).alias("start"), F.lit(1 << 30).alias("end"))
     holes = after.unionByName(first).unionByName(none).join(lined, key).withColumn("end", F.least("end", F.size("_lines"))).where("start <= end")
     blank = F.transform(F.slice("_lines", F.col("start"), F.greatest(F.col("end") - F.col("start") + 1, F.lit(0))), lambda l: F.trim(F.regexp_replace(l, r"\s+", " ")) == "")
-    shift = F.array_position(blank, False)
-    return holes.withColumn("start", F.col("start") + shift.cast("int") - 1).where(shift > 0).select(key, "start", "end")
+    shift = F.array_position(blank, False).cast("int")
+    return holes.withColumn("shift", shift).where("shift > 0").select(key, (F.col("start") + F.col("shift") - 1).alias("start"), "end")
 
 
 def symbol_chunks(docs: DataFrame, size: int = 80, step: int = 60, key: str = "path") -> DataFrame:

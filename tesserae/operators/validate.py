@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranks of severities.
+#: Ranks of severities, aspects of findings.
 SEVERITY = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
+ASPECTS = ("correctness", "security", "reliability", "performance", "maintainability", "tests", "style")
 
 
 def errors(**rules: Column) -> Column:
@@ -34,16 +35,23 @@ def findings(rows: DataFrame, report: str = "report", order: str = "ord") -> Dat
     rank = severity_rank(F.col("severity"))
     before = F.lag(rank).over(Window.partitionBy(report).orderBy(order))
     bad = errors(
-        unknown_severity=rank.isNull(), severity_rises=F.coalesce(before < rank, F.lit(False)),
+        unknown_severity=rank.isNull(), unknown_aspect=~F.coalesce(F.col("aspect").isin(*ASPECTS), F.lit(False)), severity_rises=F.coalesce(before < rank, F.lit(False)),
         style_must_be_low=(F.col("aspect") == "style") & ~F.col("severity").eqNullSafe("LOW"), title_missing=F.trim(F.coalesce("title", F.lit(""))) == "",
         bad_line_range=(F.col("line_start") < 1) | (F.col("line_end") < F.col("line_start")))
     return rows.withColumn("errors", bad)
 
 
 def recommendation(rows: DataFrame, report: str = "report") -> DataFrame:
-    """What a report must recommend by its worst finding."""
+    """What a report must recommend by its worst finding (D21, V02); a row without a severity stands for a report without findings."""
     worst = F.max(severity_rank(F.col("severity")))
-    return rows.groupBy(report).agg(F.when(worst >= 3, "request_changes").when(worst == 2, "comment").otherwise("approve").alias("recommendation"), F.count("*").alias("findings"))
+    return rows.groupBy(report).agg(F.when(worst >= 3, "FIX").when(worst.isNotNull(), "COMMENT").otherwise("APPROVE").alias("recommendation"), F.count("severity").alias("findings"))
+
+
+def wrong_recommendations(reports: DataFrame, rows: DataFrame, report: str = "report") -> DataFrame:
+    """Reports that don't recommend what their findings call for (V02): report, recommendation, wanted."""
+    want = recommendation(rows, report).select(report, F.col("recommendation").alias("wanted"))
+    out = reports.select(report, "recommendation").join(want, report, "left").withColumn("wanted", F.coalesce("wanted", F.lit("APPROVE")))
+    return out.where(F.col("recommendation") != F.col("wanted"))
 
 
 def evidence(rows: DataFrame, files: DataFrame) -> DataFrame:

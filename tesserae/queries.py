@@ -477,7 +477,7 @@ def message_errors(spark, sf):
 
 
 @query("""WITH f AS (SELECT o_custkey AS report, o_orderkey AS ord, CASE split_part(o_orderpriority, '-', 1) WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 ELSE 1 END AS r FROM orders)
-  SELECT report, CASE WHEN max(r) >= 3 THEN 'request_changes' WHEN max(r) = 2 THEN 'comment' ELSE 'approve' END AS recommendation, count(*) AS findings FROM f GROUP BY 1""")
+  SELECT report, CASE WHEN max(r) >= 3 THEN 'FIX' WHEN max(r) IS NOT NULL THEN 'COMMENT' ELSE 'APPROVE' END AS recommendation, count(*) AS findings FROM f GROUP BY 1""")
 def recommendations(spark, sf):
     """What reports recommend by their worst finding: D21."""
     return validate.recommendation(_findings(spark, sf))
