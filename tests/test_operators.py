@@ -170,11 +170,11 @@ def test_graphs(spark):
 
 
 def test_validators(spark):
-    rows = [("r", 1, "MEDIUM", "bug", "t", 1, 2), ("r", 2, "HIGH", "bug", "t", 1, 2), ("r", 3, "HIGH", "style", "", 5, 2), ("s", 1, "x", "bug", "t", 0, 1)]
+    rows = [("r", 1, "MEDIUM", "tests", "t", 1, 2), ("r", 2, "HIGH", "tests", "t", 1, 2), ("r", 3, "HIGH", "style", "", 5, 2), ("s", 1, "x", "bug", "t", 0, 1)]
     df = spark.createDataFrame(rows, "report string, ord int, severity string, aspect string, title string, line_start int, line_end int")
     got = {(r.report, r.ord): r.errors for r in validate.findings(df).collect()}
-    assert got == {("r", 1): [], ("r", 2): ["severity rises"], ("r", 3): ["style must be low", "title missing", "bad line range"], ("s", 1): ["unknown severity", "bad line range"]}
-    assert {r.report: r.recommendation for r in validate.recommendation(df).collect()} == {"r": "FIX", "s": "COMMENT"}
+    assert got == {("r", 1): [], ("r", 2): ["severity rises"], ("r", 3): ["style must be low", "title missing", "bad line range"], ("s", 1): ["unknown severity", "unknown aspect", "bad line range"]}
+    assert {r.report: r.recommendation for r in validate.recommendation(df).collect()} == {"r": "FIX", "s": "APPROVE"}
     calls = spark.createDataFrame([("b", "1", "grep", "{}"), ("b", "1", "find", "{}"), ("b", "2", "rm", "{}")], "batch string, call_id string, name string, arguments string")
     assert sorted(r.errors for r in validate.tool_batch(calls, ["grep", "find"]).collect()) == [["repeated call id"], ["repeated call id"], ["unknown tool"]]
     seen = validate.evidence(spark.createDataFrame([("a", 1, 2), ("a", 1, 9), ("z", 1, 1)], "path string, line_start int, line_end int"), spark.createDataFrame([("a", 5)], "path string, lines int"))
