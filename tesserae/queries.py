@@ -146,11 +146,11 @@ def chunk_numbers(spark, sf):
     return retrieve.numbered(_t(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "chunk_id")
 
 
-@query("""SELECT doc_id, lower(trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g'))) AS q, left('implementation entrypoint for ' || left(text, 100), 40) AS framed FROM documents""")
+@query("""SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q,
+  CASE WHEN length(text) <= 31970 THEN 'implementation entrypoint for ' || text ELSE left(text, 32000) END AS framed FROM documents""")
 def query_texts(spark, sf):
-    """Normalised and framed queries: I03-I05."""
-    head = F.substring("text", 1, 200)
-    return _t(spark, sf, "documents").select("doc_id", T.normalized_query(head).alias("q"), F.substring(T.framed_query(F.substring("text", 1, 100)), 1, 40).alias("framed"))
+    """Whole texts as normalised and framed queries: I03-I05."""
+    return _t(spark, sf, "documents").select("doc_id", T.normalized_query(F.col("text")).alias("q"), T.framed_query(F.col("text")).alias("framed"))
 
 
 @query("""SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND text NOT LIKE '%' || chr(10) THEN 1 ELSE 0 END AS INTEGER) AS n_lines,
@@ -166,11 +166,15 @@ def line_ranges(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", T.line_range(F.col("text"), F.lit(2), F.lit(4)).alias("body"))
 
 
-@query(f"""WITH {DOCS} SELECT doc_id, path, CASE WHEN instr(path, '/') = 0 THEN '.' ELSE regexp_replace(path, '/[^/]*$', '') END AS dir, '.md' AS extension, 'markdown' AS language, false AS code, false AS test FROM docs""")
+KINDS = "concat(source, CASE lang WHEN 'en' THEN '/' || doc_id || '_test.go' WHEN 'de' THEN '/tests/' || doc_id || '.yaml' WHEN 'fr' THEN '/a/' || doc_id || '.py' ELSE '/LATEST' || doc_id END)"
+
+
+@query(f"""SELECT doc_id, {KINDS} AS path, source || CASE lang WHEN 'de' THEN '/tests' WHEN 'fr' THEN '/a' ELSE '' END AS dir, CASE lang WHEN 'en' THEN '.go' WHEN 'de' THEN '.yaml' WHEN 'fr' THEN '.py' ELSE '<none>' END AS extension,
+  CASE lang WHEN 'en' THEN 'go' WHEN 'de' THEN 'yaml' ELSE '' END AS language, coalesce(lang IN ('en', 'fr'), false) AS code, coalesce(lang IN ('en', 'de'), false) AS test FROM documents""")
 def path_parts(spark, sf):
     """Directory, extension, language and predicates of paths: I30, I31, B05, B06."""
     p = F.col("path")
-    return _docs(spark, sf).select("doc_id", "path", P.directory(p).alias("dir"), P.extension(p).alias("extension"), P.language(p).alias("language"), P.is_code(p).alias("code"), P.is_test(p).alias("test"))
+    return _t(spark, sf, "documents").select("doc_id", F.expr(KINDS).alias("path")).select("doc_id", "path", P.directory(p).alias("dir"), P.extension(p).alias("extension"), P.language(p).alias("language"), P.is_code(p).alias("code"), P.is_test(p).alias("test"))
 
 
 @query("""SELECT page_id, u AS url, lower(regexp_extract(u, '^[a-zA-Z]+://(?:[^@/?#]*@)?([^/:?#]*)', 1)) AS host
@@ -200,10 +204,12 @@ def json_pointer(spark, sf):
     return _t(spark, sf, "events").select("event_id", readq.pointer(F.col("props"), "/k").alias("k"))
 
 
-@query("""SELECT event_id, '/k' AS pointer, 'number' AS kind FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
+@query("""SELECT event_id, unnest(['/a', '/b', '/it''s', '/n', '/x~1y']) AS pointer, unnest(['object', 'array', 'string', 'null', 'number']) AS kind FROM events""")
 def json_kinds(spark, sf):
     """Members of JSON objects with their kinds: H09."""
-    return readq.json_members(_t(spark, sf, "events"), "event_id", "props")
+    e = _t(spark, sf, "events")
+    members = F.format_string('{"n":null,"a":%s,"b":[%d],"it\'s":"%s","x/y":%d}', F.col("props"), F.col("event_id"), F.col("event_type"), F.col("user_id"))
+    return readq.json_members(e.select("event_id", members.alias("j")), "event_id", "j")
 
 
 @query(f"""WITH {DOCS}, l AS (SELECT path, string_split_regex(text, '\\r?\\n') AS ls FROM docs WHERE strlen(text) <= 2097152),
@@ -290,21 +296,22 @@ def change_inventory(spark, sf):
     return got.select("path", "status", "adds")
 
 
-@query("""WITH a AS (SELECT l_orderkey AS k, count(*) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS v FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 GROUP BY 1)
-  SELECT k, a.v AS old, b.v AS "new", CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'deleted' ELSE 'modified' END AS status FROM a FULL JOIN b USING (k) WHERE a.v IS DISTINCT FROM b.v""")
+@query("""WITH a AS (SELECT l_partkey AS k, count(*) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS v FROM lineitem GROUP BY 1)
+  SELECT coalesce(a.k, b.k) AS k, a.v AS old, b.v AS new, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'deleted' ELSE 'modified' END AS status
+  FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
 def full_outer_delta(spark, sf):
     """Keys whose values differ between two sides: C13-C15."""
-    side = lambda where: _t(spark, sf, "lineitem").where(where).groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("v"))
-    return changes.delta(side("l_linenumber <= 2"), side("l_linenumber between 2 and 4"), "k", "v").select("k", "old", "new", "status")
+    side = lambda c: _t(spark, sf, "lineitem").groupBy(F.col(c).alias("k")).agg(F.count("*").alias("v"))
+    return changes.delta(side("l_partkey"), side("l_suppkey"), "k", "v").select("k", "old", "new", "status")
 
 
 FACTS = """facts AS (SELECT l_returnflag || '/' || l_linestatus || '/' || l_suppkey || CASE WHEN l_linenumber = 1 THEN '.go' ELSE '.md' END AS path,
   CAST(sum(l_quantity) AS BIGINT) AS adds, count(*) AS deletes, l_linenumber = 1 AS generated, CASE WHEN l_linestatus = 'O' THEN 'A' ELSE 'M' END AS status
-  FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)"""
+  FROM lineitem GROUP BY ALL)"""
 
 
 def _facts(spark, sf):
-    li = _t(spark, sf, "lineitem").where("l_linenumber <= 2")
+    li = _t(spark, sf, "lineitem")
     return li.groupBy(
         F.expr("concat(l_returnflag, '/', l_linestatus, '/', l_suppkey, case when l_linenumber = 1 then '.go' else '.md' end)").alias("path"),
         (F.col("l_linenumber") == 1).alias("generated"), F.expr("case when l_linestatus = 'O' then 'A' else 'M' end").alias("status"),
@@ -534,3 +541,6 @@ def merkle_tree(spark, sf):
 def markdown_headings(spark, sf):
     """Headings outside fences: I73, L04."""
     return readq.markdown_outline(_docs(spark, sf))
+
+
+from . import view_queries  # noqa: E402, F401 -- registers its own queries
