@@ -305,15 +305,40 @@ def test_line_dedup(docs, rows):
         assert got == without_lines(rows, run)
 
 
-def test_sentencepiece(docs, rows):
+def _library():
     import sentencepiece as sp
 
-    model = sp.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
-    got = {r.doc_id: r for r in sentencepiece_codec.encode_documents(docs, chunk=100).collect()}
-    assert any(r.n_chunks > 1 for r in got.values())
-    for i, t in rows:
+    return sp.SentencePieceProcessor(model_proto=sentencepiece_codec.unigram(vocabulary("piece_bpe_32k.model")))
+
+
+def test_sentencepiece(spark, docs, rows):
+    """Ids are the library's for the same unigram model; texts without spaces, with many, and with unknown characters are split too."""
+    model, r = _library(), random.Random(6)
+    odd = [(1000, "".join(r.choice("abcdefgh") for _ in range(900))), (1001, " " * 500 + "x" + " " * 450), (1002, "日本語テキスト😀" * 60), (1003, "a▁b " * 90), (1004, "the end " * 100), (1005, "\n\t " * 200)]
+    got = {x.doc_id: x for x in sentencepiece_codec.encode_documents(docs.unionByName(frame(spark, odd)), chunk=100).collect()}
+    assert sum(x.n_chunks > 1 for x in got.values()) > 20
+    for i, t in [*rows, *odd]:
         ids = model.encode(t or "")
-        assert (got[i].n_bytes, got[i].n_tokens, got[i].ids_crc32, got[i].round_trip) == (len((t or "").encode()), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+        assert got[i].ids == ids
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].ids_crc32, got[i].round_trip) == (len((t or "").encode()), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), i != 1003)
+
+
+def test_sentencepiece_as_its_file_has_it(docs, rows):
+    import sentencepiece as sp
+
+    model = sp.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    got = {r.doc_id: r.ids for r in sentencepiece_codec.encode_documents(docs, chunk=100, as_unigram=False).collect()}
+    assert got == {i: model.encode(t or "") for i, t in rows}
+
+
+def test_scan_over_blocks_of_chunks(spark, monkeypatch):
+    """Matrices of many blocks combine to the same path; null ids beside ids above 2^53 stay as they are."""
+    model, r = _library(), random.Random(8)
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK", 3)
+    big = (1 << 53) + 1
+    texts = [(big, " ".join("".join(r.choice("etaoinsh") for _ in range(r.choice([1, 3, 90]))) for _ in range(120))), (None, "x" * 2000), (None, "short")]
+    got = sorted(((x.doc_id, x.ids) for x in sentencepiece_codec.encode_documents(frame(spark, texts, 1), chunk=60).collect()), key=str)
+    assert got == sorted(((i, model.encode(t)) for i, t in texts), key=str)
 
 
 def test_packed_sequences_hold_the_ids(docs, rows):
@@ -332,9 +357,7 @@ def test_packed_sequences_hold_the_ids(docs, rows):
 
 def test_sentencepiece_ids_and_their_texts(spark, docs, rows, tmp_path):
     """Ids are the library's and come back as texts when they were stored, split texts included."""
-    import sentencepiece as sp
-
-    model = sp.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    model = _library()
     sentencepiece_codec.encode_documents(docs, chunk=100).write.parquet(f"file://{tmp_path}/ids")
     stored = spark.read.parquet(f"file://{tmp_path}/ids")
     texts = {i: t or "" for i, t in rows}
@@ -367,7 +390,7 @@ def test_unigram_scan(tmp_path):
         text = "".join(r.choice(list("abc "), n))
         want = lib.encode(text)
         for chunk in (3, 7, 1000):
-            assert sentencepiece_codec.unigram_ids(c, text, chunk) == want
+            assert sentencepiece_codec.scanned(c, text, chunk) == want
     a, b, d = (r.integers(-9, 0, (4, 4)).astype(float) for _ in range(3))
     left, right = (sentencepiece_codec.combine(sentencepiece_codec.combine(a, b), d), sentencepiece_codec.combine(a, sentencepiece_codec.combine(b, d)))
     assert (left == right).all()
