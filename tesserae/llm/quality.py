@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,11 +185,13 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model |
 
 
 def _scored(model: Model | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = model.logits(b["t"].tolist()) if model else np.full((len(b), 2), -30.0)
+            texts = b.column("t").to_pylist()
+            z = model.logits(texts) if model else np.full((len(texts), 2), -30.0)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pd.DataFrame({"doc": b["doc"], "host": b["host"], "path": b["path"], "p_low": p[:, 0], "p_toxic": p[:, 1], "p": 1 - (1 - p[:, 0]) * (1 - p[:, 1])})
+            either = 1 - (1 - p[:, 0]) * (1 - p[:, 1])
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(x) for x in (p[:, 0], p[:, 1], either))], ["key", "p_low", "p_toxic", "p"])
 
     return run
 
@@ -200,9 +203,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     shape of the text and telling words, fitted on a bounded sample of labelled rows
     without near copies of the same labels.
     Priors: the expected share of unwanted documents per host and per path of a host, over all
-    documents; a host's share shrinks toward the global one, a path's toward its host's,
+    documents but the one that is scored; a host's share shrinks toward the global one, a path's toward its host's,
     by a strength that the spread between sites gives (method of moments), so sparse sites
-    follow their parents. The site's log-odds over the global ones shift the document's.
+    follow their parents and no document speaks for itself twice. The site's log-odds over the global ones shift the document's.
 
     Returns id, host, path, p_low, p_toxic, evidence (probability by text), prior (the
     path's), score and keep (score below ``threshold``). Null hosts and paths are
@@ -210,12 +213,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kept; repeated rows keep a row each; an empty table gives none.
     """
     session(docs)
-    text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"), F.col(host_col).alias("host"), F.col(path_col).alias("path"))
+    # ids, hosts and paths stand in a struct, as pandas would turn whole numbers among nulls into doubles
+    key = F.struct(F.col(id_col).alias("doc"), F.col(host_col).alias("host"), F.col(path_col).alias("path"))
+    text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"), key.alias("key"))
     known = labels.select(F.col(id_col).alias("doc"), F.when(F.col("quality").isNotNull(), (F.col("quality") == 0).cast("int")).alias("low"), F.coalesce(F.col("toxic"), F.lit(0)).cast("int").alias("toxic"))
     model = fitted(text, known, fit_rows)
-    kind = dict(docs.dtypes)
+    kind = dict(text.dtypes)["key"]
     scores = cut(
-        text.mapInPandas(_scored(model), f"doc {kind[id_col]}, host {kind[host_col]}, path {kind[path_col]}, p_low double, p_toxic double, p double"), "quality-scores")
+        text.select("t", "key").mapInArrow(_scored(model), f"key {kind}, p_low double, p_toxic double, p double").select("key.*", "p_low", "p_toxic", "p"), "quality-scores")
     paths = cut(scores.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "quality-paths")
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "quality-hosts")
     total = hosts.agg(F.sum("hn"), F.sum("hs")).first()
@@ -229,13 +234,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return min(max(p / between - 1, 1.0), 1e6) if between > 0 else 1e6
 
     k = strength(hosts, "hn", F.col("hs") / F.col("hn"), F.lit(overall))
-    hosts = hosts.withColumn("of_host", (F.col("hs") + k * overall) / (F.col("hn") + k))
-    sites = paths.join(hosts.select(F.col("host").alias("h"), "of_host"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    m = strength(sites, "n", F.col("s") / F.col("n"), F.col("of_host"))
-    sites = cut(sites.select(F.col("host").alias("h"), F.col("path").alias("q"), ((F.col("s") + m * F.col("of_host")) / (F.col("n") + m)).alias("prior")), "quality-sites")
+    sites = paths.join(hosts.select(F.col("host").alias("h"), "hn", "hs"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    m = strength(sites, "n", F.col("s") / F.col("n"), (F.col("hs") + k * overall) / (F.col("hn") + k))
+    sites = cut(sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "hn", "hs"), "quality-sites")
+    known = scores.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    of_host = (F.col("hs") - F.col("p") + k * overall) / (F.col("hn") - 1 + k)
+    out = known.withColumn("prior", (F.col("s") - F.col("p") + m * of_host) / (F.col("n") - 1 + m))
     odds = lambda c: F.log(c / (1 - c))
     clipped = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9))
     shifted = odds(clipped(F.col("p"))) + odds(clipped(F.col("prior"))) - float(np.log(overall / (1 - overall)))
-    out = scores.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
     score = 1 / (1 + F.exp(-shifted))
     return out.select(F.col("doc").alias(id_col), "host", "path", "p_low", "p_toxic", F.col("p").alias("evidence"), "prior", score.alias("score"), (score < threshold).alias("keep"))

@@ -50,6 +50,40 @@ def test_classifier(spark):
         assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6
 
 
+def test_posterior_is_that_of_plain_python(spark):
+    """Priors by plain sums over the evidence: moments for the strengths, each document's own evidence left out; null ids and large ids stay."""
+    rows, labels = made(400, seed=4)
+    big = (1 << 53) + 1
+    rows = [(big + 2 * i, t) for i, t in rows] + [(None, rows[0][1]), (None, None)]
+    known = spark.createDataFrame([(big + 2 * i, q, t) for i, q, t in labels], "doc_id bigint, quality int, toxic int")
+    docs = frame(spark, rows, 2).withColumn("source", F.when(F.col("doc_id") % 40 == 1, F.concat(F.lit("rare"), F.col("doc_id") % 7)).otherwise(F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("source"))))
+    docs = docs.withColumn("lang", F.when(F.col("n_chars") % 5 == 0, "xx").otherwise(F.col("lang")))
+    got = quality.classify(docs, known).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in rows), key=str)
+    clip = lambda x: min(max(x, 1e-9), 1 - 1e-9)
+    overall = sum(r.evidence for r in got) / len(got)
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r in got:
+        hosts[r.host].append(r.evidence)
+        paths[r.host, r.path].append(r.evidence)
+
+    def strength(sites, center):
+        p = overall * (1 - overall)
+        between = (sum(len(v) * (sum(v) / len(v) - center(s)) ** 2 for s, v in sites.items()) - p * len(sites)) / sum(map(len, sites.values()))
+        return min(max(p / between - 1, 1.0), 1e6) if between > 0 else 1e6
+
+    k = strength(hosts, lambda s: overall)
+    m = strength(paths, lambda s: (sum(hosts[s[0]]) + k * overall) / (len(hosts[s[0]]) + k))
+    for r in got:
+        h, q = hosts[r.host], paths[r.host, r.path]
+        of_host = (sum(h) - r.evidence + k * overall) / (len(h) - 1 + k)
+        prior = (sum(q) - r.evidence + m * of_host) / (len(q) - 1 + m)
+        assert abs(r.prior - prior) < 1e-9
+        odds = [math.log(clip(x) / (1 - clip(x))) for x in (r.evidence, prior, overall)]
+        assert abs(r.score - 1 / (1 + math.exp(-(odds[0] + odds[1] - odds[2])))) < 1e-6
+        assert r.keep == (r.score < 0.5)
+
+
 def test_site_posterior_moves_uncertain_documents(spark):
     """A host of unwanted documents has a higher prior than one of clean ones."""
     rows, labels = made(900)
