@@ -341,6 +341,126 @@ def repeats(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, length: i
     return own_doc[where], own_start[where], own_start[where] + size
 
 
+def interval_tree(common: list[int], length: int) -> tuple[list[list[int]], list[int]]:
+    """The intervals of suffixes that share at least ``length`` bytes: [prefix, first, last, parent], and the deepest one of each suffix (-1: none).
+
+    A stack scan over the common prefixes of neighbours; an interval is closed where a shorter prefix follows, and
+    its parent is what is then open.
+    """
+    nodes: list[list[int]] = []
+    deepest = [-1] * len(common)
+    stack: list[int] = []
+    for i in range(1, len(common) + 1):
+        now, first, last = (common[i] if i < len(common) else 0), i - 1, -1
+        while stack and nodes[stack[-1]][0] > now:
+            last = stack.pop()
+            nodes[last][2] = i - 1
+            first = nodes[last][1]
+            if stack and nodes[stack[-1]][0] >= now:
+                nodes[last][3], last = stack[-1], -1
+        if now >= length and (not stack or nodes[stack[-1]][0] < now):
+            nodes.append([now, first, -1, -1])
+            stack.append(len(nodes) - 1)
+        if last >= 0 and stack:
+            nodes[last][3] = stack[-1]
+        if i < len(common) and stack:
+            deepest[i] = stack[-1]
+            if deepest[i - 1] < 0 or nodes[deepest[i - 1]][0] < now:
+                deepest[i - 1] = stack[-1]
+    return nodes, deepest
+
+
+def maximal_repeats(pieces: list[bytes], copies: list[int], length: int) -> list[tuple[int, int, int, int, int]]:
+    """Maximal repeats of ``length`` bytes or more among distinct pieces: (group, parent, size, piece, offset).
+
+    A walk over the interval tree of an enhanced suffix array keeps the intervals whose occurrences can't all be extended
+    to the left. Each occurrence stands once, in its deepest group; a group's occurrences are its own and those of the groups
+    below it. A piece that has several copies itself is a group of its whole length.
+    """
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    first = np.cumsum(sizes) - sizes
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    ends = (first + sizes)[piece]
+    at = np.arange(len(text))
+    sa, common = enhanced_suffix_array(text, ends, at[at + length <= ends], int(sizes.max()))
+    nodes, deepest = interval_tree(common.tolist(), length)
+    left = np.where(sa == first[piece[sa]], -1 - piece[sa], text[np.maximum(sa - 1, 0)].astype(np.int64))
+    changes = np.cumsum(np.concatenate(([0], left[1:] != left[:-1])))
+    diverse = [changes[j] > changes[i] for _, i, j, _ in nodes]
+
+    def kept(k: int) -> int:
+        while k >= 0 and not diverse[k]:
+            k = nodes[k][3]
+        return k
+
+    out, whole = [], len(nodes)
+    for x, k in enumerate(deepest):
+        own, offset = int(piece[sa[x]]), int(sa[x] - first[piece[sa[x]]])
+        k = kept(k)
+        if offset == 0 and copies[own] > 1 and (k < 0 or nodes[k][0] < sizes[own]):
+            out.append((whole + own, k, int(sizes[own]), own, 0))
+        elif k >= 0:
+            out.append((k, kept(nodes[k][3]), nodes[k][0], own, offset))
+    used = {r[0] for r in out}
+    for k in {r[1] for r in out} - used:  # groups that have occurrences below them only
+        while k >= 0 and k not in used:
+            used.add(k)
+            i = int(sa[nodes[k][1]])
+            up = kept(nodes[k][3])
+            out.append((k, up, nodes[k][0], -1, i))
+            k = up
+    return out
+
+
+def _places(length: int):
+    """All runs of windows of one fingerprint; the bytes of each content go with its first place in a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: set[int] = set()
+            for doc, text in zip(b["doc"].tolist(), b["t"].tolist(), strict=True):
+                raw = text.encode()
+                data = np.frombuffer(raw, np.uint8)
+                for s in range(0, len(data) - length + 1, TEXT_BYTES):
+                    h, content, at, n, more = runs(data[s : s + TEXT_BYTES + length - 1], length)
+                    fresh = [c not in seen and not seen.add(c) for c in content.tolist()]
+                    yield pd.DataFrame({
+                        "key": h.view(np.int64), "content": content.view(np.int64), "doc": doc, "start": at + s, "more": more > 0,
+                        "piece": [raw[s + a : s + a + k + length - 1] if f else None for a, k, f in zip(at.tolist(), n.tolist(), fresh, strict=True)]})
+
+    return run
+
+
+def repeat_groups(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeat groups with all their occurrences: key, group, parent, size, id, start.
+
+    The strings of a group are equal over ``size`` bytes and can't all be extended to the left. Within a fingerprint
+    groups are nodes of an interval tree: an occurrence stands in its deepest group, and belongs to the ones above it
+    (``parent``, -1 at the top) too, so the table grows with the text and not with its repeats' squares. A passage that spans
+    several fingerprints has a group under each. Copies of a run are joined back after the arrays, which see each
+    content once. A group that has occurrences below it only has a row with null id and start. Null texts and
+    texts shorter than ``length`` have no groups; rows of one id are documents of their own.
+    """
+    session(docs)
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.octet_length("t") >= length)
+    rows = cut(text.withColumn("doc", F.monotonically_increasing_id()), "repeat-docs")
+    places = cut(rows.select("doc", "t").mapInPandas(_places(length), "key bigint, content bigint, doc bigint, start bigint, more boolean, piece binary"), "repeat-places")
+    contents = places.groupBy("key", "content").agg(F.max("piece").alias("piece"), F.count("*").alias("copies"), F.bool_or("more").alias("more"))
+    some = contents.groupBy("key").agg(F.sum("copies").alias("n"), F.bool_or("more").alias("any")).where("n > 1 or any").select("key")  # also what recurs within a run
+
+    def found(p: pd.DataFrame) -> pd.DataFrame:
+        got = maximal_repeats(p["piece"].tolist(), p["copies"].tolist(), length)
+        content = p["content"].to_numpy()
+        out = pd.DataFrame(got, columns=["group", "parent", "size", "own", "offset"]).astype("int64")
+        return out.drop(columns="own").assign(key=p["key"].iloc[0], content=np.where(out["own"] >= 0, content[np.maximum(out["own"], 0)], 0), real=out["own"] >= 0)
+
+    groups = cut(contents.join(some, "key").groupBy("key").applyInPandas(found, "key bigint, group bigint, parent bigint, size bigint, content bigint, offset bigint, real boolean"), "repeat-groups")
+    every = groups.where("real").join(places.select("key", "content", "doc", "start"), ["key", "content"]).join(rows.select("doc", "id"), "doc")
+    upper = groups.where("not real").select("key", "group", "parent", "size", F.lit(None).cast(dict(rows.dtypes)["id"]).alias("id"), F.lit(None).cast("long").alias("start"))
+    return every.select("key", "group", "parent", "size", "id", (F.col("start") + F.col("offset")).alias("start")).unionByName(upper).withColumnRenamed("id", id_col)
+
+
 def united(spans: pd.DataFrame) -> pd.DataFrame:
     """Spans of each document united where they touch or overlap."""
     if spans.empty:

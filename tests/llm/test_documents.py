@@ -86,6 +86,49 @@ def test_ngram_join_common_token(spark):
     assert sorted(r.n_shingles for r in got if r.doc_id is None) == sorted([2, len(shingles(rows[0][1], 4))])
 
 
+def test_maximal_repeats_are_those_of_brute_force():
+    """Each group's strings are equal, no longer in common, and not all extensible to the left; all repeats are there."""
+    r = random.Random(3)
+    for _ in range(60):
+        pieces = list(dict.fromkeys("".join(r.choice("ab") for _ in range(r.randint(4, 14))).encode() for _ in range(r.randint(1, 6))))
+        got = suffix_dedup.maximal_repeats(pieces, [1] * len(pieces), 4)
+        info = {g: (up, size) for g, up, size, *_ in got}
+        members: dict = defaultdict(set)
+        for g, _, _, own, offset in got:
+            while g >= 0 and own >= 0:
+                members[g].add((own, offset))
+                g = info[g][0]
+        places = [(i, a) for i, p in enumerate(pieces) for a in range(len(p) - 3)]
+        want = set()
+        for i, a in places:
+            for size in range(4, len(pieces[i]) - a + 1):
+                same = frozenset((j, b) for j, b in places if pieces[j][b : b + size] == pieces[i][a : a + size])
+                left = {pieces[j][b - 1] if b else -1 - j for j, b in same}
+                right = {pieces[j][b + size] if b + size < len(pieces[j]) else -1 - j for j, b in same}
+                if len(same) > 1 and len(left) > 1 and len(right) > 1:
+                    want.add((size, same))
+        assert {(info[g][1], frozenset(m)) for g, m in members.items()} == want
+
+
+def test_repeat_groups(spark, docs, rows):
+    """Strings of a group are equal; each repeated window of a text lies in a group at every place that has it."""
+    got = suffix_dedup.repeat_groups(docs, 100).collect()
+    text = {i: (t or "").encode() for i, t in rows}
+    strings, covered = defaultdict(set), defaultdict(set)
+    for r in got:
+        if r.doc_id is not None:
+            part = text[r.doc_id][r.start : r.start + r["size"]]
+            assert len(part) == r["size"] >= 100
+            strings[r.key, r.group].add(part)
+            covered[r.doc_id].update(range(r.start, r.start + r["size"] - 99))
+    assert all(len(s) == 1 for s in strings.values())
+    seen = defaultdict(list)
+    for i, t in text.items():
+        for a in range(len(t) - 99):
+            seen[t[a : a + 100]].append((i, a))
+    assert all(a in covered[i] for places in seen.values() if len(places) > 1 for i, a in places)
+
+
 def test_long_regular_runs_differ():
     """Two texts of 300 bytes whose sums of bytes nearly agree for any odd factor."""
     text = "a"
