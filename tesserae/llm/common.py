@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that goes to Python; long texts make larger batches risky.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch that goes to Python; long texts make larger batches risky.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -17,6 +17,7 @@ def session(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .tokens import vocabulary
 
 #: Characters of a chunk, and chunks whose matrices are multiplied by one task.
 CHUNK, BLOCK = 50_000, 64
+#: Characters of text whose ids a task holds as Python numbers.
+SLICE = 1 << 20
 SPACE = "▁"
 UNIGRAM, BPE, NORMAL, BYTE = 1, 2, 1, 6
 #: Scores are whole numbers, -SCALE * ln(rank + 2) rounded, so that sums of 32-bit floats are exact.
@@ -195,12 +198,13 @@ def scanned(c: Codec, text: str, chunk: int = CHUNK) -> list[int]:
     for entry, head, tails in reversed(got):
         out.append([*head, *tails[state]])
         state = entry[state]
-    return _merged(c, [x for ids in reversed(out) for x in ids])
+    return _merged(c, np.array([x for ids in reversed(out) for x in ids], "<u4")).tolist()
 
 
-def _merged(c: Codec, ids: list[int]) -> list[int]:
-    unk = c.sp.unk_id()
-    return ids if c.bytes else [x for i, x in enumerate(ids) if x != unk or not i or ids[i - 1] != x]
+def _merged(c: Codec, ids: np.ndarray) -> np.ndarray:
+    again = np.zeros(len(ids), bool)
+    again[1:] = (ids[1:] == c.sp.unk_id()) & (ids[:-1] == c.sp.unk_id())
+    return ids if c.bytes else ids[~again]
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -284,25 +288,32 @@ def _walked(path: str):
         for entry, head, tails in rows.sort_values("k", ascending=False)[["entry", "head", "tails"]].itertuples(index=False):
             out.append(head + tails[state])
             state = int(entry[state])
-        ids = _merged(codec(path), np.frombuffer(b"".join(reversed(out)), "<u4").tolist())
-        return pd.DataFrame({"uid": rows["uid"].iloc[:1], "ids": [ids], "n_chunks": [len(rows)]})
+        ids = np.frombuffer(b"".join(reversed(out)), "<u4")
+        return pd.DataFrame({"uid": rows["uid"].iloc[:1], "ids": [_merged(codec(path), ids).view("<i4")], "n_chunks": [len(rows)]})
 
     return run
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded text: ids as Python numbers are many times as large as their text."""
+    sizes = np.cumsum(pc.utf8_length(b.column("t")).to_numpy(zero_copy_only=False)) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), b.num_rows]
+    return (b.slice(i, j - i) for i, j in zip(edges, edges[1:], strict=False) if j > i)
+
+
 def _described(path: str, as_unigram: bool, names: list[str]):
     """Ids of the texts that have none yet, by the library, and the texts that the ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, as_unigram)
-        for b in batches:
-            texts, known = b.column("t").to_pylist(), b.column("ids").to_pylist()
-            fresh = iter(c.sp.encode([t for t, i in zip(texts, known, strict=True) if i is None], num_threads=1))
-            ids = [next(fresh) if i is None else i for i in known]
+        for b in (x for whole in batches for x in _slices(whole)):
+            texts, known = b.column("t").to_pylist(), b.column("ids")
+            fresh = iter(c.sp.encode([t for t, i in zip(texts, known.is_null().to_pylist(), strict=True) if i], num_threads=1))
+            ids = [x.values.to_pylist() if x.is_valid else next(fresh) for x in known]
             sizes = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate([np.array(i, "<u4") for i in ids]) if ids else np.zeros(0, "<u4")
+            flat = np.concatenate([np.array(i, "<u4") for i in ids])
             crc = [zlib.crc32(flat[x:y]) for x, y in zip(sizes, sizes[1:], strict=False)]
-            decoded = c.sp.decode(ids) if ids else []
+            decoded = c.sp.decode(ids)
             yield pa.RecordBatch.from_arrays([
                 b.column("doc"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(np.diff(sizes), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view("<i4"))), pa.array(crc, pa.int64()), b.column("n_chunks"),
