@@ -19,7 +19,7 @@ COUNTERS = 1 << 20
 #: A token is frequent if its counter exceeds the mean by this and so many times the mean's square root.
 FREQUENT, TIMES_ROOT = 32, 4
 #: Tokens of a combination.
-COMBINE = 3
+COMBINE = 2
 #: Members of a posting list that are compared in all pairs; others first with one of them.
 ALL_PAIRS = 8
 #: Bits of a set's parity bitmap at least; a bitmap has two to four bits for each token.
@@ -86,7 +86,7 @@ def signatures(s: np.ndarray, counts: np.ndarray, high: float, num: int, den: in
     tokens are frequent, and the extended prefix of the frequent ones is indexed by runs of
     k in that order: at most d = n (1 - t) / t tokens are in one of the two sets alone, and
     as many borders part the first (k - 1)(d + 1) + 1 shared tokens, so k of these stand side by
-    side in both sets. A set has a number of runs in proportion to its size. Where a set of a
+    side in both sets, before what else the set has alone. A set has a number of runs in proportion to its size. Where a set of a
     size within reach has too few tokens for that, as those of one token have, single
     frequent tokens are indexed too.
     """
@@ -102,8 +102,9 @@ def signatures(s: np.ndarray, counts: np.ndarray, high: float, num: int, den: in
     if singly:
         out.append(_mixed(often[: len(often) - need + 1]))
     if in_runs:
-        alone = n * (den - num) // num - n_rare
-        head = often[: (COMBINE - 1) * (alone + 1) + 1 + n - need - n_rare]
+        # u tokens of this set alone leave (n - u) / t - n at most to the other one alone
+        ends = [(COMBINE - 1) * (u + (n - u) * den // num - n - n_rare + 1) + 1 + u - n_rare for u in (n_rare, n - need)]
+        head = often[: max(ends)]
         runs = len(head) - COMBINE + 1
         if runs > 0:
             out.append(_mixed(sum((head[j : j + runs] * _ODDS[j] for j in range(COMBINE)), np.uint64(1))))
@@ -221,7 +222,8 @@ def _filtered(num: int, den: int):
 def _pairs_across(rows: pd.DataFrame, num: int, den: int, nearest: bool) -> list[np.ndarray]:
     """Pairs of a posting list's two blocks that lie in different components and may be similar.
 
-    With ``nearest`` only each row's most similar one by bitmap. Role 2 stands on both sides.
+    With ``nearest`` only each left row's most similar one by bitmap. Role 2 stands on both sides. Two strays meet
+    from both sides, so one of the ways counts.
     """
     out = []
     rows = rows.assign(size=rows["bits"].map(len))
@@ -230,7 +232,7 @@ def _pairs_across(rows: pd.DataFrame, num: int, den: int, nearest: bool) -> list
             if max(la, lb) > 2 * min(la, lb):
                 continue  # sizes too far apart
             x, y = _folded(left["bits"].tolist(), min(la, lb)), _folded(right["bits"].tolist(), min(la, lb))
-            n, doc, root = (right[c].to_numpy()[None, :] for c in ("n", "doc", "root"))
+            n, doc, root, stray = (right[c].to_numpy()[None, :] for c in ("n", "doc", "root", "stray"))
             step = max(1, WORDS // y.size)
             for at in range(0, len(x), step):
                 m, d, r = (left[c].to_numpy()[at : at + step, None] for c in ("n", "doc", "root"))
@@ -241,7 +243,7 @@ def _pairs_across(rows: pd.DataFrame, num: int, den: int, nearest: bool) -> list
                     i = np.flatnonzero(good[np.arange(len(best)), best])
                     j = best[i]
                 else:
-                    i, j = np.nonzero(good & (doc > d))
+                    i, j = np.nonzero(good & (~stray | (doc > d)))
                 out.append(np.stack([np.minimum(d[i, 0], doc[0, j]), np.maximum(d[i, 0], doc[0, j])], 1))
     return out
 
@@ -355,18 +357,25 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     for nearest in (True, False):
         # first each document with its nearest one elsewhere, which joins most that can be joined; then all that is left
         placed = members.join(roots, "rep", "left").select("sig", "rep", F.coalesce("root", "rep").alias("root"))
+        parts = placed.groupBy("sig", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"))
         open_lists = (
-            placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"))
-            .where("low <> high").groupBy("who", "size").agg(F.min("sig").alias("sig")))
-        blocks = cut(open_lists.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "shingle-open")
+            parts.groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("size"), F.sum("who").alias("who"), F.count("*").alias("roots"))
+            .where("roots > 1").groupBy("who", "size").agg(F.min(F.struct("sig", "main", "n")).alias("l")).select("l.*", "size"))
+        in_blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+        blocks = cut(open_lists.select("sig", "main", in_blocks(F.col("size") - F.col("n")).alias("lefts"), in_blocks(F.col("size")).alias("rights")), "shingle-open")
         if blocks.isEmpty():
             break
-        dealt = cut(placed.join(blocks, "sig").distinct(), "shingle-dealt").join(facts_of, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        sides = F.when(F.col("blocks") == 1, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
-        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("*", F.explode(sides).alias("role"))
-        place = lambda mine: F.when(F.col("role") == mine, F.col("own")).otherwise(F.col("other"))
+        dealt = cut(placed.join(blocks, "sig").distinct(), "shingle-dealt").join(facts_of, "rep")
+        own = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+        dealt = dealt.withColumns({"stray": F.col("root") != F.col("main"), "l": own("lefts"), "r": own("rights")})
+        # members of a list's largest component stand on the right only, as they need no pairs among themselves
+        at = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+        every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        left = F.transform(every("rights"), lambda j: at(F.col("l"), j, F.when(j == F.col("r"), 2).otherwise(0)))
+        right = F.transform(every("lefts"), lambda i: at(i, F.col("r"), F.lit(1)))
+        places = F.when(F.col("stray"), F.concat(left, F.filter(right, lambda x: x["i"] != F.col("l")))).otherwise(right)
         more = (
-            dealt.select("sig", place(0).alias("i"), place(1).alias("j"), "role", F.col("rep").alias("doc"), "n", "bits", "root")
+            dealt.select("sig", F.explode(places).alias("p"), F.col("rep").alias("doc"), "n", "bits", "root", "stray").select("sig", "p.*", "doc", "n", "bits", "root", "stray")
             .repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInPandas(_across(num, den, nearest), "a bigint, b bigint").distinct())
         late = verified(cut(more, "shingle-across"), "shingle-late")
         if not late.isEmpty():
