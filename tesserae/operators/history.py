@@ -133,9 +133,28 @@ def low_signal(summary: Column) -> Column:
     return F.exists(clauses, lambda c: reduce(or_, said(c)))
 
 
+def changed_files(files: DataFrame) -> DataFrame:
+    """Changed files with clean paths and their eight classes; those without a path go."""
+    kept = files.where(F.coalesce("path", F.lit("")) != "").withColumn("path", P.clean(F.col("path")))
+    return kept.withColumns(P.release_classes(F.col("path")))
+
+
+def appended(values: Column, more: Column) -> Column:
+    """A list and what it lacks of another one, in order."""
+    return F.array_union(values, more)
+
+
+def release_preparation(commits: DataFrame, files: DataFrame, tags: DataFrame, edges: DataFrame, head: DataFrame) -> dict[str, DataFrame]:
+    """What release notes are written from (M22): the last version's tag, commits since, sections, candidates and file counts."""
+    tag = last_version_tag(tags, edges, head)
+    since = log(commits, edges, head, tag.select(F.col("sha").alias("node")), limit=10_000).withColumn("summary", T.subject(F.col("message")))
+    own = files.join(since.select("sha"), "sha", "left_semi")
+    return {"tag": tag, "commits": with_files(projected(since), own), "sections": recommended_sections(since), "candidates": candidates(since, own)}
+
+
 def candidates(commits: DataFrame, files: DataFrame) -> DataFrame:
     """Release-note candidates: section, fact and confidence of the commits that belong in the narrative."""
-    classed = files.withColumns(P.release_classes(F.col("path")))
+    classed = changed_files(files)
     signals = changes.operator_signals(classed, "sha")
     why = F.when(F.col("generated_only").isNull(), F.when(F.lower("summary").rlike("^chore[(:]"), "chore without changed-file evidence")).otherwise(changes.narrative_policy(F.col("summary")))
     told = commits.join(signals, "sha", "left").where(why.isNull())

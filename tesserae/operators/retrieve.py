@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,11 @@ def chunks(docs: DataFrame, size: int = 80, step: int = 60) -> DataFrame:
     return by_symbol.unionByName(lines.select(*by_symbol.columns))
 
 
+def on_disk(rows: DataFrame) -> DataFrame:
+    """Chunk bodies kept on executors' disks until they are released (A58); a lost one is computed again."""
+    return rows.persist(StorageLevel.DISK_ONLY)
+
+
 def numbered(chunks: DataFrame, *order: str) -> DataFrame:
     """Chunk ids c000001, ... in order, by counts of range partitions rather than one sort task."""
     spread = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())

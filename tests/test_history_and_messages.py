@@ -90,3 +90,16 @@ def test_payloads(spark):
     assert spark.sql("select 'fix x' s, 'old (T12)' r").select(messages.preserved_suffix(F.col("s"), F.col("r"))).first()[0] == "fix x (T12)"
     leaves = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "a"), (2, 1, "b"), (2, 2, "x")], "leaf int, ord int, item string")
     assert [r.item for r in messages.common_prefix(leaves).collect()] == ["a", "b"]
+
+
+def test_release_preparation(spark):
+    """Commits after the last version's tag, with their files, sections and candidates."""
+    commits = spark.createDataFrame([("c3", "feat: adds x\n\nlonger text here", "a", "2024-01-03"), ("c2", "fix: mends y", "a", "2024-01-02"), ("c1", "first", "a", "2024-01-01")], "sha string, message string, author string, d string").withColumn("author_time", F.col("d").cast("timestamp"))
+    edges = spark.createDataFrame([("c3", "c2"), ("c2", "c1"), ("c1", None)], "sha string, parent string")
+    files = spark.createDataFrame([("c3", "cmd/x.go", 5, 1, False), ("c3", "", 1, 1, False), ("c2", "a_test.go", 2, 2, False), ("c1", "z.go", 9, 9, False)], "sha string, path string, additions int, deletions int, submodule boolean")
+    got = history.release_preparation(commits, files, spark.createDataFrame([("v1.0.0", "c1"), ("x", "c3")], "name string, sha string"), edges, spark.createDataFrame([("c3",)], "node string"))
+    assert got["tag"].first().name == "v1.0.0"
+    assert sorted((r.sha, r.files_changed) for r in got["commits"].collect()) == [("c2", 1), ("c3", 2)]
+    assert got["sections"].first().sections == ["### Bug Fixes", "### New Features", "### Full Changelog"]
+    assert [(r.sha, r.section) for r in got["candidates"].collect()] == [("c3", "New Features")]
+    assert spark.range(1).select(history.appended(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c")))).first()[0] == ["a", "b", "c"]
