@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, vector_dedup
+from . import line_dedup, ngram_join, packing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, vector_dedup, whitening
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -53,10 +53,15 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf, "documents"), limit=2048)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf, "embeddings"), components=8, scale=1024)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_packing, op4_exact_topk, op5_sentencepiece,
-        op6_suffix_dedup, op7_quality_classifier, op8_line_dedup, op9_token_counts, op10_vector_dedup)}
+        op6_suffix_dedup, op7_quality_classifier, op8_line_dedup, op9_token_counts, op10_vector_dedup,
+        op13_embedding_whitening)}
 
 
 #: The exact top 10 by a plain scan of the quantised vectors.
