@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, vector_dedup, whitening
+from . import line_dedup, ngram_join, packing, prefix_trie, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, vector_dedup, whitening
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf, "documents"), limit=2048)
 
 
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf, "conversations"), heads="crc32(cast(conv as string)) % 4", base="conv - conv % 20")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf, "embeddings"), components=8, scale=1024)
 
@@ -61,7 +65,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_packing, op4_exact_topk, op5_sentencepiece,
         op6_suffix_dedup, op7_quality_classifier, op8_line_dedup, op9_token_counts, op10_vector_dedup,
-        op13_embedding_whitening)}
+        op12_conversation_trie, op13_embedding_whitening)}
 
 
 #: The exact top 10 by a plain scan of the quantised vectors.
@@ -107,7 +111,39 @@ SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.kept, '') EN
 FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN lost x USING (doc_id)
 """
 
+#: Prefixes as lists of turns; the checksum bit by bit; each node's sums from all nodes that it is a prefix of.
+OP12_SQL = """
+WITH own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(concat(strlen(coalesce(role, '')), ':', role, text))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), head AS (
+  SELECT *, list_reduce(
+    list_concat([4294967295::UBIGINT], flatten([list_concat([ascii(x)::UBIGINT], [999::UBIGINT FOR i IN range(8)]) FOR x IN string_split(c::VARCHAR, '')])),
+    lambda a, b: CASE WHEN b < 999 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::UBIGINT * (a & 1::UBIGINT)) END) AS crc
+  FROM own
+), conv AS (
+  SELECT a.c, list_concat(coalesce(b.turns, [])[1:CAST(xor(a.crc, 4294967295::UBIGINT) % 4 AS INT)], a.turns[CAST(xor(a.crc, 4294967295::UBIGINT) % 4 AS INT) + 1:]) AS turns
+  FROM head a LEFT JOIN own b ON b.c = a.c - a.c % 20
+), prefix AS (
+  SELECT c, d, turns[1:d] AS p, len(turns) = d AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM conv)
+), node AS (
+  SELECT p, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS digest,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].t, '[^\\x20\\x09-\\x0D]+')) END AS words
+  FROM prefix GROUP BY p, d
+), child AS (
+  SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2
+), full_node AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (p, d)
+), below AS (
+  SELECT p[1:k] AS p, k AS d, sum((n_children = 0)::INT) AS n_leaves, sum((n - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM full_node) GROUP BY 1, 2
+)
+SELECT x.c AS conv_id, x.d AS depth, up.c AS parent_conv_id, x.n AS n_convs, CAST(x.n_children AS BIGINT) AS n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, x.digest AS ends_sha256
+FROM full_node x JOIN below b USING (p, d) LEFT JOIN node up ON up.d = x.d - 1 AND up.p = x.p[1:x.d - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are held against brute force in the tests."""
-    return {"op4_exact_topk": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op4_exact_topk": OP4_SQL, "op8_line_dedup": OP8_SQL, "op12_conversation_trie": OP12_SQL}
