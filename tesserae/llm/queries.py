@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, prefix_trie, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, vector_dedup, whitening
+from . import line_dedup, ngram_join, packing, prefix_trie, quality, secret_scan, sentencepiece_codec, sharding, suffix_dedup, token_counts, topk, vector_dedup, whitening
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf, "documents"), limit=2048)
 
 
+def op11_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.prefix_trie(_read(spark, sf, "conversations"), heads="crc32(cast(conv as string)) % 4", base="conv - conv % 20")
 
@@ -65,7 +69,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_packing, op4_exact_topk, op5_sentencepiece,
         op6_suffix_dedup, op7_quality_classifier, op8_line_dedup, op9_token_counts, op10_vector_dedup,
-        op12_conversation_trie, op13_embedding_whitening)}
+        op11_secret_scan, op12_conversation_trie, op13_embedding_whitening)}
 
 
 #: The exact top 10 by a plain scan of the quantised vectors.
