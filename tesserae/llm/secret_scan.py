@@ -19,7 +19,9 @@ from .common import cut, session
 PATTERNS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 6, 2),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 20, 0),
-    ("hex", re.compile(r"[0-9a-f]+"), 24, 0))
+    ("hex", re.compile(r"[0-9a-f]{24,}"), 24, 0))
+#: No assignment is in a text without one of these, whatever its case.
+HINTS = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = (*(p[0] for p in PATTERNS), "random")
 #: Runs of characters of encodings that are tested, from this length on, with their padding.
 SHORTEST = 16
@@ -33,7 +35,7 @@ ENCODINGS = (
     ("base64url", UPPER + LOWER + DIGITS + "-_"), ("mixed", UPPER + LOWER + DIGITS + "+/-_"))
 #: All symbols; pairs of neighbours are counted over these.
 SYMBOLS = UPPER + LOWER + DIGITS + "+/-_"
-_OF = np.full(256, -1, np.int64)
+_OF = np.full(256, len(SYMBOLS), np.uint16)
 _OF[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(len(SYMBOLS))
 
 #: Share of false discoveries; a string that randomness would give less often than RANDOM isn't random.
@@ -47,7 +49,9 @@ JUDGED = "id string, kind array<int>, starts array<int>, ends array<int>, stratu
 
 def plain_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the plain patterns, the leftmost of each kind that don't overlap; too short ones are dropped."""
-    return [(k, *m.span()) for k, (_, pattern, least, group) in enumerate(PATTERNS) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+    low = text.lower()
+    skip = {0} if not any(h in low for h in HINTS) else set()
+    return [(k, *m.span()) for k, (_, pattern, least, group) in enumerate(PATTERNS) if k not in skip for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
 
 
 def inferred(token: str) -> int:
@@ -140,9 +144,19 @@ def stratum(encoding: int, n: int) -> int:
     return encoding * 100 + min(99, int(2 * math.log2(n)))
 
 
+def neighbours(texts: list[str]) -> np.ndarray:
+    """Counts of neighbouring symbols, first by second."""
+    wide, text = len(SYMBOLS) + 1, np.frombuffer("\n".join(texts).encode(), np.uint8)
+    counts = np.zeros(wide * wide, np.int64)
+    for i in range(0, len(text), 1 << 18):
+        of = _OF[text[i : i + (1 << 18) + 1]]
+        counts += np.bincount(of[:-1] * np.uint16(wide) + of[1:], minlength=wide * wide)
+    return counts.reshape(wide, wide)[:-1, :-1].ravel()
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in FOUND.split(", ")]
-    size, seen = len(SYMBOLS), None
+    seen = None
     for b in batches:
         rows = []
         for i, t in zip(b["id"].tolist(), b["t"].tolist(), strict=True):
@@ -153,9 +167,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tested.append((len(KINDS) - 1, *m.span(), encoding, *statistics(token, encoding)))
             tested += [(*s, -1, 0, 0.0, 0, 0.0) for s in spans]
             rows.append((i, None, *([list(c) for c in zip(*tested, strict=True)] or [[] for _ in names[2:]])))
-        of = _OF[np.frombuffer("\n".join(b["t"].tolist()).encode(), np.uint8)]
-        at = np.flatnonzero((of[1:] >= 0) & (of[:-1] >= 0))
-        counts = np.bincount(of[at] * size + of[at + 1], minlength=size * size)
+        counts = neighbours(b["t"].tolist())
         seen = counts if seen is None else seen + counts
         yield pd.DataFrame(rows, columns=names)
     if seen is not None:

@@ -162,6 +162,16 @@ def test_chances_are_even():
     assert np.mean([lp for lp, _ in random_]) < -6
 
 
+def test_neighbours():
+    text = "Ab-9é aA+" * 50_000
+    want = {}
+    for a, b in zip(text, text[1:], strict=False):
+        if a in S.SYMBOLS and b in S.SYMBOLS:
+            want[S.SYMBOLS.index(a) * 66 + S.SYMBOLS.index(b)] = want.get(S.SYMBOLS.index(a) * 66 + S.SYMBOLS.index(b), 0) + 1
+    got = S.neighbours([text])
+    assert {i: int(x) for i, x in enumerate(got) if x} == want
+
+
 def test_inferred():
     names = [e for e, _ in S.ENCODINGS]
     for token, name in [("0123", "decimal"), ("12ab", "hex"), ("12AB", "hex-upper"), ("xyz", "lower"), ("XYZ", "upper"), ("XY2", "base32"), ("xy9", "base36"), ("XY9", "base36-upper"), ("xY9", "base62"), ("x/Y", "base64"), ("x-Y", "base64url"), ("x-/", "mixed")]:
