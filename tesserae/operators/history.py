@@ -31,12 +31,24 @@ LOW_SIGNAL_PARTS = (
 )
 
 
-def log(commits: DataFrame, edges: DataFrame, release: DataFrame, base: DataFrame | None = None, limit: int = 100) -> DataFrame:
-    """Commits that the release reaches and the base doesn't, nearest first."""
-    seen = graph.reachable(edges, release)
+def log(commits: DataFrame, edges: DataFrame, release: DataFrame, base: DataFrame | None = None, limit: int | None = 100) -> DataFrame:
+    """Commits that the release reaches and the base doesn't, in pre-order (A25, L11, L14): parents in order, the first ones to their end.
+
+    ``edges``: sha, parent and, where a commit's parents have an order, ordinal. Without a limit all come, in no order.
+    """
+    chains = graph.Chains(edges, ordinal="ordinal" if "ordinal" in edges.columns else None)
+    fence = chains.reached(base) if base is not None else None
+    if limit is None:
+        inside = chains.above(chains.reached(release, fence), fence).unionByName(release.select("node").distinct().join(chains.nodes, "node", "left_anti"))
+        if base is not None:
+            inside = inside.join(base, "node", "left_anti")
+        return commits.join(inside.withColumnRenamed("node", "sha").distinct(), "sha")
+    known = commits.select(F.col("sha").alias("node"))
     if base is not None:
-        seen = seen.join(graph.reachable(edges, base), "node", "left_anti")
-    return commits.join(seen.withColumnRenamed("node", "sha"), "sha").orderBy("distance", F.desc("author_time"), "sha").limit(limit)
+        known = known.join(base, "node", "left_anti")
+    first = chains.preorder(release, known, limit, fence)
+    places = commits.sparkSession.createDataFrame(list(zip(first, range(len(first)), strict=True)), f"sha {commits.schema['sha'].dataType.simpleString()}, place int")
+    return commits.join(F.broadcast(places), "sha").orderBy("place")  # as many rows as the limit
 
 
 def projected(commits: DataFrame) -> DataFrame:
@@ -62,9 +74,11 @@ def version_tags(tags: DataFrame) -> DataFrame:
 
 
 def last_version_tag(tags: DataFrame, edges: DataFrame, head: DataFrame) -> DataFrame:
-    """The best version tag of the nearest tagged commit."""
-    near = version_tags(tags).join(graph.reachable(edges, head).withColumnRenamed("node", "sha"), "sha")
-    return near.orderBy("distance", F.desc("v"), "name").limit(1).select("name", "sha")
+    """The best version tag of the first tagged commit in pre-order."""
+    chains = graph.Chains(edges, ordinal="ordinal" if "ordinal" in edges.columns else None)
+    tagged = version_tags(tags)
+    first = chains.preorder(head, tagged.select(F.col("sha").alias("node")), 1)
+    return tagged.where(F.col("sha").isin(first)).orderBy(F.desc("v"), "name").limit(1).select("name", "sha")
 
 
 def module_urls(files: DataFrame, text: str = "text") -> DataFrame:
@@ -147,7 +161,7 @@ def appended(values: Column, more: Column) -> Column:
 def release_preparation(commits: DataFrame, files: DataFrame, tags: DataFrame, edges: DataFrame, head: DataFrame) -> dict[str, DataFrame]:
     """What release notes are written from (M22): the last version's tag, commits since, sections, candidates and file counts."""
     tag = last_version_tag(tags, edges, head)
-    since = log(commits, edges, head, tag.select(F.col("sha").alias("node")), limit=10_000).withColumn("summary", T.subject(F.col("message")))
+    since = log(commits, edges, head, tag.select(F.col("sha").alias("node")), limit=None).withColumn("summary", T.subject(F.col("message")))
     own = files.join(since.select("sha"), "sha", "left_semi")
     return {"tag": tag, "commits": with_files(projected(since), own), "sections": recommended_sections(since), "candidates": candidates(since, own)}
 

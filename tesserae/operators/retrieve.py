@@ -10,6 +10,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..functions import vectors as V
 from ..plans.graph import written
+from ..plans.ranks import running
 
 
 def line_chunks(docs: DataFrame, size: int = 80, step: int = 60) -> DataFrame:
@@ -104,14 +105,8 @@ def on_disk(rows: DataFrame) -> DataFrame:
 
 
 def numbered(chunks: DataFrame, *order: str) -> DataFrame:
-    """Chunk ids c000001, ... in order, by counts of range partitions rather than one sort task."""
-    spread = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = spread.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = within.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # a row per partition
-    out = within.join(F.broadcast(offsets), "_part")
-    return out.withColumn("chunk_id", F.format_string("c%06d", F.col("_row") + F.col("_first"))).drop("_part", "_row", "_first")
+    """Chunk ids c000001, ... in order."""
+    return running(chunks, list(order)).withColumn("chunk_id", F.format_string("c%06d", F.col("n") + 1)).drop("n")
 
 
 def search(chunks: DataFrame, vectors: DataFrame, queries: list[tuple[str, str, list[float]]], min_score: float = 0.0, limit: int = 20, skip=None) -> DataFrame:

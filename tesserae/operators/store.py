@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranks import running
+
 
 def compatible(model: str, dims: int) -> Column:
     """Rows of a model and dimension with an input hash."""
@@ -73,12 +75,8 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """A gapless ``n`` from 0 in order, by range partitions and their counts."""
-    spread = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = spread.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = within.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    return within.join(F.broadcast(offsets), "_part").withColumn("n", F.col("_row") - 1 + F.col("_first")).drop("_part", "_row", "_first")
+    """A gapless ``n`` from 0 in order."""
+    return running(rows, list(order))
 
 
 def packs(rows: DataFrame, dims: int, *order: str, size: int = 16 << 20) -> DataFrame:
@@ -89,12 +87,7 @@ def packs(rows: DataFrame, dims: int, *order: str, size: int = 16 << 20) -> Data
 
 def byte_offsets(rows: DataFrame, dims: str, order: str) -> DataFrame:
     """The exclusive running sum of 4 * dims bytes in key order."""
-    spread = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_bytes", F.col(dims).cast("long") * 4)
-    own = Window.partitionBy("_part").orderBy(order)
-    within = spread.withColumn("_in", F.coalesce(F.sum("_bytes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = spread.groupBy("_part").agg(F.sum("_bytes").alias("_n"))
-    firsts = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    return within.join(F.broadcast(firsts), "_part").withColumn("offset", F.col("_in") + F.col("_first")).drop("_part", "_bytes", "_in", "_first")
+    return running(rows, [order], {"offset": F.col(dims).cast("long") * 4}).drop("n")
 
 
 def smallest_slot(rows: DataFrame) -> DataFrame:

@@ -322,9 +322,9 @@ def submodule_history(moves: DataFrame, commits: DataFrame, edges: DataFrame, mo
     Nested moves are rows of their own (see ``components``), so one search per end serves all.
     """
     whole = moves.where("old is not null and new is not null and old <> new")
-    ends = lambda c: graph.reachable_from(edges, whole.select("path", F.col(c).alias("node")), "path")
-    inside = ends("new").join(ends("old").select("path", "node"), ["path", "node"], "left_anti")
-    named = inside.join(commits.select(F.col("sha").alias("node"), T.subject(F.col("message")).alias("summary")), "node")
+    inside = graph.written(graph.commit_ranges(edges, whole, "path"))
+    near = graph.nearest_within(edges, whole.select("path", F.col("new").alias("node")), inside, "path", most)
+    named = near.join(commits.select(F.col("sha").alias("node"), T.subject(F.col("message")).alias("summary")), "node")
     order = Window.partitionBy("path").orderBy("distance", "node")
     return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("path", F.col("node").alias("sha"), "summary", "distance")
 

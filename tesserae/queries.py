@@ -12,7 +12,7 @@ from .functions import text as T
 from .functions import vectors as V
 from .functions import web as W
 from .operators import changes, readq, retrieve, store, validate
-from .plans import graph
+from .plans import graph, ranks
 from .streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -522,7 +522,7 @@ def version_bumps(spark, sf):
 def greedy_batches(spark, sf):
     """Batches by count and bytes: E03."""
     docs = _t(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return folds.greedy_batches(docs, "source", "doc_id", "n_chars", 32, 60_000)
+    return ranks.greedy_batches(docs, "source", "doc_id", "n_chars", 32, 60_000)
 
 
 @query()

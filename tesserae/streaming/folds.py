@@ -106,22 +106,6 @@ def batched(stream: DataFrame, items: int = ITEMS, wait_ms: int = WAIT_MS) -> Da
         statefulProcessor=CountOrTime(items, wait_ms), outputStructType="key string, batch long, id string, reason string", outputMode="Append", timeMode="ProcessingTime")
 
 
-def greedy_batches(rows: DataFrame, group: str, order: str, size: str, most: int = 32, most_bytes: int = 700_000) -> DataFrame:
-    """Batches closed before a number of rows or bytes would be exceeded, never empty (E03). Adds ``batch``."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", batch bigint"
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p, out, n, total, batch = p.sort_values(order, kind="stable"), [], 0, 0, 0
-        for s in p[size].tolist():
-            if n and (n == most or total + s > most_bytes):
-                n, total, batch = 0, 0, batch + 1
-            n, total = n + 1, total + s
-            out.append(batch)
-        return p.assign(batch=out)
-
-    return rows.groupBy(group).applyInPandas(run, schema)
-
-
 def indexed(stream: DataFrame, store: str, chunk, embed):
     """Chunk arriving files, embed the inputs that the store lacks, append them (J01). Returns a writer to start.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import paths as P
 from tesserae.functions import web as W
 from tesserae.operators import changes, readq, retrieve, store, validate
-from tesserae.plans import graph
+from tesserae.plans import graph, ranks
 from tesserae.sources import files
 from tesserae.streaming import folds
 
@@ -187,7 +187,7 @@ def test_folds(spark):
     runs = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "a"), (2, 1, None)], "g int, o int, v string")
     assert {r.g: (r.run, r.value) for r in folds.leading_run(runs, "g", "o", "v").collect()} == {1: (2, "a"), 2: (1, None)}
     sized = spark.createDataFrame([("g", i, s) for i, s in enumerate([5, 5, 5, 20, 1])], "g string, o int, size int")
-    assert [r.batch for r in folds.greedy_batches(sized, "g", "o", "size", 2, 12).orderBy("o").collect()] == [0, 0, 1, 2, 3]
+    assert [r.batch for r in ranks.greedy_batches(sized, "g", "o", "size", 2, 12).orderBy("o").collect()] == [0, 0, 1, 2, 3]
 
 
 def test_ignore_rules(spark):
