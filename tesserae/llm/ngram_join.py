@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, partitions, session
+from .common import NO_ID, connected_components, cut, keyed, partitions, session
 from .shingles import shingle_sets
 from .suffix_dedup import _mixed
 
+#: Signatures of a bucket of the index, about.
+SIGNATURES = 1 << 20
 #: Counters of the frequency sketch; it is broadcast, at 4 bytes each.
 COUNTERS = 1 << 20
 #: A token is frequent if its counter exceeds the mean by this and so many times the mean's square root.
@@ -311,8 +313,9 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     Words are the runs between ASCII white space, A-Z in lower case; a set holds the distinct
     runs of ``words`` words, of a shorter text the whole sequence. Returns id, n_shingles and
     component_id (smallest id reachable by links, itself included). Null texts and texts
-    without words have empty sets and link with nothing; null ids neither. Repeated rows
-    keep a row each; an empty table gives none; other columns are ignored.
+    without words have empty sets and link with nothing; null ids neither. An id is one node
+    whatever its rows are: each keeps its row and its n_shingles, a link of one is a link of all, and all
+    have one component. An empty table gives no rows; other columns are ignored.
 
     Equal sets are one class from the start. Token-combination prefixes index each class:
     rare tokens singly, frequent ones in pairs (see ``signatures``). A short posting list
@@ -323,16 +326,18 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
     blocks, so that no link that would join components is lost.
     """
     spark = session(docs)
-    own_id = F.col(id_col).cast("long")  # pandas would turn ids among nulls into doubles
-    text = docs.select(F.coalesce(own_id, F.lit(0)).alias("doc"), own_id.isNotNull().alias("known"), F.col(text_col).alias("t"))
+    rows = keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")))
+    text = rows.select("doc", (F.col("id") != NO_ID).alias("known"), "t")
     facts = cut(text.mapInPandas(_described(words), "part int, doc bigint, known boolean, n bigint, d1 bigint, d2 bigint, bits binary"), "shingle-facts")
     slices = facts.where("part >= 0").groupBy("part").applyInPandas(_summed, "part int, bits binary").toPandas().sort_values("part")
     sketch = np.frombuffer(b"".join(slices["bits"]), np.uint32) if len(slices) else np.zeros(COUNTERS, np.uint32)
     facts = facts.where("part < 0").drop("part")
+    # a set has about so many signatures, and a bucket is one group
+    buckets = max(64, 2 * partitions(spark), (facts.agg(F.sum("n")).first()[0] or 0) * (den - num) // den // SIGNATURES)
     classes = cut(facts.where("n > 0 and known").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("bits").alias("bits")), "shingle-classes")
     text_of = text.where("known")
     found = cut(
-        text.where("t is not null and known").mapInPandas(_indexed(words, num, den, sketch, max(64, 2 * partitions(spark))), "bucket int, kind int, x binary, y binary, z binary")
+        text.where("t is not null and known").mapInPandas(_indexed(words, num, den, sketch, buckets), "bucket int, kind int, x binary, y binary, z binary")
         .groupBy("bucket").applyInPandas(_candidates(num, den), "member boolean, x bigint, y bigint"), "shingle-pairs")
     # every indexed document's class
     own = cut(facts.where("n > 0 and known").join(classes, ["n", "d1", "d2"]).select("doc", "rep", "n", classes["bits"]), "shingle-own")
@@ -382,7 +387,18 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: s
             roots = _contracted(roots, late)
     groups = roots.withColumnRenamed("root", "component")
     final = cut(classes.join(groups, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "shingle-components")
-    return (
-        facts.select("doc", "known", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
-        .select(F.when(F.col("known"), F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"),
-                F.when(F.col("known"), F.coalesce("component", "doc")).alias("component_id")))
+    out = facts.select("doc", "known", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left").select("doc", "known", "n", F.when(F.col("known"), F.coalesce("component", "doc")).alias("component"))
+    if rows.where("doc <> id").isEmpty():  # rows are ids
+        return out.select(F.when(F.col("known"), F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return _by_id(cut(out.join(rows.select("doc", "id"), "doc"), "shingle-rows")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _by_id(rows: DataFrame) -> DataFrame:
+    """Components of rows (id, known, n, component) as components of ids: those that rows of one id lie in are one, named by its least id."""
+    known = rows.where("known")
+    low = known.groupBy("id").agg(F.min("component").alias("low"))
+    up = connected_components(known.join(low, "id").where("component <> low").select(F.col("low").alias("a"), F.col("component").alias("b")))
+    roots = cut(known.join(up.withColumnsRenamed({"id": "component", "component_id": "root"}), "component", "left").select("id", "component", F.coalesce("root", "component").alias("root")), "shingle-id-roots")
+    names = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+    of = roots.select("component", "root").distinct().join(names, "root").drop("root")
+    return rows.join(of, "component", "left").select(F.when(F.col("known"), F.col("id")).alias("id"), "n", "component_id")

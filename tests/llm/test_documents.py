@@ -37,6 +37,17 @@ def test_ngram_join(docs, rows, words, num, den):
     assert got == jaccard_components(rows, words, num, den)
 
 
+def test_ngram_join_repeated_ids(spark):
+    """An id is one node: what its rows link to is one component, whatever the others are."""
+    r = random.Random(1)
+    text = lambda: [f"w{r.randrange(10_000)}" for _ in range(60)]
+    a, b, c = text(), text(), text()
+    near = lambda t: " ".join([*t[:30], "other", *t[31:]])
+    rows = [(3, " ".join(a)), (5, near(a)), (5, " ".join(b)), (7, near(b)), (8, " ".join(c)), (8, ""), (8, None), (9, None), (None, " ".join(a)), (None, None), (11, " ".join(c)), (11, " ".join(c))]
+    got = sorted((x.doc_id or 0, x.n_shingles, x.component_id or 0) for x in ngram_join.join(frame(spark, rows), 4, 85, 100).collect())
+    assert got == sorted([(3, 57, 3), (5, 57, 3), (5, 57, 3), (7, 57, 3), (8, 57, 8), (8, 0, 8), (8, 0, 8), (9, 0, 9), (0, 57, 0), (0, 0, 0), (11, 57, 8), (11, 57, 8)])
+
+
 def test_ngram_join_long_lists(spark, monkeypatch):
     """Posting lists above the all-pairs size, frequent tokens and several blocks lose no link."""
     monkeypatch.setattr(ngram_join, "ALL_PAIRS", 2)

@@ -180,6 +180,27 @@ def test_stages(spark, folder):
     assert max(seen.values()) == 1
 
 
+def test_rows_of_one_id(spark, folder):
+    """Repeated and null ids: each row stays or goes by itself, through all stages; an empty table passes."""
+    clean = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id >= 1000").orderBy("doc_id").collect()]
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    bad = [clean[i - 1000] for i, r in labels.items() if r.toxic == 1][:1]
+    good = [clean[i - 1000] for i, r in labels.items() if r.toxic == 0 and r.quality == 1][:3]
+    rows = [(7, bad[0]), (7, good[0]), (None, bad[0] + " x"), (None, good[1]), (None, good[1]), (8, good[2]), (9, None)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id >= 1000").unionByName(frame(spark, rows).select(*corpus_pipeline.COLUMNS))
+    (_, f7), (_, f8), (_, f1), (_, f6), (_, f3) = corpus_pipeline.STAGES
+    pick = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.where("doc_id is null or doc_id < 1000").collect())
+    kept = f7(spark, docs, folder)
+    assert pick(kept) == sorted([(7, good[0]), (0, good[1]), (0, good[1]), (8, good[2]), (9, "")])
+    only = frame(spark, [(7, good[0]), (7, good[1]), (7, good[1]), (None, good[1]), (None, good[2]), (9, None), (9, None)]).select(*corpus_pipeline.COLUMNS)
+    assert pick(f1(spark, only, folder)) == sorted([(7, good[0]), (7, good[1]), (0, good[2]), (9, ""), (9, "")])
+    assert f8(spark, only, folder).count() == f6(spark, only, folder).count() == 7
+    packed = f3(spark, only, folder)
+    assert packed.where("doc_id = 7").count() >= 3
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
