@@ -18,9 +18,12 @@ from ..functions import text as T
 from ..functions import web as W
 from ..plans import graph
 from . import changes
+from . import renames as similarity
 
 #: Mode of a submodule's entry, files of an excerpt, entries of a prompt's lists, focus paths.
 GITLINK, EXCERPT_FILES, PROMPT_ENTRIES, FOCUS = "160000", 5, 128, 5
+#: Modes of a directory, a file and an executable one.
+DIRECTORY, FILE, EXECUTABLE = "40000", "100644", "100755"
 #: Bytes of a worktree file, and of all of them, that a snapshot holds.
 FILE_CAP, TOTAL_CAP = 8 << 20, 64 << 20
 #: The two trees of each view, old and new.
@@ -31,19 +34,69 @@ PAIRS = {
 _NO_END = "\0"
 
 
-def tree_diff(old: DataFrame, new: DataFrame, renames: bool = True) -> DataFrame:
-    """Changed paths of two flat trees with both sides (C14, M15): path, old_path, status, old_blob, new_blob, old_mode, new_mode, submodule."""
+CHANGE = "path string, old_path string, status string, old_blob string, new_blob string, old_mode string, new_mode string, submodule boolean"
+
+
+def tree_diff(old: DataFrame, new: DataFrame, renames: bool = True, blobs: DataFrame | None = None) -> DataFrame:
+    """Changed paths of two flat trees with both sides (C14, M15): path, old_path, status, old_blob, new_blob, old_mode, new_mode, submodule.
+
+    Renames are exact ones first, by path; with ``blobs`` (blob, data), then those by similarity.
+    """
     a, b = (d.select("path", F.col("blob").alias(f"{s}_blob"), F.col("mode").alias(f"{s}_mode")) for d, s in ((old, "old"), (new, "new")))
     both = a.join(b, "path", "full_outer").where(~F.col("old_blob").eqNullSafe(F.col("new_blob")) | ~F.col("old_mode").eqNullSafe(F.col("new_mode")))
-    status = F.when(F.col("old_blob").isNull(), "added").when(F.col("new_blob").isNull(), "deleted").otherwise("modified")
-    out = both.select("path", F.lit(None).cast("string").alias("old_path"), status.alias("status"), "old_blob", "new_blob", "old_mode", "new_mode")
+    out = both.select("path", F.lit(None).cast("string").alias("old_path"), _status(F.col("old_blob"), F.col("new_blob")).alias("status"), "old_blob", "new_blob", "old_mode", "new_mode")
     out = out.withColumn("submodule", F.coalesce(F.col("old_mode") == GITLINK, F.lit(False)) | F.coalesce(F.col("new_mode") == GITLINK, F.lit(False)))
-    if not renames:
-        return out
+    return renamed(out, blobs) if renames else out
+
+
+def _status(old_blob: Column, new_blob: Column) -> Column:
+    return F.when(old_blob.isNull(), "added").when(new_blob.isNull(), "deleted").otherwise("modified")
+
+
+def pruned_diff(entries: DataFrame, old_root: str, new_root: str, renames: bool = True, blobs: DataFrame | None = None, few: int = 1000) -> DataFrame:
+    """The same from the entries of tree objects (tree, name, mode, child), following only directories that differ (C14).
+
+    A level a round: pairs of unequal trees under one path give the entries that differ; directories go to the next round, alone where
+    the other side has none. Equal subtrees are never opened. Up to ``few`` trees are asked for by a filter that a scan of
+    sorted entries can use, more by a join.
+    """
+    spark = entries.sparkSession
+    level = spark.createDataFrame([("", old_root, new_root)], "prefix string, old string, new string").where("old is distinct from new")
+    leaves = None
+    while not level.isEmpty():
+        wanted = level.select(F.explode(F.array_compact(F.array("old", "new"))).alias("tree")).distinct()
+        trees = [r.tree for r in wanted.limit(few + 1).collect()]
+        read = entries.where(F.col("tree").isin(trees)) if len(trees) <= few else entries
+        side = lambda s: level.select("prefix", F.col(s).alias("tree")).where("tree is not null").join(read, "tree").select("prefix", "name", F.col("mode").alias(f"{s}_mode"), F.col("child").alias(f"{s}_blob"))
+        both = side("old").join(side("new"), ["prefix", "name"], "full_outer")
+        found = graph.written(both.where("not (old_blob <=> new_blob) or not (old_mode <=> new_mode)").withColumn("path", F.concat("prefix", "name")))
+        is_dir = lambda s: F.coalesce(F.col(f"{s}_mode") == DIRECTORY, F.lit(False))
+        file = lambda s, c: F.when(~is_dir(s), F.col(f"{s}_{c}")).alias(f"{s}_{c}")
+        own = found.select("path", file("old", "blob"), file("new", "blob"), file("old", "mode"), file("new", "mode")).where("old_blob is not null or new_blob is not null")
+        leaves = own if leaves is None else leaves.unionByName(own)
+        level = found.select(F.concat("path", F.lit("/")).alias("prefix"), *(F.when(is_dir(s), F.col(f"{s}_blob")).alias(s) for s in ("old", "new"))).where("old is distinct from new")
+    if leaves is None:
+        return spark.createDataFrame([], CHANGE)
+    link = lambda s: F.coalesce(F.col(f"{s}_mode") == GITLINK, F.lit(False))
+    out = leaves.select("path", F.lit(None).cast("string").alias("old_path"), _status(F.col("old_blob"), F.col("new_blob")).alias("status"), "old_blob", "new_blob", "old_mode", "new_mode", (link("old") | link("new")).alias("submodule"))
+    return renamed(out, blobs) if renames else out
+
+
+def renamed(out: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """Changes in which a deleted and an added file of equal content are one; with ``blobs`` also those of similar content."""
     place = lambda c: F.row_number().over(Window.partitionBy(c, "submodule").orderBy("path"))
     gone = out.where("status = 'deleted' and not submodule").select(F.col("path").alias("from"), F.col("old_blob").alias("blob"), F.col("old_mode").alias("from_mode"), place("old_blob").alias("k"))
     come = out.where("status = 'added' and not submodule").select("path", F.col("new_blob").alias("blob"), place("new_blob").alias("k"))
     moved = come.join(gone, ["blob", "k"]).select("path", "from", F.col("blob").alias("from_blob"), "from_mode")
+    if blobs is not None:
+        moved = graph.written(moved)
+        rest = lambda d, own, c: graph.written(d.join(moved.select(F.col(own).alias(c)), c, "left_anti"))
+        gone, come = rest(gone, "from", "from"), rest(come, "path", "path")
+        regular = F.col("from_mode").isin(FILE, EXECUTABLE)
+        if not gone.isEmpty() and not come.isEmpty():
+            near = similarity.renames(gone.where(regular).select(F.col("from").alias("path"), "blob"), come.select("path", "blob"), blobs)
+            more = near.join(gone, near["from_path"] == gone["from"]).select(F.col("to_path").alias("path"), "from", F.col("blob").alias("from_blob"), "from_mode")
+            moved = moved.unionByName(more)
     named = out.join(moved, "path", "left").join(moved.select(F.col("from").alias("path")), "path", "left_anti")
     is_moved = F.col("from").isNotNull()
     return named.select(
@@ -92,8 +145,8 @@ def _patches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class View:
     """The difference of two flat trees (M01, M03-M06, and M02 over the parts of ``united``)."""
 
-    def __init__(self, old: DataFrame, new: DataFrame, blobs: DataFrame, renames: bool = True, history: DataFrame | None = None) -> None:
-        self.changes = graph.written(tree_diff(old, new, renames))
+    def __init__(self, old: DataFrame, new: DataFrame, blobs: DataFrame, renames: bool = True, history: DataFrame | None = None, similar: bool = True) -> None:
+        self.changes = graph.written(tree_diff(old, new, renames, blobs if similar else None))
         self.blobs, self.history = blobs, history
         self._texts: DataFrame | None = None
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,19 +253,46 @@ def nearest_ancestor(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return up.join(roots.select("root").distinct(), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
-def merkle(files: DataFrame) -> DataFrame:
-    """Directory hashes from (path, blob), level by level from the deepest (H06): dir, hash."""
+def _tree_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ids of directories whose entries come in order: dir, hash. Only the state of one hash is held."""
+    at, state = None, None
+    for b in batches:
+        done = []
+        for folder, size, name, mode, child in zip(b["dir"].tolist(), b["size"].tolist(), b["name"].tolist(), b["mode"].tolist(), b["child"].tolist(), strict=True):
+            if folder != at:
+                if at is not None:
+                    done.append((at, state.hexdigest()))
+                at, state = folder, hashlib.sha1(b"tree %d\0" % size, usedforsecurity=False)
+            state.update(mode.encode() + b" " + name.encode() + b"\0" + bytes.fromhex(child.zfill(40)))
+        yield pd.DataFrame(done, columns=["dir", "hash"])
+    if at is not None:
+        yield pd.DataFrame([(at, state.hexdigest())], columns=["dir", "hash"])
+
+
+def tree_objects(files: DataFrame) -> DataFrame:
+    """Entries of the directories over files (path, blob, mode), with the directories' own ids as git gives them (H06): dir, tree, name, mode, child.
+
+    Level by level from the deepest; the root is ".". Entries are in order of their names, a directory's as if it ended
+    in a slash, and go through a hash as a stream, so that a directory may hold any part of the files.
+    """
     from ..functions.paths import directory
 
-    level = files.select("path", F.col("blob").alias("hash"))
+    level = files.select("path", F.col("blob").alias("child"), "mode")
     deepest = level.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0
     out = None
-    for depth in range(deepest - 1, -1, -1):
-        here = level.where(F.size(F.split("path", "/")) == depth + 1)
-        name = F.substring_index("path", "/", -1)
-        entry = F.concat(F.octet_length(name).cast("string"), F.lit(":"), name, F.lit(":"), F.col("hash"))
-        made = here.groupBy(directory(F.col("path")).alias("dir")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\n"), 256).alias("hash"))
-        made = written(made)
+    for depth in range(deepest, 0, -1):
+        here = level.where(F.size(F.split("path", "/")) == depth).select(directory(F.col("path")).alias("dir"), F.substring_index("path", "/", -1).alias("name"), "mode", "child")
+        sizes = here.groupBy(F.col("dir").alias("d")).agg(F.sum(F.octet_length("mode") + F.octet_length("name") + 22).alias("size"))
+        key = F.when(F.col("mode") == "40000", F.concat("name", F.lit("/"))).otherwise(F.col("name"))
+        sorted_ = here.join(sizes, F.col("dir") == F.col("d")).select("dir", "size", "name", "mode", "child").repartition("dir").sortWithinPartitions("dir", key)
+        ids = written(sorted_.mapInPandas(_tree_ids, "dir string, hash string"))
+        made = written(here.join(ids, "dir").select("dir", F.col("hash").alias("tree"), "name", "mode", "child"))
         out = made if out is None else out.unionByName(made)
-        level = level.unionByName(made.where("dir <> '.'").select(F.col("dir").alias("path"), "hash"))
-    return out if out is not None else files.select(F.lit("").alias("dir"), F.lit("").alias("hash")).limit(0)
+        level = level.unionByName(ids.where("dir <> '.'").select(F.col("dir").alias("path"), F.col("hash").alias("child"), F.lit("40000").alias("mode")))
+    return out if out is not None else files.select(*(F.lit("").alias(c) for c in ("dir", "tree", "name", "mode", "child"))).limit(0)
+
+
+def merkle(files: DataFrame) -> DataFrame:
+    """Ids of the directories over files (path, blob, perhaps mode), as git gives them (H06): dir, hash."""
+    moded = files if "mode" in files.columns else files.withColumn("mode", F.lit("100644"))
+    return tree_objects(moded).select("dir", F.col("tree").alias("hash")).distinct()

@@ -531,10 +531,19 @@ def change_fingerprint(spark, sf):
     return changes.fingerprint(_t(spark, sf, "orders"), "o_orderkey", "o_orderstatus", "o_custkey")
 
 
-@query()
+_TREE = "sha1(unhex(hex(encode('tree ' || CAST(len(string_agg(e, '')) // 2 AS VARCHAR))) || '00' || string_agg(e, '' ORDER BY k)))"
+
+
+@query(f"""WITH {DOCS}, f AS (SELECT source, lang, doc_id || '.md' AS name, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS blob FROM documents),
+  low AS (SELECT source, lang, {_TREE} AS hash FROM (SELECT source, lang, name AS k, hex(encode('100644 ' || name)) || '00' || blob AS e FROM f) GROUP BY source, lang),
+  mid AS (SELECT source, {_TREE} AS hash FROM (SELECT source, lang || '/' AS k, hex(encode('40000 ' || lang)) || '00' || hash AS e FROM low) GROUP BY source),
+  top AS (SELECT {_TREE} AS hash FROM (SELECT source || '/' AS k, hex(encode('40000 ' || source)) || '00' || hash AS e FROM mid))
+  SELECT source || '/' || lang AS dir, hash FROM low UNION ALL SELECT source, hash FROM mid UNION ALL SELECT '.', hash FROM top""")
 def merkle_tree(spark, sf):
-    """Directory hashes from files: H06."""
-    return graph.merkle(_docs(spark, sf).select("path", F.sha2("text", 256).alias("blob")))
+    """Directory ids from files, as git gives them: H06."""
+    text = F.encode("text", "UTF-8")
+    blob = F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length("text").cast("string")), "UTF-8"), F.unhex(F.lit("00")), text))
+    return graph.merkle(_docs(spark, sf).select("path", blob.alias("blob")))
 
 
 @query()

@@ -55,6 +55,36 @@ def tree_status(spark, sf):
     return views.View.of("staged", {"head": old, "index": new}, blobs).status()
 
 
+@query(f"WITH {TREES} SELECT path, status, old_blob, new_blob FROM diff")
+def pruned_tree_diff(spark, sf):
+    """The same as tree_diff from directories, following only those that differ: C14."""
+    from .plans import graph
+
+    sides = [graph.tree_objects(d.withColumn("blob", F.sha1("blob"))) for d in _trees(spark, sf)]
+    roots = [s.where("dir = '.'").select("tree").first()[0] for s in sides]
+    entries = written(sides[0].unionByName(sides[1]).select("tree", "name", "mode", "child").distinct())
+    names = [written(d.select("path", F.col("blob").alias(c))) for d, c in zip(_trees(spark, sf), ("old_blob", "new_blob"), strict=True)]
+    found = views.pruned_diff(entries, *roots, renames=False).select("path", "status")
+    return found.join(names[0], "path", "left").join(names[1], "path", "left")
+
+
+_SHARES = r"""side AS (SELECT 'a' || doc_id AS b, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS x FROM documents WHERE text IS NOT NULL UNION ALL
+    SELECT 'b' || doc_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') || chr(10) || 'edited' FROM documents WHERE text IS NOT NULL),
+  blk AS (SELECT b, strlen(x) AS size, k, sum(strlen(k)) AS bytes FROM (SELECT b, x, unnest(regexp_extract_all(x, '[^\n]{0,63}\n|[^\n]{1,64}')) AS k FROM side) GROUP BY ALL)
+  SELECT a.b AS "from", c.b AS "to", CAST(sum(least(a.bytes, c.bytes)) AS BIGINT) AS shared, CAST(greatest(a.size, c.size) AS BIGINT) AS size
+  FROM blk a JOIN blk c USING (k) WHERE a.b LIKE 'a%' AND c.b LIKE 'b%' GROUP BY a.b, c.b, greatest(a.size, c.size) HAVING sum(least(a.bytes, c.bytes)) * 99 >= greatest(a.size, c.size) * 59"""
+
+
+@query(f"WITH {_SHARES}")
+def similar_contents(spark, sf):
+    """Contents that an edit, or another document, shares enough with to be a rename: C14."""
+    from .operators import renames
+
+    d = _t(spark, sf, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("x"))
+    side = lambda n, c: d.select(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias("blob"), F.encode(c, "UTF-8").alias("data"))
+    return renames.similar(side("a", F.col("x")), side("b", F.concat("x", F.lit("\nedited")))).select("from", "to", "shared", F.col("size").cast("bigint").alias("size"))
+
+
 # Each text gets one more line, so the counts are known: a text without a final line end changes its last line too.
 @query(f"""WITH {DOCS}, t AS (SELECT path, min(text) AS text FROM docs GROUP BY path)
   SELECT path, CAST(CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 2 END AS BIGINT) AS adds, CAST(CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 0 ELSE 1 END AS BIGINT) AS deletes FROM t WHERE instr(text, chr(0)) = 0""")
