@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-#: Items that seal a batch and milliseconds that do.
-ITEMS, WAIT_MS = 3, 120_000
+#: Items that seal a batch, and milliseconds: until it is sealed, between ready and joining, until a silent intent is gone.
+ITEMS, WAIT_MS, GRACE_MS, STALE_MS = 3, 120_000, 100, 30_000
+#: Kinds of events, in the order in which those of one instant count.
+KINDS = ("gone", "intent", "beat", "ready")
 
 
 def concatenated(deltas: DataFrame, key: str = "id", part: str = "part", order: str = "seq") -> DataFrame:
@@ -55,55 +57,125 @@ def usage(rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("uncached_input_tokens", F.greatest(F.lit(0), F.col("input_tokens") - F.col("cached_input_tokens")))
 
 
+class Intake:
+    """One key's intents and its open batch, moved from one instant to the next.
+
+    An intent is announced, gives signs of life, and when it is ready joins the open batch after a grace time; one that
+    is silent for too long, or leaves, is gone. A batch opens with the first that joins; it is sealed by its number of items ("count"), when
+    no intent lives any more ("idle"), or so long after it opened ("time"). Who is ready after being gone is told ("expired").
+    """
+
+    def __init__(self, items: int, wait: int, grace: int, stale: int, intents: dict | None = None, batch: list | None = None, opened: int = 0, number: int = 0) -> None:
+        self.items, self.wait, self.grace, self.stale = items, wait, grace, stale
+        #: Last sign and time of joining (-1: not ready) by id.
+        self.intents: dict[str, tuple[int, int]] = intents or {}
+        self.batch, self.opened, self.number = batch or [], opened, number
+
+    def due(self) -> int | None:
+        """When something happens if no event comes."""
+        times = [t for beat, joins in self.intents.values() for t in ([joins] if joins >= 0 else [beat + self.stale])]
+        return min([*times, *([self.opened + self.wait] if self.batch else [])], default=None)
+
+    def _seal(self, reason: str) -> list[tuple]:
+        out = [(self.number, i, reason) for i in self.batch]
+        self.batch, self.number = [], self.number + 1
+        return out
+
+    def at(self, now: int, events: list[tuple[str, str]]) -> list[tuple]:
+        """Events of an instant, then what falls due: rows (batch, id, reason)."""
+        out = []
+        for kind, i in sorted(events, key=lambda e: (KINDS.index(e[0]), e[1])):
+            if kind == "gone":
+                self.intents.pop(i, None)
+            elif kind == "intent":
+                self.intents.setdefault(i, (now, -1))
+            elif i not in self.intents:
+                out += [(-1, i, "expired")] if kind == "ready" else []
+            else:
+                joins = self.intents[i][1]
+                self.intents[i] = now, (now + self.grace if kind == "ready" and joins < 0 else joins)
+        for i in sorted(i for i, (beat, joins) in self.intents.items() if joins < 0 and beat + self.stale <= now):
+            del self.intents[i]
+        for joins, i in sorted((joins, i) for i, (_, joins) in self.intents.items() if 0 <= joins <= now):
+            del self.intents[i]
+            self.opened = self.opened if self.batch else now
+            self.batch.append(i)
+            if len(self.batch) == self.items:
+                out += self._seal("count")
+        if self.batch and not self.intents:
+            out += self._seal("idle")
+        elif self.batch and self.opened + self.wait <= now:
+            out += self._seal("time")
+        return out
+
+    def until(self, now: int, events: list[tuple[int, str, str]]) -> list[tuple]:
+        """All instants up to one, in order."""
+        out, left = [], sorted(events)
+        while True:
+            times = [t for t in (left[0][0] if left else None, self.due()) if t is not None and t <= now]
+            if not times:
+                return out
+            t = min(times)
+            here = [(k, i) for x, k, i in left if x == t]
+            left = left[len(here) :]
+            out += self.at(t, here)
+
+
+def _replace(state, rows: list[tuple]) -> None:
+    """Set a list state, which can't be empty and there."""
+    state.clear()
+    if rows:
+        state.put(rows)
+
+
 class CountOrTime(StatefulProcessor):
-    """Batches of a key: sealed by a number of items, or so long after the first."""
+    """``Intake`` on a stream: events wait until the watermark has passed them, so that their order doesn't depend on how they arrive."""
 
-    def __init__(self, items: int = ITEMS, wait_ms: int = WAIT_MS) -> None:
-        self.items, self.wait_ms = items, wait_ms
+    def __init__(self, items: int, wait_ms: int, grace_ms: int, stale_ms: int) -> None:
+        self.limits = items, wait_ms, grace_ms, stale_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "id string")
-        self.number = handle.getValueState("number", "n long")
-
-    def _sealed(self, key, ids: list[str], reason: str) -> pd.DataFrame:
-        n = self.number.get()[0] if self.number.exists() else 0
-        self.number.update((n + 1,))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        return pd.DataFrame({"key": [key[0]] * len(ids), "batch": [n] * len(ids), "id": ids, "reason": [reason] * len(ids)})
+        self.pending = handle.getListState("pending", "at long, kind string, id string")
+        self.intents = handle.getListState("intents", "id string, beat long, joins long")
+        self.batch = handle.getListState("batch", "id string")
+        self.facts = handle.getValueState("facts", "opened long, number long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ids = [x[0] for x in self.held.get()] if self.held.exists() else []
-        out = []
         for b in rows:
-            for i in b.sort_values("id")["id"]:
-                ids.append(i)
-                if len(ids) == self.items:
-                    out.append(self._sealed(key, ids, "count"))
-                    ids = []
-        if ids:
-            if not (self.held.exists() and not out):
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-            self.held.put([(i,) for i in ids])
-        else:
-            self.held.clear()
-        yield pd.concat(out) if out else pd.DataFrame({"key": [], "batch": [], "id": [], "reason": []}).astype({"key": str, "batch": "int64", "id": str, "reason": str})
+            for at, kind, i in zip(b["at_ms"].tolist(), b["kind"].tolist(), b["id"].tolist(), strict=True):
+                self.pending.appendValue((at, kind, i))
+                self.handle.registerTimer(at)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ids = [x[0] for x in self.held.get()] if self.held.exists() else []
-        self.held.clear()
-        if ids:
-            yield self._sealed(key, ids, "time")
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(x) for x in self.pending.get()] if self.pending.exists() else []
+        opened, number = self.facts.get() if self.facts.exists() else (0, 0)
+        known = {i: (beat, joins) for i, beat, joins in self.intents.get()} if self.intents.exists() else {}
+        intake = Intake(*self.limits, known, [x[0] for x in self.batch.get()] if self.batch.exists() else [], opened, number)
+        out = intake.until(now, [x for x in held if x[0] <= now])
+        _replace(self.pending, [x for x in held if x[0] > now])
+        _replace(self.intents, [(i, *v) for i, v in intake.intents.items()])
+        _replace(self.batch, [(i,) for i in intake.batch])
+        self.facts.update((intake.opened, intake.number))
+        if (due := intake.due()) is not None:
+            self.handle.registerTimer(due)
+        if out:
+            yield pd.DataFrame([(key[0], *x) for x in out], columns=["key", "batch", "id", "reason"])
 
     def close(self) -> None:
         pass
 
 
-def batched(stream: DataFrame, items: int = ITEMS, wait_ms: int = WAIT_MS) -> DataFrame:
-    """Rows (key, id) of a stream in count-or-time batches: key, batch, id, reason."""
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=CountOrTime(items, wait_ms), outputStructType="key string, batch long, id string, reason string", outputMode="Append", timeMode="ProcessingTime")
+def batched(stream: DataFrame, items: int = ITEMS, wait_ms: int = WAIT_MS, grace_ms: int = GRACE_MS, stale_ms: int = STALE_MS, late: str = "1 second") -> DataFrame:
+    """Events (key, id, kind, at) of a stream in count-or-time batches: key, batch, id, reason.
+
+    Kinds: intent, beat, ready, gone. Needs the RocksDB state store.
+    """
+    timed = stream.where(F.col("kind").isin(*KINDS)).withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    return timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=CountOrTime(items, wait_ms, grace_ms, stale_ms), outputStructType="key string, batch long, id string, reason string", outputMode="Append", timeMode="EventTime")
 
 
 def indexed(stream: DataFrame, store: str, chunk, embed):

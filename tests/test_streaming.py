@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as V
@@ -33,3 +36,64 @@ def test_history_and_ranks(spark):
     rows = spark.range(250).select(F.col("id").alias("ord"))
     assert store.kept_history(rows).agg(F.min("ord"), F.count("*")).first() == (150, 100)
     assert [r.n for r in store.ranked(spark.range(100).select(F.col("id").alias("k")), "k").orderBy("k").collect()] == list(range(100))
+
+
+def test_intake_cases():
+    """Batches by a fixed clock: concurrent callers, the grace time, three at most, silence, the time limit."""
+    intake = lambda **x: folds.Intake(**({"items": 3, "wait": 120_000, "grace": 100, "stale": 30_000} | x))
+    i = intake()
+    both = [(0, "intent", "a"), (0, "intent", "b"), (50, "ready", "a"), (50, "ready", "b")]
+    assert i.until(10_000, both) == [(0, "a", "idle"), (0, "b", "idle")]  # two concurrent callers, one batch
+    late = [(0, "intent", "a"), (10, "ready", "a"), (85, "intent", "b"), (90, "ready", "b")]
+    assert intake().until(10_000, late) == [(0, "a", "idle"), (0, "b", "idle")]  # the second comes within the grace time
+    assert intake(grace=0).until(10_000, late) == [(0, "a", "idle"), (1, "b", "idle")]  # without grace they don't meet
+    four = [(0, "intent", x) for x in "abcd"] + [(5, "ready", x) for x in "abcd"]
+    assert intake().until(10_000, four) == [(0, "a", "count"), (0, "b", "count"), (0, "c", "count"), (1, "d", "idle")]
+    silent = [(0, "intent", "a"), (0, "intent", "b"), (5, "ready", "a"), (20_000, "beat", "b")]
+    i = intake()
+    assert i.until(49_999, silent) == [] and i.until(50_000, []) == [(0, "a", "idle")]  # b's last sign was at 20 s
+    assert i.until(60_000, [(55_000, "ready", "b")]) == [(-1, "b", "expired")]
+    beats = [(0, "intent", "a"), (0, "intent", "b"), (5, "ready", "a"), *((t, "beat", "b") for t in range(10_000, 200_000, 10_000))]
+    assert intake().until(120_105, beats) == [(0, "a", "time")]
+    assert intake().until(200, [(0, "intent", "a"), (0, "intent", "b"), (5, "ready", "a"), (120, "gone", "b")]) == [(0, "a", "idle")]
+    assert intake().due() is None
+
+
+def test_batches_on_a_stream(spark, tmp_path):
+    """Events in several files and any order, over restarts, as one pass by time has them."""
+    r = random.Random(4)
+    rows = []
+    for key in "xyz":
+        for n in range(12):
+            at, i = r.randrange(0, 100_000), f"{key}{n}"
+            rows.append((key, i, "intent", at))
+            for _ in range(r.randrange(3)):
+                rows.append((key, i, "beat", at := at + r.randrange(1, 35_000)))
+            if r.random() < 0.9:
+                rows.append((key, i, r.choice(["ready", "ready", "ready", "gone"]), at + r.randrange(1, 35_000)))
+    want = []
+    for key in "xyz":
+        got = folds.Intake(3, 20_000, 100, 30_000).until(10**9, [(at, kind, i) for k, i, kind, at in rows if k == key])
+        want += [(key, *x) for x in got]
+    rows.sort(key=lambda x: x[3])
+    schema = "key string, id string, kind string, ms bigint"
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # each file in any order; a later one brings events that are at most a second late; the last pushes the clock
+        cuts = [rows[: len(rows) // 3], rows[len(rows) // 3 : 2 * len(rows) // 3], rows[2 * len(rows) // 3 :], [("end", "end", "intent", 10**7)], [("end", "end2", "intent", 2 * 10**7)]]
+        for n, part in enumerate(cuts):
+            r.shuffle(part)
+            spark.createDataFrame(part, schema).withColumn("at", F.timestamp_millis("ms")).drop("ms").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema("key string, id string, kind string, at timestamp").parquet(f"{tmp_path}/in")
+            q = folds.batched(stream, 3, 20_000).writeStream.option("checkpointLocation", f"{tmp_path}/check").format("parquet").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        got = [tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").select("key", "batch", "id", "reason").where("key <> 'end'").collect()]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    assert (sorted(set(got) - set(want)), sorted(set(want) - set(got))) == ([], [])
+    assert sorted(got) == sorted(want) and {x[3] for x in want} == {"count", "idle", "time", "expired"}
+    sizes = defaultdict(int)
+    for key, n, _, reason in got:
+        sizes[key, n] += reason != "expired"
+    assert max(sizes.values()) == 3
