@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import golang as G
 from ..functions import paths as P
 
 #: Matches and files by default and at most, bytes of a file that grep reads.
@@ -166,8 +167,13 @@ def markdown_outline(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def go_outline(files: DataFrame, text: str = "text") -> DataFrame:
-    """Functions, methods and types by line (I74): path, line, kind, name. Lines are recognised, not parsed."""
-    lines = files.select("path", F.posexplode(F.split(text, "\r?\n")).alias("at", "l"))
-    method, func, kind = (F.regexp_extract("l", p, 1) for p in (r"^func\s*\([^)]*\)\s*(\w+)", r"^func\s+(\w+)", r"^type\s+(\w+)\s"))
-    out = lines.select("path", (F.col("at") + 1).alias("line"), F.when(method != "", "method").when(func != "", "function").when(kind != "", "type").alias("kind"), F.concat(method, func, kind).alias("name"))
-    return out.where("kind is not null")
+    """Functions, methods with their receiver, and types, also those of groups, by line (I74): path, line, kind, name.
+
+    What precedes an unfinished declaration, and its own head, is told as well.
+    """
+    s = files.select("path", F.explode(G.statements(F.regexp_replace(text, "\r\n", "\n"))).alias("s")).select("path", "s.*").withColumn("word", G.keyword(F.col("head"))).where("word in ('func', 'type')")
+    receiver, name = G.receiver(F.col("head")), G.function_name(F.col("head"))
+    func = F.struct(F.lit(None).cast("int").alias("line"), F.concat(F.when(receiver != "", F.concat(receiver, F.lit("."))).otherwise(""), name).alias("name"))
+    each = s.select("path", "start", "word", (receiver != "").alias("method"), F.explode(F.when(F.col("word") == "func", F.array(func)).otherwise(G.spec_names(F.col("head"), F.col("names")))).alias("e"))
+    kind = F.when(F.col("word") == "type", "type").when(F.col("method"), "method").otherwise("function")
+    return each.where("e.name <> ''").select("path", F.coalesce("e.line", "start").alias("line"), kind.alias("kind"), F.col("e.name").alias("name"))

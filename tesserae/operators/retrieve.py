@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import golang as G
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions import vectors as V
@@ -31,8 +32,20 @@ DECLARATIONS = (
 GROUPS = (("type", r"^type\s*\($"), ("const", r"^const\s*\($"), ("var", r"^var\s*\($"))
 
 
+def go_declarations(docs: DataFrame, key: str = "path") -> DataFrame:
+    """Declarations of Go sources by their first and last lines (E02): key, start, end, symbol_type, symbol. A group is one with all its names.
+
+    Strings, comments and brackets are told apart (see ``functions.golang``). A source in which something stays open has none.
+    """
+    text = F.array_join(T.body_lines(F.col("text")), "\n")
+    s = docs.select(key, F.explode(G.statements(text, whole=True)).alias("s")).select(key, "s.*").withColumn("word", G.keyword(F.col("head")))
+    names = F.array_join(F.transform(G.spec_names(F.col("head"), F.col("names")), lambda x: x["name"]), ", ")
+    kind = F.when(F.col("word") != "func", F.col("word")).when(G.receiver(F.col("head")) != "", "method").otherwise("function")
+    return s.where("word <> ''").select(key, "start", "end", kind.alias("symbol_type"), F.when(F.col("word") == "func", G.function_name(F.col("head"))).otherwise(names).alias("symbol"))
+
+
 def declarations(docs: DataFrame, key: str = "path") -> DataFrame:
-    """Declarations by their first and last lines (E02): key, start, end, symbol_type, symbol.
+    """Declarations at the margin by their first and last lines, for languages other than Go: key, start, end, symbol_type, symbol.
 
     A declaration opens at the margin and ends before the next line at the margin that opens something or
     holds no closing bracket; a group in parentheses is one declaration with all its names. Lines are recognised, not parsed.
@@ -79,7 +92,8 @@ def symbol_chunks(docs: DataFrame, size: int = 80, step: int = 60, key: str = "p
     A file whose heading says that it isn't to be edited has one chunk without a body.
     """
     plain = docs.where(~F.coalesce(T.has_do_not_edit(F.col("text")), F.lit(False)))
-    found = written(declarations(plain, key))
+    go = F.lower("path").endswith(".go")
+    found = written(go_declarations(plain.where(go), key).unionByName(declarations(plain.where(~go), key)))
     rest = gaps(plain, found, key).withColumns({"symbol_type": F.lit(None).cast("string"), "symbol": F.lit(None).cast("string")})
     spans = found.unionByName(rest)
     last = F.greatest(F.col("end") - (size - step), F.col("start"))

@@ -137,13 +137,14 @@ def generated_marks(spark, sf):
     return views.normalised_facts(rows).select("doc_id", "generated", "rule")
 
 
-@query("""WITH t AS (SELECT doc_id, string_split('package p' || chr(10) || chr(10) || 'func F' || doc_id || '() {' || chr(10) || chr(9) || replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(10) || chr(9)) || chr(10) || '}', chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+# The text is a raw string, in which nothing is a declaration and no bracket counts.
+@query("""WITH t AS (SELECT doc_id, string_split('package p' || chr(10) || chr(10) || 'func F' || doc_id || '() {' || chr(10) || '_ = `' || replace(replace(text, chr(13) || chr(10), chr(10)), '`', '') || '`' || chr(10) || '}', chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
   w AS (SELECT doc_id, len(ls) AS n, unnest(range(3, CAST(greatest(len(ls) - 20, 3) AS BIGINT) + 1, 60)) AS st FROM t)
   SELECT doc_id, CAST(st AS INTEGER) AS start_line, CAST(least(st + 79, n) AS INTEGER) AS end_line, 'function' AS symbol_type, 'F' || doc_id AS symbol FROM w
   UNION ALL SELECT doc_id, 1, 2, NULL, NULL FROM t""")
 def symbol_windows(spark, sf):
     """Windows over declarations and over what they leave: E02, M27."""
-    code = F.concat(F.lit("package p\n\nfunc F"), F.col("doc_id").cast("string"), F.lit("() {\n\t"), F.replace("text", F.lit("\n"), F.lit("\n\t")), F.lit("\n}\n"))
+    code = F.concat(F.lit("package p\n\nfunc F"), F.col("doc_id").cast("string"), F.lit("() {\n_ = `"), F.replace("text", F.lit("`"), F.lit("")), F.lit("`\n}\n"))
     docs = _t(spark, sf, "documents").where("text is not null").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), code.alias("text"))
     return retrieve.chunks(docs).select("doc_id", "start_line", "end_line", "symbol_type", "symbol")
 

@@ -134,11 +134,11 @@ def test_fingerprint_ignores_order(spark):
 
 
 def test_reads(spark):
-    docs = spark.createDataFrame([("a/x.md", "one\r\ntwo three\nthree"), ("b/y.go", "func A() {}\nfunc (t T) B() {\ntype C struct"), ("bin", "three\0")], "path string, text string")
+    docs = spark.createDataFrame([("a/x.md", "one\r\ntwo three\nthree"), ("b/y.go", "func A() {}\nfunc (t T) B() {\n}\ntype C struct"), ("bin", "three\0")], "path string, text string")
     assert [(r.path, r.line, r.match) for r in readq.grep(docs, "^three").collect()] == [("a/x.md", 3, "three")]
     assert [(r.path, r.kind) for r in readq.find(docs, "[ab]", "directory").collect()] == [("a", "directory"), ("b", "directory")]
     assert [r.path for r in readq.listed(docs, "a").collect()] == ["a/x.md"]
-    assert sorted((r.line, r.kind, r.name) for r in readq.go_outline(docs.where("path = 'b/y.go'")).collect()) == [(1, "function", "A"), (2, "method", "B"), (3, "type", "C")]
+    assert sorted((r.line, r.kind, r.name) for r in readq.go_outline(docs.where("path = 'b/y.go'")).collect()) == [(1, "function", "A"), (2, "method", "T.B"), (4, "type", "C")]
     for bad in ("(?=x)", r"(a)\1", "a++"):
         with pytest.raises(ValueError, match="pattern"):
             readq.grep(docs, bad)
