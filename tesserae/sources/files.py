@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,70 +87,6 @@ def referenced(rows: DataFrame, packs: DataFrame) -> DataFrame:
     return out.where(F.when(F.col("vector").isNotNull(), True).otherwise(bad))
 
 
-class Ignore:
-    """Ignore rules by directory (B09, B10): the last rule that matches wins, and below an ignored directory nothing is kept."""
-
-    def __init__(self, rules: list[tuple[str, str]]) -> None:
-        """rules: (directory, line) in order of their files; outer directories come first."""
-        self.rules = [(d.strip("/"), *self._parsed(line)) for d, line in rules if line.strip() and not line.startswith("#")]
-
-    @staticmethod
-    def _parsed(line: str) -> tuple[str, bool, bool, bool]:
-        line = line.rstrip("\n")
-        while line.endswith(" ") and not line.endswith("\\ "):
-            line = line[:-1]
-        line = line.replace("\\ ", " ")
-        negated = line.startswith("!")
-        line = line[negated:]
-        line = line[1:] if line[:2] in ("\\#", "\\!") else line
-        only_dir = line.endswith("/")
-        line = line.rstrip("/") if only_dir else line
-        return line.lstrip("/"), negated, only_dir, "/" in line
-
-    @staticmethod
-    def _matches(pattern: list[str], path: list[str]) -> bool:
-        if not pattern:
-            return not path
-        if pattern[0] == "**":
-            return (len(pattern) == 1 and bool(path)) or any(Ignore._matches(pattern[1:], path[i:]) for i in range(len(path) + 1))
-        return bool(path) and fnmatch.fnmatchcase(path[0], pattern[0]) and Ignore._matches(pattern[1:], path[1:])
-
-    def _exact(self, path: list[str], is_dir: bool) -> bool:
-        ignored = False
-        for base, pattern, negated, only_dir, anchored in self.rules:
-            root = base.split("/") if base else []
-            if path[: len(root)] != root or len(path) == len(root) or (only_dir and not is_dir):
-                continue
-            rest = path[len(root) :]
-            if self._matches(pattern.split("/"), rest) if anchored else fnmatch.fnmatchcase(rest[-1], pattern):
-                ignored = not negated
-        return ignored
-
-    def match(self, path: str, is_dir: bool = False) -> bool:
-        steps = [s for s in path.split("/") if s]
-        return any(self._exact(steps[: i + 1], is_dir or i + 1 < len(steps)) for i in range(len(steps)))
-
-    def kept(self, files: DataFrame) -> DataFrame:
-        """Files that no rule ignores; the rules travel with the tasks."""
-
-        @F.pandas_udf("boolean")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for b in batches:
-                yield b.map(self.match)
-
-        return files.where(~run("path"))
-
-
-def ignore_rules(files: DataFrame, name: str = ".gitignore", excludes: tuple[str, ...] = ()) -> Ignore:
-    """The rules of all ignore files of a listing (path, text), after those of ``excludes``, which hold for the whole.
-
-    Rule files are few; they are collected in order of depth, as outer ones come first.
-    """
-    rows = files.where(P.base(F.col("path")) == name).select(F.regexp_replace(P.directory(F.col("path")), r"^\.$", "").alias("d"), "text").collect()
-    own = [(r.d, line) for r in sorted(rows, key=lambda r: (r.d.count("/") + bool(r.d), r.d)) for line in (r.text or "").splitlines()]
-    return Ignore([("", line) for text in excludes for line in text.splitlines()] + own)
-
-
 def hashed_embeddings(texts_: DataFrame, dims: int = 64, text: str = "text") -> DataFrame:
     """An offline provider of vectors (K01): signed counts of hashed words, at unit length."""
 

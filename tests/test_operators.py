@@ -190,13 +190,6 @@ def test_folds(spark):
     assert [r.batch for r in ranks.greedy_batches(sized, "g", "o", "size", 2, 12).orderBy("o").collect()] == [0, 0, 1, 2, 3]
 
 
-def test_ignore_rules(spark):
-    rules = files.Ignore([("", "*.log"), ("", "!keep.log"), ("", "build/"), ("", "!build/x"), ("", "/top.txt"), ("sub", "*.tmp"), ("", "a/**/z")])
-    want = {"x.log": True, "keep.log": False, "build/x": True, "top.txt": True, "d/top.txt": False, "sub/q.tmp": True, "q.tmp": False, "a/b/c/z": True, "a/z": True}
-    assert {p: rules.match(p) for p in want} == want
-    df = spark.createDataFrame([(p,) for p in want], "path string")
-    assert {r.path for r in rules.kept(df).collect()} == {p for p, x in want.items() if not x}
-
 
 def test_scan(spark, tmp_path):
     for name, data in {"a.py": b"x = 1\n", ".hidden/x.py": b"x", "d/.env": b"x", "d/b.txt": b"a\0b", "d/big.txt": b"x" * ((1 << 20) + 1), "p.png": b"x"}.items():

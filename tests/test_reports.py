@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators import reports, retrieve, validate, views
-from tesserae.sources import files
+from tesserae.sources import ignore
 
 
 def one(spark, c):
@@ -207,8 +207,8 @@ def test_providers_and_tools(spark):
 
 def test_ignore_files(spark):
     listing = spark.createDataFrame([(".gitignore", "*.log\n!keep.log\n"), ("a/.gitignore", "/x\n"), ("a/x", ""), ("b/x", ""), ("c.log", ""), ("keep.log", ""), ("tmp/y", "")], "path string, text string")
-    rules = files.ignore_rules(listing, excludes=("tmp/\n",))
-    assert sorted(r.path for r in rules.kept(listing).collect()) == [".gitignore", "a/.gitignore", "b/x", "keep.log"]
+    rules = ignore.rules(listing, excludes=("tmp/\n",))
+    assert sorted(r.path for r in ignore.kept(listing, rules).collect()) == [".gitignore", "a/.gitignore", "b/x", "keep.log"]
 
 
 def test_markdown_report(spark):
