@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import vectors as V
+from ..functions.sniff import content_type
 
 #: Bytes of a file at most, and bytes that are searched for a NUL.
 FILE_BYTES, SNIFF = 1 << 20, 8000
@@ -38,14 +39,25 @@ def scan(spark: SparkSession, root: str, scope: list[str] | None = None) -> Data
     wanted = listing.where("by_name is null").select("uri")
     out = listing.join(bodies.join(wanted, "uri", "left_semi"), "uri", "left")
     binary = F.hex(F.substring("content", 1, SNIFF)).rlike("^(..)*00")
-    reason = F.coalesce("by_name", F.when(F.col("content").isNull(), "unreadable").when(binary, "binary"))
+    reason = F.coalesce("by_name", F.when(F.col("content").isNull(), "unreadable").when(binary, "binary").when(~is_text(F.col("path"), F.col("content")), "non_text"))
     return out.select("path", "size", "modified", F.when(reason.isNull(), F.col("content")).alias("content"), reason.alias("reason"))
 
 
-def is_text(path: Column) -> Column:
-    """Whether a path's extension is of code or text (B07 by extension; unknown ones count as text)."""
-    images = P.dotted(path).isin(".png", ".jpg", ".jpeg", ".gif", ".pdf", ".zip", ".gz", ".exe", ".so", ".woff", ".woff2", ".mp3", ".mp4")
-    return P.is_code(path) | ~images
+# Extensions whose type isn't text, and those of text that isn't code.
+OTHER = (
+    ".7z", ".a", ".avi", ".avif", ".bin", ".bmp", ".bz2", ".class", ".deb", ".dll", ".dmg", ".doc", ".docx", ".dylib", ".eot", ".exe", ".flac", ".gif", ".gz", ".ico", ".iso", ".jar", ".jpeg", ".jpg", ".m4a",
+    ".mkv", ".mov", ".mp3", ".mp4", ".o", ".odt", ".ogg", ".otf", ".pdf", ".png", ".ppt", ".pptx", ".ps", ".rar", ".rpm", ".so", ".svg", ".tar", ".tgz", ".tif", ".tiff", ".ttf", ".war", ".wasm", ".wav",
+    ".webm", ".webp", ".woff", ".woff2", ".xls", ".xlsx", ".xz", ".zip", ".zst")
+TEXT = (
+    ".atom", ".cfg", ".conf", ".css", ".csv", ".diff", ".htm", ".html", ".ini", ".json", ".log", ".markdown", ".md", ".ndjson", ".patch", ".properties", ".rss", ".rst", ".sql", ".tex", ".text", ".toml", ".tsv",
+    ".txt", ".vcf", ".xhtml", ".xml", ".yaml", ".yml")
+
+
+def is_text(path: Column, data: Column | None = None) -> Column:
+    """Whether a file is code or text (B07): by its extension, and where that tells nothing by its first bytes, if they are given."""
+    end = F.lower(P.dotted(path))
+    unknown = F.lit(True) if data is None else content_type(data).startswith("text/")
+    return P.is_code(path) | F.when(end.isin(*TEXT), True).when(end.isin(*OTHER), False).otherwise(unknown)
 
 
 def texts(files: DataFrame) -> DataFrame:

@@ -232,7 +232,7 @@ def tree_files(flat: DataFrame, blobs_: DataFrame, scope: list[str] | None = Non
     body = blobs_.select("blob", "data").join(known.where("by_name is null").select("blob").distinct(), "blob", "left_semi")
     out = known.join(body, "blob", "left")
     binary = F.hex(F.substring("data", 1, SNIFF)).rlike("^(..)*00")
-    reason = F.coalesce("by_name", F.when(binary, "binary"))
+    reason = F.coalesce("by_name", F.when(binary, "binary").when(~is_text(F.col("path"), F.col("data")), "non_text"))
     return out.select("root", "path", "blob", "size", F.when(reason.isNull(), F.col("data")).alias("content"), reason.alias("reason"))
 
 
