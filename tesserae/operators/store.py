@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ranks import running
@@ -104,30 +106,105 @@ def garbage(catalog: DataFrame, live: DataFrame, key: str) -> DataFrame:
 GENERATIONS = 2
 
 
-def publish(rows: DataFrame, root: str, mode: str = "filesystem") -> str:
-    """Write rows as a new snapshot; the manifest comes last, and readers see only snapshots with one.
+def _added(spark: SparkSession, root: str, table: str, **values: Column) -> None:
+    """Append one row to a table of a store, as one file."""
+    spark.range(1).select(*(v.alias(k) for k, v in values.items()), F.current_timestamp().alias("created_at")).coalesce(1).write.mode("append").parquet(f"{root}/{table}")
 
-    ``retained`` tells which snapshots stay.
+
+def _digest(rows: DataFrame) -> tuple[int, str]:
+    """Number and digest of rows in any order."""
+    n, d = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).cast("string")).first()
+    return n, d or "0"
+
+
+def publish_steps(rows: DataFrame, root: str, mode: str = "filesystem", replace: bool = False, abandoned_hours: float = 24) -> Iterator[str]:
+    """Save rows as a new snapshot, step by step (A40, A43, M39): after each of them a reader finds a whole snapshot.
+
+    With ``replace`` the current snapshot is withdrawn first, so that what is read meanwhile is the one before it. The save is
+    announced; the rows are written to a folder of their own and read back; the manifest with their number and digest comes last and makes
+    them current. Then folders go that neither of the newest two manifests names: older snapshots, and saves that were announced
+    ``abandoned_hours`` ago and have no manifest.
     """
     spark, snapshot = rows.sparkSession, uuid.uuid4().hex
+    if replace:
+        last = current_manifest(spark, root)
+        if last is not None:
+            _added(spark, root, "withdrawn", snapshot=F.lit(last["snapshot"]))
+        yield "withdrawn"
+    _added(spark, root, "announced", snapshot=F.lit(snapshot))
+    yield "announced"
     rows.write.parquet(f"{root}/snapshots/{snapshot}")
-    seen = spark.read.parquet(f"{root}/snapshots/{snapshot}").count()
-    spark.range(1).select(F.lit(3).alias("version"), F.lit(mode).alias("mode"), F.lit(snapshot).alias("snapshot"), F.lit(seen).alias("chunk_count"), F.current_timestamp().alias("created_at")).coalesce(1).write.mode("append").parquet(f"{root}/manifests")
-    return snapshot
+    yield "written"
+    n, digest = _digest(spark.read.parquet(f"{root}/snapshots/{snapshot}"))
+    _added(spark, root, "manifests", version=F.lit(3), mode=F.lit(mode), snapshot=F.lit(snapshot), chunk_count=F.lit(n), digest=F.lit(digest))
+    yield snapshot
+    clean(spark, root, abandoned_hours)
+    yield "cleaned"
+
+
+def publish(rows: DataFrame, root: str, mode: str = "filesystem", **options) -> str:
+    """All steps of a save; the snapshot's name."""
+    return next(x for x in list(publish_steps(rows, root, mode, **options)) if x not in ("withdrawn", "announced", "written"))
 
 
 def retained(manifests: DataFrame, most: int = GENERATIONS) -> DataFrame:
-    """Manifests with ``kept``: whether a snapshot is of the newest generations (A43). Files of others may be removed."""
+    """Manifests with ``kept``: whether a snapshot is of the newest generations."""
     newest = manifests.orderBy(F.desc("created_at"), F.desc("snapshot")).limit(most).select("snapshot", F.lit(True).alias("kept"))
     return manifests.join(F.broadcast(newest), "snapshot", "left").fillna(False, ["kept"])
 
 
-def current(spark, root: str) -> DataFrame:
-    """Rows of the latest published snapshot."""
-    last = spark.read.parquet(f"{root}/manifests").orderBy(F.desc("created_at"), F.desc("snapshot")).first()
+_MANIFEST = "version int, mode string, snapshot string, chunk_count bigint, digest string, created_at timestamp"
+_MARK = "snapshot string, created_at timestamp"
+
+
+def clean(spark: SparkSession, root: str, abandoned_hours: float = 24) -> list[str]:
+    """Remove the folders of snapshots that no reader can want; a second call finds none (A43, M39). Returns their names."""
+    known = retained(stored(spark, f"{root}/manifests", _MANIFEST)).select("snapshot", "kept")
+    old = F.col("created_at") <= F.current_timestamp() - F.make_interval(secs=F.lit(float(abandoned_hours) * 3600))
+    announced = stored(spark, f"{root}/announced", _MARK).join(known, "snapshot", "left").where(F.when(F.col("kept").isNull(), old).otherwise(~F.col("kept")))
+    gone = announced.select("snapshot").distinct().join(stored(spark, f"{root}/removed", _MARK), "snapshot", "left_anti")
+    names = [r.snapshot for r in gone.toLocalIterator()]  # what earlier saves left, not rows
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshots/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _added(spark, root, "removed", snapshot=F.lit(name))
+    return names
+
+
+def current_manifest(spark: SparkSession, root: str, deep: bool = False):
+    """The newest manifest whose snapshot is whole (E08), a withdrawn one only if there is no other; None if there is none.
+
+    Whole: its files can be read and hold the stated number of rows (from their footers); with ``deep`` also the stated digest.
+    """
+    marked = lambda t: stored(spark, f"{root}/{t}", _MARK).select("snapshot").distinct()
+    there = stored(spark, f"{root}/manifests", _MANIFEST).join(marked("removed"), "snapshot", "left_anti").join(marked("withdrawn").withColumn("withdrawn", F.lit(True)), "snapshot", "left")
+    for m in there.orderBy(F.coalesce("withdrawn", F.lit(False)), F.desc("created_at"), F.desc("snapshot")).limit(2 * GENERATIONS).collect():
+        try:
+            rows = spark.read.parquet(f"{root}/snapshots/{m.snapshot}")
+            if rows.count() == m.chunk_count and (not deep or _digest(rows) == (m.chunk_count, m.digest)):
+                return m
+        except (PySparkException, Py4JJavaError):  # missing or broken files: an older snapshot serves
+            continue
+    return None
+
+
+def current(spark: SparkSession, root: str, deep: bool = False) -> DataFrame:
+    """Rows of the newest whole snapshot."""
+    last = current_manifest(spark, root, deep)
+    if last is None:
+        raise ValueError(f"no whole snapshot below {root}")
     return spark.read.parquet(f"{root}/snapshots/{last['snapshot']}")
 
 
+def swept(spark: SparkSession, root: str, live: DataFrame, key: str) -> dict[str, int]:
+    """Save the current rows whose key is live as a new snapshot (M39, D23): live, dead. Without dead rows nothing is written."""
+    rows = current(spark, root)
+    n, dead = rows.count(), garbage(rows, live, key).count()
+    if dead:
+        publish(rows.join(live.select(key).distinct(), key, "left_semi").select(*rows.columns), root, "swept")
+    return {"live": n - dead, "dead": dead}
+
+
 def stored(spark, path: str, schema) -> DataFrame:
     """The rows at a path, none where nothing has been written yet."""
     try:
