@@ -552,4 +552,4 @@ def markdown_headings(spark, sf):
     return readq.markdown_outline(_docs(spark, sf))
 
 
-from . import view_queries  # noqa: E402, F401 -- registers its own queries
+from . import record_queries, view_queries  # noqa: E402, F401 -- they register their own queries
