@@ -117,7 +117,7 @@ def _digest(rows: DataFrame) -> tuple[int, str]:
     return n, d or "0"
 
 
-def publish_steps(rows: DataFrame, root: str, mode: str = "filesystem", replace: bool = False, abandoned_hours: float = 24) -> Iterator[str]:
+def publish_steps(rows: DataFrame, root: str, mode: str = "filesystem", replace: bool = False, abandoned_hours: float = 24, partition_by: tuple[str, ...] = ()) -> Iterator[str]:
     """Save rows as a new snapshot, step by step (A40, A43, M39): after each of them a reader finds a whole snapshot.
 
     With ``replace`` the current snapshot is withdrawn first, so that what is read meanwhile is the one before it. The save is
@@ -133,7 +133,7 @@ def publish_steps(rows: DataFrame, root: str, mode: str = "filesystem", replace:
         yield "withdrawn"
     _added(spark, root, "announced", snapshot=F.lit(snapshot))
     yield "announced"
-    rows.write.parquet(f"{root}/snapshots/{snapshot}")
+    rows.write.partitionBy(*partition_by).parquet(f"{root}/snapshots/{snapshot}")
     yield "written"
     n, digest = _digest(spark.read.parquet(f"{root}/snapshots/{snapshot}"))
     _added(spark, root, "manifests", version=F.lit(3), mode=F.lit(mode), snapshot=F.lit(snapshot), chunk_count=F.lit(n), digest=F.lit(digest))

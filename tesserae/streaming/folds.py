@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
+
+from ..plans.graph import written
 
 #: Items that seal a batch, and milliseconds: until it is sealed, between ready and joining, until a silent intent is gone.
 ITEMS, WAIT_MS, GRACE_MS, STALE_MS = 3, 120_000, 100, 30_000
@@ -178,15 +181,65 @@ def batched(stream: DataFrame, items: int = ITEMS, wait_ms: int = WAIT_MS, grace
         statefulProcessor=CountOrTime(items, wait_ms, grace_ms, stale_ms), outputStructType="key string, batch long, id string, reason string", outputMode="Append", timeMode="EventTime")
 
 
-def indexed(stream: DataFrame, store: str, chunk, embed):
-    """Chunk arriving files, embed the inputs that the store lacks, append them (J01). Returns a writer to start.
+#: Buckets of an incremental index.
+BUCKETS = 64
+_KEY = "embedding_input_hash"
+
+
+def bucket(buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(_KEY), F.lit(buckets)).cast("int")
+
+
+def _sides(spark: SparkSession, store_: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The settled rows of an index and those of its batches, with bucket and batch."""
+    from ..operators import store
+
+    whole = StructType.fromDDL(f"{schema}, bucket int")
+    settled = store.current(spark, f"{store_}/base").select(*whole.names) if store.current_manifest(spark, f"{store_}/base") else spark.createDataFrame([], whole)
+    batches = store.stored(spark, f"{store_}/data", StructType.fromDDL(f"{schema}, batch string, bucket int"))
+    return settled, batches
+
+
+def index_entries(spark: SparkSession, store_: str, schema: str) -> DataFrame:
+    """All entries of an incremental index, one of each hash."""
+    settled, batches = _sides(spark, store_, schema)
+    return settled.unionByName(batches.select(*settled.columns)).drop("bucket").dropDuplicates([_KEY])
+
+
+def settle(spark: SparkSession, store_: str, schema: str) -> int:
+    """Bring the batches of an index into its base; how many rows it has then.
+
+    The base is saved before the batches' folders go: a kill between leaves rows twice, which readers pass over.
+    No stream may write meanwhile.
+    """
+    from ..operators import store
+
+    _, batches = _sides(spark, store_, schema)
+    names = [r.batch for r in batches.select("batch").distinct().collect()]  # micro-batches since the last time
+    store.publish(index_entries(spark, store_, schema).withColumn("bucket", bucket()).repartition("bucket"), f"{store_}/base", "base", partition_by=("bucket",))
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store_}/data/batch={name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return store.current(spark, f"{store_}/base").count()
+
+
+def indexed(stream: DataFrame, store_: str, chunk, embed, schema: str = f"{_KEY} string, vector array<float>", buckets: int = BUCKETS):
+    """Chunk arriving files, embed the inputs that the store lacks, add them (J01). Returns a writer to start.
 
-    ``chunk`` gives rows with ``embedding_input_hash``; ``embed`` gets one row of each hash that is new.
+    ``chunk`` gives rows with ``embedding_input_hash``; ``embed`` gets one row of each hash that is new. A micro-batch reads
+    only the buckets of its hashes, and writes a folder named by the query and its own number: when it is
+    replayed it replaces what it wrote, and adds nothing. ``settle`` keeps the number of folders small.
     """
-    from ..operators.store import lacking, upsert
 
-    def each(batch: DataFrame, _: int) -> None:
-        fresh = lacking(chunk(batch), store, "embedding_input_hash")
-        upsert(embed(fresh), store, "embedding_input_hash", "vector")
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+        rows = written(chunk(batch).dropDuplicates([_KEY]).withColumn("bucket", bucket(buckets)))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most as many as there are
+        settled, batches = _sides(spark, store_, schema)
+        known = settled.select(_KEY, "bucket").unionByName(batches.where(F.col("batch") != own).select(_KEY, "bucket")).where(F.col("bucket").isin(touched))
+        fresh = rows.join(known.select(_KEY), _KEY, "left_anti").drop("bucket")
+        new = embed(fresh).select(*StructType.fromDDL(schema).names).withColumn("bucket", bucket(buckets))
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{store_}/data/batch={own}")
 
     return stream.writeStream.foreachBatch(each)

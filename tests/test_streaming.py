@@ -21,7 +21,46 @@ def test_incremental_index(spark, tmp_path):
         stream = spark.readStream.schema("path string, text string").parquet(f"{tmp_path}/in")
         writer = folds.indexed(stream, target, lambda d: d.withColumn("embedding_input_hash", V.input_hash(F.col("text"))), lambda d: files.hashed_embeddings(d).select("embedding_input_hash", "vector"))
         writer.option("checkpointLocation", f"{tmp_path}/check{turn}").trigger(availableNow=True).start().awaitTermination(90)
-    assert spark.read.parquet(target).count() == 2
+    assert folds.index_entries(spark, target, SCHEMA).count() == 2
+    assert spark.read.parquet(f"{target}/data").count() == 2
+
+
+SCHEMA = "embedding_input_hash string, vector array<float>"
+
+
+def test_replayed_batches_and_buckets(spark, tmp_path):
+    """A batch that is replayed adds nothing; a batch reads its own buckets only; settling keeps all entries."""
+    target, asked = f"file://{tmp_path}/store", spark.sparkContext.accumulator(0)
+    chunk = lambda d: d.withColumn("embedding_input_hash", V.input_hash(F.col("text")))
+
+    def embed(rows):
+        asked.add(rows.count())
+        return files.hashed_embeddings(rows).select("embedding_input_hash", "vector")
+
+    def run(n, words):
+        spark.createDataFrame([(w,) for w in words], "text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("text string").parquet(f"{tmp_path}/in")
+        folds.indexed(stream, target, chunk, embed).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination(120)
+
+    run(0, [f"w{i}" for i in range(40)])
+    run(1, ["w1", "w1", "new"])
+    assert asked.value == 41 and folds.index_entries(spark, target, SCHEMA).count() == 41
+    # the last batch is taken for unfinished: its commit goes, and it runs again
+    import glob
+    import os
+
+    for f in glob.glob(f"{tmp_path}/check/commits/1") + glob.glob(f"{tmp_path}/check/commits/.1.crc"):
+        os.remove(f)
+    run(2, [])
+    assert spark.read.parquet(f"{target}/data").count() == 41
+    batches = spark.read.schema(f"{SCHEMA}, batch string, bucket int").parquet(f"{target}/data")
+    one = batches.where("bucket = 3")
+    assert len(one.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+    assert folds.settle(spark, target, SCHEMA) == 41
+    assert not glob.glob(f"{tmp_path}/store/data/batch=*/bucket=*") and folds.index_entries(spark, target, SCHEMA).count() == 41
+    before = asked.value
+    run(3, ["w5", "late"])
+    assert asked.value == before + 1 and folds.index_entries(spark, target, SCHEMA).count() == 42
 
 
 def test_live_sessions(spark, tmp_path):
