@@ -223,12 +223,18 @@ def reused_across_indexes(spark, sf):
     return got.select("embedding_input_hash", F.format_string("i%09d", F.element_at("vector", 1).cast("long")).alias("first_index"))
 
 
-@query("""SELECT count(DISTINCT sha256(text)) AS kept, bool_and(text IS NOT NULL) AS every FROM documents""")
+@query("""SELECT 'whole' AS part, count(DISTINCT sha256(text)) FILTER (WHERE lang = 'en' AND doc_id % 5 <> 0) AS kept, bool_and(lang = 'en' AND doc_id % 5 <> 0) AS every FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'fitting', count(DISTINCT sha256(text)), true FROM documents WHERE text IS NOT NULL AND lang = 'en' AND doc_id % 5 <> 0""")
 def compatible_subset(spark, sf):
-    """Distinct compatible records and whether all are: G06, B12."""
-    rows = _t(spark, sf, "documents").select(F.sha2("text", 256).alias("embedding_input_hash"), F.lit("m").alias("embedding_model"), F.lit(1).alias("dimensions"), F.array(F.lit(1.0)).alias("vector"))
-    kept, every = packs.compatible_rows(rows, "m", 1, "embedding_input_hash")
-    return kept.agg(F.count("*").alias("kept")).withColumn("every", F.lit(every))
+    """Distinct records of a model and dimension among others, and whether all are: G06, B12."""
+    model, dims = F.when(F.col("lang") == "en", "m").otherwise("n"), F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1)
+    rows = _t(spark, sf, "documents").where("text is not null").select("lang", "doc_id", F.sha2("text", 256).alias("embedding_input_hash"), model.alias("embedding_model"), dims.alias("dimensions"), F.array(F.lit(1.0)).alias("vector"))
+    out = None
+    for part, own in (("whole", rows), ("fitting", rows.where("lang = 'en' and doc_id % 5 <> 0"))):
+        kept, every = packs.compatible_rows(own, "m", 1, "embedding_input_hash")
+        row = kept.agg(F.count("*").alias("kept")).select(F.lit(part).alias("part"), "kept", F.lit(every).alias("every"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("SELECT DISTINCT coalesce(lang, '') || ':' || coalesce(source, '') AS key FROM documents")
@@ -364,13 +370,15 @@ def summary_styles(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", T.is_conventional(s).alias("conventional"), T.is_title_case(s).alias("title"), T.is_chore(s).alias("chore"))
 
 
-@query("SELECT doc_id, source || '/' || lang || '/' || doc_id || '.md' AS clean, CAST(NULL AS VARCHAR) AS outside, '.' AS root FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 1 OR doc_id % 5 = 2 THEN NULL WHEN doc_id % 5 = 3 THEN lang || '/' || doc_id || '.md' ELSE source || '/' || lang || '/' || doc_id || '.md' END AS clean,
+  CASE WHEN doc_id % 5 = 0 THEN '.' ELSE lang END AS tool FROM documents""")
 def clean_paths(spark, sf):
-    """Paths cleaned, those that leave the root as null: B29, B30."""
-    d = F.col("doc_id").cast("string")
-    return _t(spark, sf, "documents").select(
-        "doc_id", reports.clean_path(F.concat(F.lit("./"), "source", F.lit("//"), "lang", F.lit("/x/../"), d, F.lit(".md"))).alias("clean"),
-        reports.clean_path(F.concat("source", F.lit("/../../"), "lang")).alias("outside"), reports.tool_path(F.lit(" ")).alias("root"))
+    """Paths cleaned, absolute ones and those that leave the root as null: B29, B30."""
+    d, kind = F.concat(F.col("doc_id").cast("string"), F.lit(".md")), F.col("doc_id") % 5
+    path = (
+        F.when(kind == 0, F.concat(F.lit("./"), "source", F.lit("//"), "lang", F.lit("/x/../"), d)).when(kind == 1, F.concat("source", F.lit("/../../"), "lang", F.lit("/"), d)).when(kind == 2, F.concat(F.lit("/"), "source", F.lit("/"), d))
+        .when(kind == 3, F.concat("source", F.lit("/../"), "lang", F.lit("/./"), d)).otherwise(F.concat("source", F.lit("\\"), "lang", F.lit("\\"), d)))
+    return _t(spark, sf, "documents").select("doc_id", reports.clean_path(path).alias("clean"), reports.tool_path(F.when(kind == 0, " ").otherwise(F.col("lang"))).alias("tool"))
 
 
 @query("""SELECT p_partkey, 'p/' || p_partkey || '.go' AS path, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS message, CASE WHEN p_size < 10 THEN 'line must be positive' ELSE '' END AS errors FROM part""")
@@ -464,11 +472,11 @@ def sync_summary(spark, sf):
     return packs.sync_summary(inventory.sync_targets(m).withColumn("synced", ~F.col("skipped")))
 
 
-@query("""WITH l AS (SELECT n_nationkey, printf('catalog-%020d.json', n_nationkey) AS name FROM nation) SELECT name, n_nationkey >= (SELECT max(n_nationkey) - 1 FROM l) AS kept FROM l""")
+@query("""WITH l AS (SELECT c_custkey, printf('catalog-%020d.json', c_custkey) AS name FROM customer) SELECT name, c_custkey >= (SELECT max(c_custkey) - 1 FROM l) AS kept FROM l""")
 def catalog_generations(spark, sf):
-    """Catalog files of the newest generations: M39, M46."""
-    names = _t(spark, sf, "nation").select(packs.catalog_name(F.col("n_nationkey")).alias("name"))
-    return packs.newest(names.unionByName(_t(spark, sf, "region").select(F.col("r_name").alias("name")))).select("name", "kept")
+    """Catalog files of the newest generations, among files of other names: M39, M46."""
+    names = _t(spark, sf, "customer").select(packs.catalog_name(F.col("c_custkey")).alias("name"))
+    return packs.newest(names.unionByName(_t(spark, sf, "supplier").select(F.col("s_name").alias("name")))).select("name", "kept")
 
 
 @query("""WITH r AS (SELECT source AS path, min(sha256(text)) AS old, max(sha256(text)) AS new FROM documents GROUP BY source) SELECT path, old, new, 'modified' AS status FROM r WHERE old <> new""")
@@ -528,12 +536,13 @@ def component_files(spark, sf):
     return views.component_files(d.select(F.col("source").alias("repo"), F.col("lang").alias("path")), parts).withColumnRenamed("repo", "owner")
 
 
-@query("SELECT DISTINCT source AS dir, 'a' AS mode, TRUE AS built FROM documents")
+@query("SELECT 'c' || c_custkey AS dir, floor(c_acctbal) >= 5000 AS built FROM customer WHERE floor(c_acctbal) >= 0")
 def confirmations(spark, sf):
-    """Indexes confirmed and built since a query began: B26, J11."""
-    c = _t(spark, sf, "documents").select(F.col("source").alias("dir"), F.timestamp_seconds("doc_id").alias("confirmed_at"))
-    start = F.timestamp_seconds(F.lit(0))
-    return inventory.confirmed(c, start).select("dir", F.lit("a").alias("mode"), inventory.built_since(F.col("confirmed_at"), start).alias("built"))
+    """Indexes confirmed since a query began, and whether they were built later: B26, J11."""
+    at = F.timestamp_seconds(F.floor("c_acctbal"))
+    c = _t(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("dir"), at.alias("confirmed_at"))
+    earlier = c.withColumn("confirmed_at", F.col("confirmed_at") - F.expr("interval 1 hour"))  # the last one counts
+    return inventory.confirmed(c.unionByName(earlier), F.timestamp_seconds(F.lit(0))).select("dir", inventory.built_since(F.col("confirmed_at"), F.timestamp_seconds(F.lit(5000))).alias("built"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 20 THEN 'reuse' ELSE 'nothing' END AS aspect, CASE WHEN p_size < 20 THEN '' ELSE 'aspect is invalid' END AS errors FROM part")
@@ -553,12 +562,15 @@ def shaped_subjects(spark, sf):
     return c.select("conv_id", "turn", F.split_part(reports.shaped(alone), F.lit("\n"), F.lit(1)).alias("subject"))
 
 
-@query("SELECT DISTINCT source AS path, '1' AS old, '2' AS new, lang = 'x' AS dirty FROM documents")
+@query("""WITH s AS (SELECT DISTINCT source, source LIKE '%1%' AS same, source LIKE '%5' AS edited FROM documents)
+  SELECT source AS path, CASE WHEN same AND NOT edited THEN '0' ELSE '1' END AS old, CASE WHEN same AND NOT edited THEN '9' WHEN same THEN '1' ELSE '2' END AS new, CASE WHEN same AND NOT edited THEN NULL ELSE edited END AS dirty FROM s""")
 def dirty_gitlinks(spark, sf):
-    """Submodules whose checkout moved: C24, M10."""
+    """Submodules whose checkout moved or has changes of its own; the others as they were recorded: C24, M10."""
     s = _t(spark, sf, "documents").select(F.col("source").alias("path")).distinct()
-    none = F.array().cast("array<struct<path:string,code:string,hash:string>>")
-    found = views.dirty_gitlinks(s.withColumn("sha", F.lit("1")), s.withColumns({"sha": F.lit("2"), "entries": none}))
+    kind = "array<struct<path:string,code:string,hash:string>>"
+    edited = F.when(F.col("path").like("%5"), F.array(F.struct(F.lit("f").alias("path"), F.lit("M").alias("code"), F.col("path").alias("hash")))).otherwise(F.array().cast(kind))
+    checkouts = s.withColumns({"sha": F.when(F.col("path").like("%1%"), "1").otherwise("2"), "entries": edited})
+    found = views.dirty_gitlinks(s.withColumn("sha", F.lit("1")), checkouts)
     return views.with_dirty(s.withColumns({"old": F.lit("0"), "new": F.lit("9")}), found.drop("state")).select("path", "old", "new", "dirty")
 
 
