@@ -15,16 +15,36 @@ def errors(**rules: Column) -> Column:
     return F.array_compact(F.array(*(F.when(broken, F.lit(name.replace("_", " "))) for name, broken in rules.items())))
 
 
-def commit_message(message: Column) -> Column:
-    """Errors of a commit message."""
-    lines = F.split(F.coalesce(message, F.lit("")), "\n")
+# Phrases that are talk about a message and not one, and those of an amended message that tells what is new.
+COMMENTARY = ("here is", "commit message:", "explanation:", "i would")
+AMENDING = ("this amend", "in addition", "also")
+
+
+def _contains(text: Column, phrases: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | text.contains(p)
+    return out
+
+
+def commit_message(message: Column, amend: bool = False) -> Column:
+    """Errors of a commit message (V01); an amended one mustn't tell what is new in it. An empty one has no other error."""
+    text = F.regexp_replace(F.coalesce(message, F.lit("")), r"^\s+|\s+$", "")
+    lines, low = F.split(text, "\n"), F.lower(text)
     body = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    full = text != ""
     return errors(
-        empty_message=F.trim(F.coalesce(message, F.lit(""))) == "", code_fence=F.coalesce(message, F.lit("")).contains("```"),
-        commentary=F.lower(F.coalesce(message, F.lit(""))).rlike(r"^(here is|here's|this commit message|sure[,!])"),
+        empty_message=~full, code_fence=text.contains("```"), commentary=full & _contains(low, COMMENTARY), amend_phrase=full & F.lit(amend) & _contains(low, AMENDING),
         body_line_over_90_bytes=F.exists(body, lambda l: F.octet_length(l) > 90))
 
 
+def amended_message(message: Column, original: Column) -> Column:
+    """Errors of an amended message against the one before, whose subject must stay."""
+    subject = lambda m: F.get(F.filter(F.transform(F.split(F.coalesce(m, F.lit("")), "\n"), lambda l: F.regexp_replace(l, r"^\s+|\s+$", "")), lambda l: l != ""), 0)
+    changed = subject(original).isNotNull() & ~subject(message).eqNullSafe(subject(original))
+    return F.concat(commit_message(message, amend=True), errors(subject_of_the_original_lost=changed))
+
+
 def severity_rank(severity: Column) -> Column:
     known = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
     return F.try_element_at(known, severity)
@@ -54,11 +74,19 @@ def wrong_recommendations(reports: DataFrame, rows: DataFrame, report: str = "re
     return out.where(F.col("recommendation") != F.col("wanted"))
 
 
-def evidence(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Errors of evidence locations against line counts of files (V04): path, line_start, line_end, errors."""
+def evidence(rows: DataFrame, files: DataFrame, synthetic: DataFrame | None = None, head: DataFrame | None = None) -> DataFrame:
+    """Errors of evidence locations against line counts of files (V04): path, line_start, line_end, errors.
+
+    A path that ``files`` lacks is looked up in ``head`` (path, lines), as deleted files are; one that neither has is right only
+    as line 1 of a path of ``synthetic``, which stands for what isn't a file.
+    """
     known = files.select("path", "lines")
-    return rows.join(known, "path", "left").withColumn("errors", errors(
-        unknown_path=F.col("lines").isNull(), line_end_past_the_file=F.coalesce(F.col("line_end") > F.col("lines"), F.lit(False)))).drop("lines")
+    if head is not None:
+        known = known.unionByName(head.select("path", "lines").join(files, "path", "left_anti"))
+    made = (synthetic.select("path").distinct() if synthetic is not None else files.select("path").limit(0)).withColumn("_made", F.lit(True))
+    stands_for = F.col("_made").isNotNull() & (F.col("line_start") == 1) & (F.col("line_end") == 1)
+    return rows.join(known, "path", "left").join(made, "path", "left").withColumn("errors", errors(
+        unknown_path=F.col("lines").isNull() & ~stands_for, line_end_past_the_file=F.coalesce(F.col("line_end") > F.col("lines"), F.lit(False)))).drop("lines", "_made")
 
 
 def strictly_ascending(rows: DataFrame, key: str, group: str, order: str) -> DataFrame:
@@ -66,11 +94,21 @@ def strictly_ascending(rows: DataFrame, key: str, group: str, order: str) -> Dat
     return rows.withColumn("_b", F.lag(key).over(Window.partitionBy(group).orderBy(order))).where(F.col(key) <= F.col("_b")).drop("_b")
 
 
-def tool_batch(calls: DataFrame, allowed: list[str], batch: str = "batch") -> DataFrame:
-    """Errors of tool calls (V13): repeated ids, unknown names, repeated calls."""
+def tool_batch(calls: DataFrame, allowed: list[str], batch: str = "batch", control: str | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Errors of tool calls (V13): repeated ids, unknown names, repeated calls, and more than one call of the control tool in a batch.
+
+    ``seen``: call_id, name, arguments of earlier batches, which count as well.
+    """
     same_id, same_call = (F.count("*").over(Window.partitionBy(batch, *c)) for c in (["call_id"], ["name", "arguments"]))
-    return calls.withColumns({"_i": same_id, "_c": same_call}).withColumn("errors", errors(
-        repeated_call_id=F.col("_i") > 1, unknown_tool=~F.col("name").isin(*allowed), repeated_call=F.col("_c") > 1)).drop("_i", "_c")
+    controls = F.count_if(F.col("name").eqNullSafe(control) if control else F.lit(False)).over(Window.partitionBy(batch))
+    out = calls.withColumns({"_i": same_id, "_c": same_call, "_n": controls, "_si": F.lit(None).cast("boolean"), "_sc": F.lit(None).cast("boolean")})
+    if seen is not None:
+        ids, sent = seen.select("call_id").distinct().withColumn("_a", F.lit(True)), seen.select("name", "arguments").distinct().withColumn("_b", F.lit(True))
+        out = out.join(ids, "call_id", "left").join(sent, ["name", "arguments"], "left").withColumns({"_si": F.col("_a"), "_sc": F.col("_b")}).drop("_a", "_b")
+    names = F.col("name").isin(*allowed) | F.col("name").eqNullSafe(control) if control else F.col("name").isin(*allowed)
+    return out.withColumn("errors", errors(
+        call_id_missing=F.coalesce("call_id", F.lit("")) == "", repeated_call_id=(F.col("_i") > 1) | F.col("_si").isNotNull(), unknown_tool=~F.coalesce(names, F.lit(False)),
+        repeated_call=(F.col("_c") > 1) | F.col("_sc").isNotNull(), several_control_calls=F.col("_n") > 1)).drop("_i", "_c", "_n", "_si", "_sc").select(*calls.columns, "errors")
 
 
 def is_commit_sha(value: Column) -> Column:
@@ -83,10 +121,23 @@ def is_object_id(value: Column, size: int = 40) -> Column:
     return value.rlike(f"^[0-9a-f]{{{size}}}$")
 
 
+#: The version of session records, and follow-ups of one at most.
+SESSION, FOLLOW_UPS = 4, 3
+
+
 def sessions(rows: DataFrame) -> DataFrame:
-    """Errors of session records (V10): ids, depths and parents."""
+    """Errors of session records (V10): ids, depths and parents, and version, workspace and prompt key where there are such columns."""
     parents = rows.select(F.col("id").alias("parent_id"), F.col("depth").alias("_up"))
     joined = rows.join(parents, "parent_id", "left")
+    more = {}
+    if "version" in rows.columns:
+        more["unsupported_version"] = ~F.col("version").eqNullSafe(SESSION)
+    if "workspace" in rows.columns:
+        more["workspace_missing"] = F.trim(F.coalesce("workspace", F.lit(""))) == ""
+        more["workspace_not_clean"] = F.col("workspace").rlike(r"//|/$|(^|/)\.{1,2}(/|$)") & (F.col("workspace") != "/")
+    if "prompt_cache_key" in rows.columns:
+        more["prompt_key_missing"] = F.trim(F.coalesce("prompt_cache_key", F.lit(""))) == ""
     return joined.withColumn("errors", errors(
         bad_id=~F.col("id").rlike("^[A-Z2-7]{26}$"), root_has_depth=F.col("parent_id").isNull() & (F.col("depth") != 0),
-        parent_missing=F.col("parent_id").isNotNull() & F.col("_up").isNull(), depth_not_parents_plus_one=F.coalesce(F.col("depth") != F.col("_up") + 1, F.lit(False)))).drop("_up")
+        parent_missing=F.col("parent_id").isNotNull() & F.col("_up").isNull(), depth_not_parents_plus_one=F.coalesce(F.col("depth") != F.col("_up") + 1, F.lit(False)),
+        depth_out_of_range=(F.col("depth") < 0) | (F.col("depth") > FOLLOW_UPS), **more)).drop("_up")

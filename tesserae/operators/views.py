@@ -17,6 +17,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..functions import web as W
 from ..plans import graph
+from ..plans.ranks import running
 from . import changes
 from . import renames as similarity
 
@@ -307,8 +308,7 @@ def worktree_tree(index: DataFrame, worktree: DataFrame, file_cap: int = FILE_CA
     """
     fits = F.when(~F.col("deleted") & (F.col("size") <= file_cap), F.col("size")).otherwise(0)
     spread = worktree.withColumn("_fit", fits)
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    sums = spread.select("path", "_fit").where("_fit > 0").withColumn("_sum", F.sum("_fit").over(before)).select("path", "_sum")  # paths and sizes of changed files only
+    sums = running(spread.select("path", "_fit").where("_fit > 0"), ["path"], {"_before": F.col("_fit")}).select("path", (F.col("_before") + F.col("_fit")).alias("_sum"))
     known = spread.join(sums, "path", "left")
     left = F.greatest(F.lit(0), F.least(F.lit(file_cap), F.lit(total_cap) - F.coalesce("_sum", F.lit(0)) + F.col("_fit")))
     note = F.encode(F.format_string("[worktree file omitted; size=%d bytes exceeds %d-byte review cap; sha256=%s]\n", F.col("size"), left, F.sha2("data", 256)), "UTF-8")

@@ -473,9 +473,10 @@ def nearest_roots(spark, sf):
     return graph.nearest_ancestor(docs, roots)
 
 
-@query("""WITH c AS (SELECT conv_id, turn, unnest([CASE WHEN trim(text) = '' THEN 'empty message' END, CASE WHEN contains(text, '```') THEN 'code fence' END,
-    CASE WHEN regexp_matches(lower(text), '^(here is|here''s|this commit message|sure[,!])') THEN 'commentary' END,
-    CASE WHEN len([l FOR l IN string_split(text, chr(10))[2:] IF strlen(l) > 90]) > 0 THEN 'body line over 90 bytes' END]) AS error FROM conversations)
+@query(r"""WITH m AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations),
+  c AS (SELECT conv_id, turn, unnest([CASE WHEN t = '' THEN 'empty message' END, CASE WHEN contains(t, '```') THEN 'code fence' END,
+    CASE WHEN contains(lower(t), 'here is') OR contains(lower(t), 'commit message:') OR contains(lower(t), 'explanation:') OR contains(lower(t), 'i would') THEN 'commentary' END,
+    CASE WHEN len([l FOR l IN string_split(t, chr(10))[2:] IF strlen(l) > 90]) > 0 THEN 'body line over 90 bytes' END]) AS error FROM m)
   SELECT conv_id, turn, error FROM c WHERE error IS NOT NULL""")
 def message_errors(spark, sf):
     """Errors of messages, a row each: V01."""
