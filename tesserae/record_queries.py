@@ -101,12 +101,12 @@ def pointed_json(spark, sf):
     return out.select(F.col("path").cast("bigint").alias("event_id"), "pointer", "value_kind", "value_bytes", "value_lines", "value", "truncated")
 
 
-@query(f"""WITH s AS (SELECT source, list({PATH} ORDER BY {PATH}) AS p FROM documents GROUP BY source) SELECT source, p[1:128] AS shown, len(p) > 128 AS more FROM s""")
+@query(f"""WITH s AS (SELECT source, list({PATH} ORDER BY {PATH}) AS p FROM documents GROUP BY source) SELECT source, array_to_string(p[1:128], ' ') AS shown, len(p) > 128 AS more FROM s""")
 def prompt_lists(spark, sf):
     """The first entries of each list, and whether there are more: F13."""
     lists = _t(spark, sf, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.expr(PATH))).alias("p"))
     entries = views.bounded_entries(F.col("p"))
-    return lists.select("source", entries["entries"].alias("shown"), entries["truncated"].alias("more"))
+    return lists.select("source", F.array_join(entries["entries"], " ").alias("shown"), entries["truncated"].alias("more"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT doc_id, source, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
