@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -282,9 +282,10 @@ def tree_objects(files: DataFrame) -> DataFrame:
     out = None
     for depth in range(deepest, 0, -1):
         here = level.where(F.size(F.split("path", "/")) == depth).select(directory(F.col("path")).alias("dir"), F.substring_index("path", "/", -1).alias("name"), "mode", "child")
-        sizes = here.groupBy(F.col("dir").alias("d")).agg(F.sum(F.octet_length("mode") + F.octet_length("name") + 22).alias("size"))
         key = F.when(F.col("mode") == "40000", F.concat("name", F.lit("/"))).otherwise(F.col("name"))
-        sorted_ = here.join(sizes, F.col("dir") == F.col("d")).select("dir", "size", "name", "mode", "child").repartition("dir").sortWithinPartitions("dir", key)
+        # the window is what keeps a directory in one task: a repartition() beside a join by the same column is dropped, and the join's sides may then be read in pieces
+        size = F.sum(F.octet_length("mode") + F.octet_length("name") + 22).over(Window.partitionBy("dir"))
+        sorted_ = here.select("dir", size.alias("size"), "name", "mode", "child").sortWithinPartitions("dir", key)
         ids = written(sorted_.mapInPandas(_tree_ids, "dir string, hash string"))
         made = written(here.join(ids, "dir").select("dir", F.col("hash").alias("tree"), "name", "mode", "child"))
         out = made if out is None else out.unionByName(made)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 import re
@@ -33,6 +34,24 @@ def test_tree_ids_are_gits(spark, tmp_path):
     assert graph.merkle(spark.createDataFrame([], "path string, blob string")).count() == 0
 
 
+def test_tree_ids_of_directories_that_tasks_share(spark):
+    """Ids where a join is planned by sorting and made a broadcast while it runs, as with many files."""
+    files = {f"{i % 3}/{i}": f"{i:040x}" for i in range(300)}
+    tree = lambda es: hashlib.sha1(b"tree %d\0" % sum(map(len, es)) + b"".join(es)).hexdigest()
+    entry = lambda mode, name, child: f"{mode} {name}\0".encode() + bytes.fromhex(child)
+    want = {str(d): tree([entry("100644", n, b) for n, b in sorted((p[2:], b) for p, b in files.items() if p[0] == str(d))]) for d in range(3)}
+    want["."] = tree([entry("40000", d, h) for d, h in sorted(want.items())])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = graph.merkle(spark.createDataFrame(list(files.items()), "path string, blob string").repartition(4)).collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted((r.dir, r.hash) for r in got) == sorted(want.items())
+
+
 def made(spark, files):
     return spark.createDataFrame([(p, "100644", b) for p, b in files.items()], "path string, mode string, blob string")
 
