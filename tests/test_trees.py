@@ -34,21 +34,24 @@ def test_tree_ids_are_gits(spark, tmp_path):
     assert graph.merkle(spark.createDataFrame([], "path string, blob string")).count() == 0
 
 
-def test_tree_ids_of_directories_that_tasks_share(spark):
-    """Ids where a join is planned by sorting and made a broadcast while it runs, as with many files."""
+@pytest.fixture
+def late_broadcasts(spark):
+    """Joins are planned by sorting and made broadcasts while they run, as with many files."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def test_tree_ids_of_directories_that_tasks_share(spark, late_broadcasts):
     files = {f"{i % 3}/{i}": f"{i:040x}" for i in range(300)}
     tree = lambda es: hashlib.sha1(b"tree %d\0" % sum(map(len, es)) + b"".join(es)).hexdigest()
     entry = lambda mode, name, child: f"{mode} {name}\0".encode() + bytes.fromhex(child)
     want = {str(d): tree([entry("100644", n, b) for n, b in sorted((p[2:], b) for p, b in files.items() if p[0] == str(d))]) for d in range(3)}
     want["."] = tree([entry("40000", d, h) for d, h in sorted(want.items())])
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        got = graph.merkle(spark.createDataFrame(list(files.items()), "path string, blob string").repartition(4)).collect()
-    finally:
-        for k in settings:
-            spark.conf.unset(k)
+    got = graph.merkle(spark.createDataFrame(list(files.items()), "path string, blob string").repartition(4)).collect()
     assert sorted((r.dir, r.hash) for r in got) == sorted(want.items())
 
 
@@ -95,6 +98,16 @@ def test_pruned_diff(spark, seed):
     assert views.pruned_diff(entries, roots[0], roots[0]).count() == 0
 
 
+def test_pruned_diff_of_directories_that_tasks_share(spark, late_broadcasts):
+    old = {f"{i % 3}/{i}": f"{i:040x}" for i in range(300)}
+    new = dict(old, **{"1/1": f"{7:040x}", "2/x": f"{8:040x}"})
+    trees = [graph.tree_objects(made(spark, x).repartition(4)) for x in (old, new)]
+    assert [t.select("dir", "tree").distinct().count() for t in trees] == [4, 4]
+    roots = [t.where("dir = '.'").first().tree for t in trees]
+    got = views.pruned_diff(trees[0].unionByName(trees[1]).select("tree", "name", "mode", "child").distinct(), *roots, renames=False).collect()
+    assert sorted((r.path, r.status) for r in got) == [("1/1", "modified"), ("2/x", "added")]
+
+
 def plain_renames(gone, come, blobs, least=60):
     """All pairs, sorted, one partner each."""
     cut = lambda d: Counter({k: n * len(k) for k, n in Counter(re.findall(rb"[^\n]{0,63}\n|[^\n]{1,64}", d)).items()})
