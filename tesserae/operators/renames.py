@@ -12,6 +12,8 @@ from ..plans.graph import written
 LEAST, BLOCK = 60, 64
 #: Candidates of an added file that take part in the assignment, the best first: the limit of rename detection.
 CANDIDATES = 256
+#: Contents with a block up to which it counts as rare, and equal contents in a part when their pairs are made.
+RARE, PART = 16, 512
 
 
 def name_score(a: str, b: str) -> int:
@@ -27,36 +29,66 @@ def name_score(a: str, b: str) -> int:
     return ((left + right) * 25 + file * 50) // 100
 
 
-def blocks(contents: DataFrame) -> DataFrame:
-    """Weights of the distinct blocks of contents (blob, data): blob, size, block, bytes. A block is a line, cut at 64 bytes."""
+def blocks(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (blob, one: the least blob of equal content) and the weights of each content's distinct blocks: one, size, block, bytes. Both written.
+
+    A block is a line, cut at 64 bytes. Texts aren't shuffled: a row becomes hashes and lengths where it is read.
+    """
+    each = contents.where("data is not null and octet_length(data) > 0").withColumn("digest", F.unhex(F.sha2("data", 256)))
+    named = each.groupBy("blob").agg(F.min("digest").alias("digest"))
+    members = written(named.select("blob", "digest", F.min("blob").over(Window.partitionBy("digest")).alias("one")))
     text = F.decode("data", "ISO-8859-1")  # a character for each byte
     cut = F.regexp_extract_all(text, F.lit(rf"[^\n]{{0,{BLOCK - 1}}}\n|[^\n]{{1,{BLOCK}}}"), 0)
-    each = contents.select("blob", F.octet_length("data").alias("size"), F.explode(cut).alias("b"))
-    return each.groupBy("blob", "size", F.xxhash64("b").alias("block")).agg(F.sum(F.length("b")).alias("bytes"))
+    hashed = each.select("digest", F.octet_length("data").alias("size"), F.transform(cut, lambda b: F.struct(F.xxhash64(b).alias("block"), F.length(b).cast("tinyint").alias("n"))).alias("b"))
+    flat = hashed.select("digest", "size", "b.block", "b.n").dropDuplicates(["digest"])
+    found = flat.join(members.where("blob = one").select("digest", "one"), "digest").select("digest", "one", "size", F.explode(F.arrays_zip("block", "n")).alias("b"))
+    sums = found.groupBy("digest", "one", "size", F.col("b.block").alias("block")).agg(F.sum("b.n").alias("bytes"))
+    return members.select("blob", "one"), written(sums.select("one", "size", "block", "bytes"))
 
 
 def similar(old: DataFrame, new: DataFrame, least: int = LEAST) -> DataFrame:
     """Pairs of contents that share enough: from, to, shared (bytes in common), size (of the larger one). Inputs: blob, data.
 
-    Weighted prefixes: blocks in order of their frequency, rarest first; two contents of which ``least`` percent of the larger one
-    agree share a block among those that make up the rest of either. Only these meet, so that a line which
-    all files hold makes no pairs of files that have nothing else in common. All pairs are then compared by all their blocks.
+    Equal contents of a side are compared as one, and their pairs made last. Weighted prefixes: blocks in order of their frequency,
+    rarest first; two contents of which ``least`` percent of the larger one agree share a block among those that make up the rest
+    of either. Only these meet, so that a line which all files hold makes no pairs of files that have nothing else in common. All
+    pairs are then compared by all their blocks.
     """
-    sides = [written(blocks(d.where("data is not null and octet_length(data) > 0").dropDuplicates(["blob"]))) for d in (old, new)]
+    (from_members, old_blocks), (to_members, new_blocks) = blocks(old), blocks(new)
+    sides = old_blocks, new_blocks
     rate = max(0, least - 1)  # of 99 parts of the content, those that must agree where the names do
     often = sides[0].select("block").unionByName(sides[1].select("block")).groupBy("block").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("blob").orderBy("often", "block").rowsBetween(Window.unboundedPreceding, -1)
+    often = written(often.where(F.col("often") > RARE))  # the others count as equally rare, so few blocks are joined
+    order = Window.partitionBy("one").orderBy("often", "block").rowsBetween(Window.unboundedPreceding, -1)
 
     def prefix(side: DataFrame) -> DataFrame:
-        ranked = side.join(often, "block").withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
-        return ranked.where(F.col("before") * 99 <= F.col("size") * (99 - rate)).select("blob", "size", "block")
+        ranked = side.join(often, "block", "left").withColumn("often", F.coalesce("often", F.lit(0))).withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+        return ranked.where(F.col("before") * 99 <= F.col("size") * (99 - rate)).select("one", "size", "block")
 
-    a, b = (prefix(s).withColumnsRenamed({"blob": n, "size": f"s_{n}"}) for s, n in zip(sides, ("from", "to"), strict=True))
+    a, b = (prefix(s).withColumnsRenamed({"one": n, "size": f"s_{n}"}) for s, n in zip(sides, ("from", "to"), strict=True))
     fits = F.least("s_from", "s_to") * 99 >= F.greatest("s_from", "s_to") * rate
     pairs = written(a.join(b, "block").where(fits).select("from", "to", F.greatest("s_from", "s_to").alias("size")).distinct())
-    x, y = (s.select(F.col("blob").alias(n), "block", F.col("bytes").alias(f"b_{n}")) for s, n in zip(sides, ("from", "to"), strict=True))
+    x, y = (s.select(F.col("one").alias(n), "block", F.col("bytes").alias(f"b_{n}")) for s, n in zip(sides, ("from", "to"), strict=True))
     shared = pairs.join(x, "from").join(y, ["to", "block"]).groupBy("from", "to", "size").agg(F.sum(F.least("b_from", "b_to")).alias("shared"))
-    return shared.where(F.col("shared") * 99 >= F.col("size") * rate)
+    return expanded(written(shared.where(F.col("shared") * 99 >= F.col("size") * rate)), from_members, to_members)
+
+
+def expanded(pairs: DataFrame, from_members: DataFrame, to_members: DataFrame) -> DataFrame:
+    """Pairs (from, to, shared, size) of what stands for equal contents as pairs of the contents (blob, one).
+
+    Members are dealt into parts of about ``PART``; a pair of parts is a task's work, and only the last join, after which nothing is shuffled, makes all pairs.
+    """
+
+    def side(members: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+        parts = members.groupBy("one").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        dealt = members.join(parts, "one").select(F.col("one").alias(end), F.pmod(F.xxhash64("blob"), "parts").alias(f"p_{end}"), F.col("blob").alias(f"blob_{end}"))
+        return parts.select(F.col("one").alias(end), F.col("parts").alias(f"n_{end}")), dealt
+
+    (from_parts, from_dealt), (to_parts, to_dealt) = side(from_members, "from"), side(to_members, "to")
+    every = lambda end: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{end}") - 1)).alias(f"p_{end}")
+    met = pairs.join(from_parts, "from").join(to_parts, "to").select("from", "to", "shared", "size", "n_to", every("from")).select("from", "to", "shared", "size", "p_from", every("to"))
+    out = met.join(from_dealt, ["from", "p_from"]).join(to_dealt, ["to", "p_to"])
+    return out.select(F.col("blob_from").alias("from"), F.col("blob_to").alias("to"), "shared", "size")
 
 
 def scored(pairs: DataFrame, gone: DataFrame, come: DataFrame, least: int = LEAST) -> DataFrame:

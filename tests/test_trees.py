@@ -153,6 +153,21 @@ def test_renames(spark, seed):
     assert got == plain_renames(gone, come, blobs) and any(p == "long" for p, _, _ in got)
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Pairs of copies come only in the end: no written table has as many rows as there are pairs. Copies fill several parts."""
+    rows = []
+    monkeypatch.setattr(renames, "written", lambda d: (w := graph.written(d), rows.append(w.count()))[0])
+    monkeypatch.setattr(renames, "PART", 7, raising=False)
+    text = "".join(f"line {i}\n" for i in range(9))
+    old = {**{f"a{i}": text for i in range(40)}, "other": text + "more\n", "none": ""}
+    new = {**{f"b{i}": text + "end" for i in range(30)}, "far": "else\n"}
+    data = lambda d: spark.createDataFrame([(b, bytearray(x.encode())) for b, x in d.items()], "blob string, data binary")
+    got = sorted(tuple(x) for x in renames.similar(data(old), data(new)).select("from", "to", "shared", "size").collect())
+    n = len(text)
+    assert got == sorted([(f"a{i}", f"b{j}", n, n + 3) for i in range(40) for j in range(30)] + [("other", f"b{j}", n, n + 5) for j in range(30)])
+    assert max(rows) < 100
+
+
 def test_moved_and_edited_file_in_a_view(spark):
     """A file that moves with an edit is one change, with its lines counted; an exact move goes first."""
     body = [f"line {i}\n" for i in range(20)]
