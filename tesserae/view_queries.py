@@ -24,8 +24,9 @@ TREES = f"""d AS (SELECT doc_id, source, {PATH} AS path, sha256(text) AS blob FR
 def _trees(spark, sf) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    d = _t(spark, sf, "documents").select("doc_id", "source", F.expr(PATH).alias("path"), F.sha2("text", 256).alias("blob"))
-    nxt = d.select("path", F.lead("blob").over(Window.partitionBy("source").orderBy("doc_id")).alias("blob")).where("blob is not null")
+    path = F.concat_ws("", "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))  # SQL's concat leaves nulls out, and its order has them last
+    d = _t(spark, sf, "documents").select("doc_id", "source", path.alias("path"), F.sha2("text", 256).alias("blob"))
+    nxt = d.select("path", F.lead("blob").over(Window.partitionBy("source").orderBy(F.asc_nulls_last("doc_id"))).alias("blob")).where("blob is not null")
     items = _t(spark, sf, "benchmark").select(F.concat(F.lit("bench/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), F.sha2("text", 256).alias("blob"))
     moded = lambda x: x.select("path", "blob", F.lit("100644").alias("mode"))
     return moded(d), moded(nxt.unionByName(items))
@@ -60,12 +61,16 @@ def pruned_tree_diff(spark, sf):
     """The same as tree_diff from directories, following only those that differ: C14."""
     from .plans import graph
 
-    sides = [graph.tree_objects(d.withColumn("blob", F.sha1("blob"))) for d in _trees(spark, sf)]
-    roots = [s.where("dir = '.'").select("tree").first()[0] for s in sides]
+    trees = _trees(spark, sf)
+    key = lambda c: F.coalesce(F.sha1(c), F.lit("0" * 40))  # noqa: E731  # a null text has a place in the tree, too
+    sides = [graph.tree_objects(d.withColumn("blob", key("blob"))) for d in trees]
+    roots = [next((r.tree for r in s.where("dir = '.'").select("tree").take(1)), None) for s in sides]
     entries = written(sides[0].unionByName(sides[1]).select("tree", "name", "mode", "child").distinct())
-    names = [written(d.select("path", F.col("blob").alias(c))) for d, c in zip(_trees(spark, sf), ("old_blob", "new_blob"), strict=True)]
-    found = views.pruned_diff(entries, *roots, renames=False).select("path", "status")
-    return found.join(names[0], "path", "left").join(names[1], "path", "left")
+    found = views.pruned_diff(entries, *roots, renames=False).select("path", "status", F.col("old_blob").alias("old_key"), F.col("new_blob").alias("new_key"))
+    for d, s in zip(trees, ("old", "new"), strict=True):
+        names = written(d.select("path", F.col("blob").alias(f"{s}_blob")))
+        found = found.join(names.withColumn(f"{s}_key", key(f"{s}_blob")), ["path", f"{s}_key"], "left")
+    return found.where("not (old_blob <=> new_blob)").select("path", "status", "old_blob", "new_blob")
 
 
 _SHARES = r"""side AS (SELECT 'a' || doc_id AS b, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS x FROM documents WHERE text IS NOT NULL UNION ALL

@@ -12,8 +12,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae import view_queries
 from tesserae.operators import renames, views
 from tesserae.plans import graph
+from tesserae.queries import SQL
 
 from .test_git import ENV
 
@@ -108,6 +110,26 @@ def test_pruned_diff_of_directories_that_tasks_share(spark, late_broadcasts):
     assert sorted((r.path, r.status) for r in got) == [("1/1", "modified"), ("2/x", "added")]
 
 
+ODD = {
+    "null text": [(0, "a", "en", "s0"), (1, None, "en", "s0"), (2, None, "en", "s0"), (3, "b", "en", "s0"), (4, None, "de", "s1"), (5, "c", "en", "s0"), (6, None, "en", "s0")],
+    "null names": [(0, "a", "en", "s0"), (1, "b", None, "s0"), (2, "c", "en", None), (3, "d", "de", None), (None, "e", "en", "s0"), (4, "f", "en", "s0")],
+    "repeated rows": [(0, "a", "en", "s0"), (1, "b", "en", "s0"), (1, "b", "en", "s0"), (2, "c", "en", "s0"), (3, "d", "de", "s1"), (3, "d", "de", "s1")],
+    "no documents": [],
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_pruned_tree_diff_of_odd_documents(spark, tmp_path, late_broadcasts, name):
+    """As the SQL has them: null texts, paths with parts that are null, rows that come twice, and no rows."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for table, rows, kind in (("documents", ODD[name], "doc_id bigint, text string, lang string, source string"), ("benchmark", [(0, "x"), (1, None if name == "null text" else "z"), (2, "y")], "item_id bigint, text string")):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    got = view_queries.pruned_tree_diff(spark, str(tmp_path)).select("path", "status", "old_blob", "new_blob").collect()
+    assert Counter(tuple(r) for r in got) == Counter(con.execute(SQL["pruned_tree_diff"]).fetchall())
+
+
 def plain_renames(gone, come, blobs, least=60):
     """All pairs, sorted, one partner each."""
     cut = lambda d: Counter({k: n * len(k) for k, n in Counter(re.findall(rb"[^\n]{0,63}\n|[^\n]{1,64}", d)).items()})
